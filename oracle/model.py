@@ -310,12 +310,12 @@ def compose(final: str, extra: dict[str, str] | None = None) -> str:
 
 
 def rounded(names: str, source: str) -> str:
-    """``select`` of a blank-separated list; ``name:2`` rounds a number to two digits as a double."""
+    """``select`` of a blank-separated list; ``name:2`` rounds to two digits as a double, ``:i32``/``:i64`` cast."""
     parts = []
     for name in names.split():
         column, _, digits = name.partition(":")
-        if digits == "int":
-            parts.append(f"cast({column} as bigint) as {column}")
+        if digits in ("i32", "i64"):
+            parts.append(f"cast({column} as {'integer' if digits == 'i32' else 'bigint'}) as {column}")
         elif digits:
             parts.append(f"round(cast({column} as double), {digits}) as {column}")
         else:

@@ -16,9 +16,9 @@ def add_table(name: str, source: str, columns: str, **steps: str) -> None:
 
 
 STAGES = (
-    "purchase_date shipped_date delivered_date is_delivered has_timestamp_anomaly promised_days::int actual_days::int "
-    "is_late days_late::int approval_hours:6 handover_days:6 transit_days:6 seller_missed_ship_by delivery_outcome late_cause"
-).replace("::int", "")
+    "purchase_date shipped_date delivered_date is_delivered has_timestamp_anomaly promised_days:i32 actual_days:i32 "
+    "is_late days_late:i32 approval_hours:6 handover_days:6 transit_days:6 seller_missed_ship_by delivery_outcome late_cause"
+)
 
 # ---- models
 add_table("order_outcomes", "timeline",
@@ -41,14 +41,14 @@ add_table("fct_orders", "fct_orders",
           "primary_seller_id seller_state seller_region route distance_km:6 order_status purchased_at approved_at shipped_at "
           "delivered_at promised_date " + STAGES +
           " main_payment_type max_installments used_voucher item_count seller_count products_brl:4 freight_brl:4 gmv_brl:4 "
-          "brl_per_eur:6 gmv_eur:2 freight_eur:2 review_score is_low_review review_sent_date weekday_holidays_first_10_days "
+          "brl_per_eur:6 gmv_eur:8 freight_eur:8 review_score is_low_review review_sent_date weekday_holidays_first_10_days "
           "heavy_rain_days_first_7_days_transit rain_mm_first_7_days_transit:6 is_in_kpi_window distance_band "
-          "revenue_at_risk_reason late_gmv_eur:2 revenue_at_risk_eur:2")
+          "revenue_at_risk_reason late_gmv_eur:8 revenue_at_risk_eur:8")
 add_table("fct_order_items", "fct_order_items",
           "order_item_key order_id order_item_number data_source is_synthetic product_id seller_id seller_state customer_state "
           "purchase_date is_in_kpi_window shipping_limit_at shipped_at seller_missed_ship_by delivery_outcome is_delivered "
-          "is_late days_late review_score is_low_review price_brl:4 freight_brl:4 item_gmv_brl:4 brl_per_eur:6 item_gmv_eur:2 "
-          "late_gmv_eur:2 revenue_at_risk_eur:2")
+          "is_late days_late:i32 review_score is_low_review price_brl:4 freight_brl:4 item_gmv_brl:4 brl_per_eur:6 item_gmv_eur:8 "
+          "late_gmv_eur:8 revenue_at_risk_eur:8")
 add("dim_date", """
     select rate_date as date_day, year(rate_date)::int as year_number, quarter(rate_date)::int as quarter_number,
         month(rate_date)::int as month_number, date_trunc('month', rate_date)::date as month_start,
@@ -81,8 +81,8 @@ add_table("monthly_kpis", "monthly",
           "avg_promised_days:6 avg_actual_days:6 avg_buffer_days:6 avg_review_score:6")
 ROUTE_COLUMNS = (
     "route seller_state customer_state orders delivered_orders late_orders avg_distance_km:6 avg_promised_days:6 "
-    "avg_actual_days:6 p90_actual_days gmv_eur:2 late_gmv_eur:2 revenue_at_risk_eur:2 late_rate:6 avg_buffer_days:6 is_rankable "
-    "revenue_at_risk_rank late_rate_rank share_of_revenue_at_risk:6 cumulative_share_of_revenue_at_risk:6"
+    "avg_actual_days:6 p90_actual_days:i32 gmv_eur:2 late_gmv_eur:2 revenue_at_risk_eur:2 late_rate:6 avg_buffer_days:6 is_rankable "
+    "revenue_at_risk_rank:i32 late_rate_rank:i32 share_of_revenue_at_risk:6 cumulative_share_of_revenue_at_risk:6"
 )
 add_table("route_performance", "routes", ROUTE_COLUMNS)
 add_table("seller_performance", "sellers_scored",

@@ -21,8 +21,8 @@ def query(function: Query) -> Query:
     return function
 
 
-def tidy(df: DataFrame) -> DataFrame:
-    """Comparable numbers: exact money with 4 digits, converted money with 2, other doubles with 6."""
+def tidy(df: DataFrame, eur_digits: int = 2) -> DataFrame:
+    """Comparable numbers: exact money with 4 digits, sums of converted money with 2, other doubles with 6."""
     columns = []
     for field in df.schema.fields:
         column = F.col(field.name)
@@ -30,7 +30,7 @@ def tidy(df: DataFrame) -> DataFrame:
             column = F.round(column.cast("double"), 4).alias(field.name)
         elif isinstance(field.dataType, T.DoubleType):
             money = re.search(r"eur$|brl$|eur_|gmv", field.name) and "share" not in field.name
-            digits = 2 if money and field.name != "brl_per_eur" else 6
+            digits = eur_digits if money and field.name != "brl_per_eur" else 6
             column = F.round(column, digits).alias(field.name)
         columns.append(column)
     return df.select(*columns)
@@ -83,12 +83,12 @@ def order_context(feed: TableFeed) -> DataFrame:
 
 @query
 def fct_orders(feed: TableFeed) -> DataFrame:
-    return tidy(facts.order_facts(feed, feed.params))
+    return tidy(facts.order_facts(feed, feed.params), eur_digits=8)
 
 
 @query
 def fct_order_items(feed: TableFeed) -> DataFrame:
-    return tidy(facts.item_facts(feed, feed.params))
+    return tidy(facts.item_facts(feed, feed.params), eur_digits=8)
 
 
 @query

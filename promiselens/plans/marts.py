@@ -97,7 +97,7 @@ def route_performance(orders: DataFrame, params: Params) -> DataFrame:
             *_counts(),
             F.avg("distance_km").alias("avg_distance_km"),
             *_days(),
-            discrete_percentile("actual_days", 0.9).alias("p90_actual_days"),
+            discrete_percentile("actual_days", 0.9).cast("int").alias("p90_actual_days"),
             *_value_sums(),
         )
         .withColumn("late_rate", safe_ratio("late_orders", "delivered_orders"))
