@@ -306,7 +306,11 @@ def compose(final: str, extra: dict[str, str] | None = None) -> str:
     visit(final, ())
     if not needed:
         return final.strip()
-    return "with " + ",\n".join(f"{name} as ({steps[name]})" for name in needed) + "\n" + final.strip()
+    steps_text = ",\n".join(f"{name} as ({steps[name]})" for name in needed)
+    text = final.strip()
+    if text.startswith("with "):
+        return f"with {steps_text},\n{text.removeprefix('with ')}"
+    return f"with {steps_text}\n{text}"
 
 
 def rounded(names: str, source: str) -> str:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promiselens.plans import facts, marts, summaries, timeline
+from promiselens.operators import checks
+from promiselens.plans import facts, findings, marts, measures, profile, quality, summaries, timeline, verify
 from promiselens.sources.tables import TableFeed
 
 Query = Callable[[TableFeed], DataFrame]
@@ -137,3 +138,288 @@ def late_drivers(feed: TableFeed) -> DataFrame:
 @query
 def live_daily(feed: TableFeed) -> DataFrame:
     return tidy(marts.live_daily(facts.order_facts(feed, feed.params, marts.LIVE_NEEDS)))
+
+
+# ---- findings
+
+
+def _order_query(name: str, function, needs: list[str]) -> None:
+    QUERIES[name] = lambda feed: tidy(function(facts.order_facts(feed, feed.params, needs)))
+
+
+for _function, _needs in [
+    (findings.headline_kpis, findings.HEADLINE_NEEDS),
+    (findings.risk_by_reason, findings.RISK_NEEDS),
+    (findings.outcomes_value, findings.OUTCOME_NEEDS),
+    (findings.review_by_outcome, findings.REVIEW_NEEDS),
+    (findings.review_by_days_late, findings.REVIEW_NEEDS),
+    (findings.stage_medians, findings.STAGE_NEEDS),
+    (findings.approval_by_payment, findings.PAYMENT_NEEDS),
+    (findings.late_causes, findings.CAUSE_NEEDS),
+    (findings.region_summary, findings.REGION_NEEDS),
+]:
+    _order_query(_function.__name__, _function, _needs)
+
+
+def _routes(feed: TableFeed) -> DataFrame:
+    return marts.route_performance(facts.order_facts(feed, feed.params, marts.ROUTE_NEEDS), feed.params)
+
+
+def _sellers(feed: TableFeed) -> DataFrame:
+    return marts.seller_performance(facts.item_facts(feed, feed.params), feed.params)
+
+
+@query
+def ranked_drivers(feed: TableFeed) -> DataFrame:
+    orders = facts.order_facts(feed, feed.params, marts.DRIVER_NEEDS)
+    return tidy(findings.ranked_drivers(marts.late_drivers(orders, feed.params)))
+
+
+@query
+def top_routes(feed: TableFeed) -> DataFrame:
+    return tidy(findings.ranked_routes(_routes(feed)))
+
+
+@query
+def worst_late_routes(feed: TableFeed) -> DataFrame:
+    return tidy(findings.worst_late_routes(_routes(feed)))
+
+
+@query
+def route_head_share(feed: TableFeed) -> DataFrame:
+    return tidy(findings.head_share(_routes(feed)))
+
+
+@query
+def seller_population(feed: TableFeed) -> DataFrame:
+    return tidy(findings.seller_population(_sellers(feed)))
+
+
+@query
+def watchlist(feed: TableFeed) -> DataFrame:
+    return tidy(findings.watchlist(_sellers(feed)))
+
+
+@query
+def top_risk_sellers(feed: TableFeed) -> DataFrame:
+    return tidy(findings.top_risk_sellers(_sellers(feed)))
+
+
+@query
+def promise_backtest(feed: TableFeed) -> DataFrame:
+    orders = facts.order_facts(feed, feed.params, findings.BACKTEST_NEEDS)
+    return tidy(findings.promise_backtest(orders, feed.params))
+
+
+# ---- semantic measures
+
+
+@query
+def semantic_measures(feed: TableFeed) -> DataFrame:
+    needs = [*dict.fromkeys([*measures.NEEDS, *measures.SLICERS])]
+    orders = facts.order_facts(feed, feed.params, needs).where("is_in_kpi_window")
+    return tidy(measures.measure_by_slicers(orders, measures.SLICERS))
+
+
+@query
+def category_values(feed: TableFeed) -> DataFrame:
+    return tidy(
+        measures.category_values(facts.item_facts(feed, feed.params), facts.product_dimension(feed, feed.params))
+    )
+
+
+RATE_NEEDS = ["purchase_date", "is_in_kpi_window", "is_delivered", "is_late"]
+_order_query("rolling_3m_calendar", measures.rolling_calendar_months, RATE_NEEDS)
+_order_query("late_rate_vs_prior_month", measures.late_rate_vs_prior_month, RATE_NEEDS)
+_order_query(
+    "whatif_promise", measures.promise_what_if, ["is_in_kpi_window", "is_delivered", "actual_days", "promised_days"]
+)
+
+
+@query
+def whatif_promise_by_region(feed: TableFeed) -> DataFrame:
+    needs = ["is_in_kpi_window", "is_delivered", "actual_days", "promised_days", "customer_region"]
+    return tidy(measures.promise_what_if(facts.order_facts(feed, feed.params, needs), "customer_region"))
+
+
+# ---- data checks (each returns the violations)
+
+
+@query
+def dq_not_null(feed: TableFeed) -> DataFrame:
+    return checks.not_null(feed.orders, "approved_at").select("order_id", "order_status", "purchased_at")
+
+
+@query
+def dq_unique(feed: TableFeed) -> DataFrame:
+    return checks.unique(feed.items, "order_id")
+
+
+@query
+def dq_relationships(feed: TableFeed) -> DataFrame:
+    return checks.relationship(feed.reviews, "order_id", feed.items, "order_id")
+
+
+@query
+def dq_accepted_values(feed: TableFeed) -> DataFrame:
+    return checks.accepted_values(feed.payments, "payment_type", ["credit_card", "boleto"])
+
+
+@query
+def dq_accepted_range(feed: TableFeed) -> DataFrame:
+    return checks.accepted_range(feed.geolocation, "latitude", -33.8, 5.3).select("zip_prefix", "latitude")
+
+
+@query
+def dq_unique_combination(feed: TableFeed) -> DataFrame:
+    return checks.unique_combination(feed.items, "order_id", "order_item_number")
+
+
+@query
+def dq_expression(feed: TableFeed) -> DataFrame:
+    violating = checks.expression_holds(feed.orders, quality.EVENTS_IN_ORDER, where="is_synthetic")
+    return violating.select("order_id", "purchased_at", "approved_at", "shipped_at", "delivered_at")
+
+
+@query
+def dq_expression_strict(feed: TableFeed) -> DataFrame:
+    violating = checks.expression_holds(feed.orders, "shipped_at <= sim_as_of", where="is_synthetic", strict=True)
+    return violating.select("order_id", "shipped_at")
+
+
+@query
+def dq_equal_rowcount(feed: TableFeed) -> DataFrame:
+    return checks.equal_rowcount(feed.items, feed.orders)
+
+
+@query
+def dq_value_reconciles_to_source(feed: TableFeed) -> DataFrame:
+    return tidy(quality.value_differs_from_source(feed, feed.params))
+
+
+@query
+def dq_kpi_window_months(feed: TableFeed) -> DataFrame:
+    orders = facts.order_facts(feed, feed.params, marts.MONTHLY_NEEDS)
+    return quality.wrong_month_count(marts.monthly_kpis(orders), feed.params)
+
+
+@query
+def dq_monthly_matches_orders(feed: TableFeed) -> DataFrame:
+    orders = facts.order_facts(feed, feed.params, marts.MONTHLY_NEEDS)
+    return quality.monthly_differs_from_orders(marts.monthly_kpis(orders), orders)
+
+
+@query
+def dq_items_reconcile_to_orders(feed: TableFeed) -> DataFrame:
+    needs = [*dict.fromkeys([*facts.ITEM_FACT_FROM_ORDER, "gmv_eur", "revenue_at_risk_eur"])]
+    orders = facts.order_facts(feed, feed.params, needs)
+    return tidy(quality.items_differ_from_orders(orders, facts.item_facts(feed, feed.params, orders)))
+
+
+@query
+def dq_model_report(feed: TableFeed) -> DataFrame:
+    return quality.model_report(feed, feed.params)
+
+
+@query
+def dq_fact_report(feed: TableFeed) -> DataFrame:
+    return quality.fact_report(feed, feed.params)
+
+
+@query
+def dq_mart_report(feed: TableFeed) -> DataFrame:
+    return quality.mart_report(feed, feed.params)
+
+
+# ---- profile
+
+
+@query
+def profile_table_rows(feed: TableFeed) -> DataFrame:
+    names = ["orders", "lineitem", "customer", "supplier", "part", "events"]
+    return profile.table_rows({name: feed.table(name) for name in names}, {"events"})
+
+
+@query
+def profile_status(feed: TableFeed) -> DataFrame:
+    return profile.status_counts(feed.orders)
+
+
+@query
+def profile_months(feed: TableFeed) -> DataFrame:
+    return profile.orders_per_month(feed.orders)
+
+
+@query
+def profile_impossible_timestamps(feed: TableFeed) -> DataFrame:
+    return profile.impossible_timestamps(feed.orders)
+
+
+@query
+def profile_lateness_basis(feed: TableFeed) -> DataFrame:
+    return profile.lateness_by_date_or_time(feed.orders)
+
+
+@query
+def profile_reviews(feed: TableFeed) -> DataFrame:
+    return profile.review_multiplicity(feed.orders, feed.reviews)
+
+
+@query
+def profile_payment_types(feed: TableFeed) -> DataFrame:
+    return tidy(profile.payments_by_type(feed.payments))
+
+
+@query
+def profile_payments_match(feed: TableFeed) -> DataFrame:
+    return profile.payments_match_items(feed.items, feed.payments)
+
+
+@query
+def profile_customers(feed: TableFeed) -> DataFrame:
+    return profile.customers_and_people(feed.customers)
+
+
+@query
+def profile_deadline_anchor(feed: TableFeed) -> DataFrame:
+    return tidy(profile.deadline_anchor(feed.orders, feed.items, feed.params))
+
+
+@query
+def profile_multi_seller(feed: TableFeed) -> DataFrame:
+    return profile.multi_seller_orders(feed.items)
+
+
+@query
+def profile_products(feed: TableFeed) -> DataFrame:
+    return profile.product_categories(feed.products, feed.categories)
+
+
+@query
+def profile_geolocation(feed: TableFeed) -> DataFrame:
+    return profile.geolocation_outliers(feed.geolocation)
+
+
+@query
+def profile_series(feed: TableFeed) -> DataFrame:
+    return profile.series_extents(
+        {
+            "holidays": (feed.holidays, "holiday_date"),
+            "weather": (feed.weather, "weather_date"),
+            "rates": (feed.fx_rates, "rate_date"),
+        }
+    )
+
+
+# ---- second path
+
+
+@query
+def recompute_headline(feed: TableFeed) -> DataFrame:
+    orders = facts.order_facts(feed, feed.params, verify.FACT_NEEDS)
+    compared = verify.compare_metrics(verify.recomputed(feed, feed.params), verify.from_facts(orders))
+    return compared.select(
+        "metric",
+        *[F.round(name, 4).alias(name) for name in ("expected", "actual", "difference")],
+        "match",
+    )
