@@ -418,3 +418,253 @@ add("recompute_headline", """
             {'m': 'Late orders where the seller shipped late', 'v': count(*) filter (late_cause = 'Seller shipped late')::double}
         ]) as t from kpi_orders)
     select t.m as metric, round(t.v, 4) as expected, round(t.v, 4) as actual, 0.0::double as difference, true as match from totals""")
+
+# ---- fitted distributions
+FIT = {
+    "daily": "select purchase_date, count(*) as n, isodow(purchase_date) as wd, month(purchase_date) as mo from kpi_orders group by purchase_date",
+    "level_days": "select * from daily where purchase_date between date '2000-01-01' and date '2000-08-31'",
+    # Black Friday 1999 was 26 November.
+    "usual_1999": """select mo, avg(n) as per_day from daily
+        where year(purchase_date) = 1999 and purchase_date not between date '1999-11-26' and date '1999-12-02' group by mo""",
+    "bank_cal": """
+        select d::date as date_day, isodow(d) <= 5 and h.holiday_date is null as is_bank_day,
+            count(*) filter (isodow(d) <= 5 and h.holiday_date is null) over (order by d rows unbounded preceding) as bank_day_no
+        from generate_series(date '1995-01-01', date '2002-03-01', interval 1 day) g(d)
+        left join (select distinct holiday_date from f_holidays where is_nationwide and (is_public_holiday or is_bank_holiday)) h
+            on h.holiday_date = d""",
+    "approvals": """
+        select *, least(greatest((select bank_day_no from bank_cal where date_day = approved_at::date)
+                - (select bank_day_no from bank_cal where date_day = purchase_date), 0), 7) as lag
+        from kpi_orders where approved_at is not null and approval_hours >= 0 and main_payment_type is not null""",
+    "judged": """
+        select case when delivery_outcome = 'On time' then 'on_time'
+                when delivery_outcome = 'Late' then case when days_late <= 2 then 'late_1_2_days' when days_late <= 7 then 'late_3_7_days'
+                    when days_late <= 14 then 'late_8_14_days' else 'late_over_14_days' end
+                when delivery_outcome = 'Overdue, not delivered' then 'never_delivered'
+                when delivery_outcome = 'Cancelled' then 'cancelled' end as bucket,
+            review_score, review_sent_date - delivered_date as after_delivery, review_sent_date - promised_date as after_promise,
+            date_diff('minute', review_sent_date::timestamp, review_answered_at) / 60.0::double as answer_hours
+        from kpi_orders where delivery_outcome <> 'Delivered, date missing'""",
+    "grid": """select unnest([0, 5, 10, 15, 20, 25, 30, 35, 40, 45, 50, 55, 60, 65, 70, 75, 80, 85, 90, 92, 94, 96, 97, 98, 99, 99.5, 100])::double as p""",
+}
+add("volume_weekdays", "select wd::int as weekday, round(avg(n), 6) as mean_orders from level_days group by wd", **FIT)
+add("volume_months", """
+    with level_months as (select mo, avg(n) as per_day from level_days group by mo),
+    factors as (select mo, per_day / (select avg(per_day) from level_months) as f from level_months)
+    select mo::int as month, round(f, 6) as factor from factors
+    union all
+    select mo::int, round((select f from factors where mo = 8) * per_day / (select per_day from usual_1999 where mo = 8), 6)
+    from usual_1999 where mo > 8""", **FIT)
+add("event_uplift", """
+    with wdm as (select wd, avg(n) as m from level_days group by wd)
+    select (purchase_date - date '1999-11-26')::int as day_offset, n as orders,
+        round(n / ((select per_day from usual_1999 where mo = 11) * m / (select avg(m) from wdm)), 6) as uplift
+    from daily join wdm using (wd) where purchase_date between date '1999-11-26' and date '1999-12-02'""", **FIT)
+add("peak_factor", """
+    with moved as (select * from kpi_orders where is_delivered and not has_timestamp_anomaly and transit_days >= 0),
+    m as (select median(transit_days) filter (shipped_date between date '1999-11-20' and date '1999-12-31') as p,
+        median(transit_days) filter (strftime(purchase_date, '%Y-%m') not in ('1999-11', '1999-12', '2000-02', '2000-03')) as q from moved)
+    select round(p, 6) as peak_days, round(q, 6) as normal_days, round(p / q, 6) as transit_factor from m""")
+add("hour_shares", """
+    select h::int as hour, round(count(order_id) / (select count(*) from kpi_orders)::double, 6) as share
+    from range(24) r(h) left join kpi_orders on hour(purchased_at) = h group by h""")
+SHARES = "count(*) as \"count\", round(count(*) / sum(count(*)) over ({over})::double, 6) as share"
+add("outcome_shares", f"""
+    select case when order_status in ('canceled', 'unavailable') then order_status
+            when delivery_outcome not like 'Overdue%' then 'delivered'
+            when order_status = 'shipped' then 'lost_in_transit' else 'stuck_before_shipping' end as outcome, {SHARES.format(over='')}
+    from kpi_orders group by 1""")
+add("no_review_share", """
+    select count(*) as orders, round(1 - count(review_score) / count(*)::double, 6) as no_review_share from judged""", **FIT)
+add("score_shares", f"""
+    select bucket, review_score, {SHARES.format(over='partition by bucket')} from judged
+    where review_score is not null and bucket is not null group by bucket, review_score""", **FIT)
+add("sent_day_shares", f"""
+    select greatest(least(after_delivery, 7), -2)::int as days_after_delivery, {SHARES.format(over='')} from judged
+    where review_score is not null and bucket = 'on_time' group by 1""", **FIT)
+add("review_grids", """
+    with v as (
+        select case when bucket like 'late%' then 'late' else bucket end as kind, after_promise::double as v from judged
+        where review_score is not null and (bucket like 'late%' or bucket in ('never_delivered', 'cancelled'))
+        union all select 'answer_hours', greatest(answer_hours, 0) from judged where review_score is not null)
+    select kind, p as percentile, round(list_extract(quantile_cont(v, [0, .05, .1, .15, .2, .25, .3, .35, .4, .45, .5, .55, .6, .65, .7, .75,
+        .8, .85, .9, .92, .94, .96, .97, .98, .99, .995, 1]), row_number() over (partition by kind order by p)), 6) as "value"
+    from v cross join grid group by kind, p""", **FIT)
+add("approval_lag_shares", f"""
+    select lag::bigint as lag, {SHARES.format(over='')} from approvals where main_payment_type = 'boleto' group by lag""", **FIT)
+add("approval_hour_shares", f"""
+    select hour(approved_at)::int as hour, {SHARES.format(over='')} from approvals where main_payment_type = 'boleto' and lag >= 1 group by 1""",
+    **FIT)
+add("approval_minutes", """
+    with v as (select main_payment_type as payment_type, approval_hours * 60 as v from approvals where main_payment_type <> 'boleto' or lag = 0)
+    select payment_type, p as percentile, round(list_extract(quantile_cont(v, [0, .05, .1, .15, .2, .25, .3, .35, .4, .45, .5, .55, .6, .65,
+        .7, .75, .8, .85, .9, .92, .94, .96, .97, .98, .99, .995, 1]), row_number() over (partition by payment_type order by p)), 6) as minutes
+    from v cross join grid group by payment_type, p""", **FIT)
+TEMPLATES = {"templates": """
+    select row_number() over (order by o.order_id) - 1 as template_id, o.order_id as source_order_id,
+        strftime(purchased_at, '%Y-%m') as purchase_month, customer_zip_prefix, customer_city, customer_state, primary_seller_id, seller_state,
+        seller_state || ' -> ' || customer_state as route, promised_date - purchased_at::date as promised_days,
+        date_diff('second', approved_at, seller_ship_by_at) / 86400.0::double as deadline_days,
+        date_diff('second', approved_at, shipped_at) / 86400.0::double as handover_days,
+        date_diff('second', shipped_at, delivered_at) / 86400.0::double as transit_days
+    from f_orders o join items_summary s on s.order_id = o.order_id join f_customers c on c.customer_id = o.customer_id
+    join f_sellers on seller_id = primary_seller_id
+    where data_source = 'marketplace' and order_status = 'delivered' and purchased_at >= date '1996-01-01' and purchased_at < date '2001-01-01'
+        and strftime(purchased_at, '%Y-%m') not in ('1999-11', '1999-12', '2000-02', '2000-03')
+        and approved_at >= purchased_at and shipped_at >= approved_at and delivered_at >= shipped_at and seller_ship_by_at > approved_at
+        and o.order_id in (select order_id from f_payments)"""}
+add_table("journey_templates", "templates",
+          "template_id source_order_id purchase_month customer_zip_prefix customer_city customer_state primary_seller_id seller_state "
+          "route promised_days:i32 deadline_days:6 handover_days:6 transit_days:6", **TEMPLATES)
+add("template_items", """
+    select template_id, order_item_number, product_id, seller_id, round(price_brl::double, 4) as price_brl, round(freight_brl::double, 4) as freight_brl
+    from f_items join templates t on t.source_order_id = order_id""".replace("product_id, seller_id", "product_id, f_items.seller_id"), **TEMPLATES)
+add("template_payments", """
+    select template_id, payment_sequence, payment_type, installments, round(payment_brl::double, 4) as payment_brl
+    from f_payments join templates t on t.source_order_id = order_id""", **TEMPLATES)
+PRICES = {"levels": "select month_start, product(1 + pct_change / 100) over (order by month_start rows unbounded preceding) as price_index from f_inflation"}
+add("price_index", "select month_start, round(price_index, 6) as price_index from levels", **PRICES)
+add("price_factors", """
+    select m as month_start, round(k, 6) as known_index,
+        round(k / (select price_index from levels where month_start = date '1996-01-01'), 6) as price_factor
+    from (select m, (select arg_max(price_index, month_start) from levels where month_start <= m - interval 2 month) as k
+          from (select distinct date_trunc('month', purchased_at)::date as m from f_orders))""", **PRICES)
+add("payment_rescale", """
+    with scaled as (
+        select p.*, cast(gmv_brl as decimal(28,2)) as total,
+            cast(round(payment_brl::double * cast(gmv_brl as decimal(28,2))::double / (sum(payment_brl) over (partition by p.order_id))::double, 2) as decimal(28,2)) as s
+        from f_payments p join items_summary i on i.order_id = p.order_id)
+    select order_id, payment_sequence, payment_type, installments,
+        round((s + case when row_number() over (partition by order_id order by s desc, payment_sequence, payment_brl) = 1
+            then total - sum(s) over (partition by order_id) else 0 end)::double, 4) as scaled_brl
+    from scaled""")
+
+# ---- calendars
+add("bank_days", "select date_day, is_bank_day, bank_day_no from bank_cal", **FIT)
+add("bank_days_between", """
+    select order_id, purchased_at, promised_date, greatest(b.bank_day_no - a.bank_day_no, 0) as bank_days
+    from f_orders join bank_cal a on a.date_day = purchased_at::date join bank_cal b on b.date_day = promised_date""", **FIT)
+add("bank_days_added", """
+    select order_id, purchased_at, case when order_id % 5 = 0 then purchased_at::date else t.date_day end as clearing_day
+    from f_orders join bank_cal a on a.date_day = purchased_at::date
+    left join bank_cal t on t.is_bank_day and t.bank_day_no = a.bank_day_no + order_id % 5""", **FIT)
+
+# ---- live feed
+
+
+def shop_at(moment: str) -> str:
+    return f"""
+        select order_id, customer_id,
+            case when purchased_at + interval 1 day <= {moment} and order_status = 'canceled' then 'canceled'
+                 when purchased_at + interval 2 day <= {moment} and order_status = 'processing' and order_id % 3 = 0 then 'unavailable'
+                 when delivered_at <= {moment} then 'delivered' when shipped_at <= {moment} then 'shipped'
+                 when approved_at <= {moment} and {moment} < approved_at + interval 12 hour then 'approved'
+                 when approved_at <= {moment} then if(order_status = 'processing', 'processing', 'invoiced')
+                 else 'created' end as order_status,
+            purchased_at, if(approved_at <= {moment}, approved_at, null) as approved_at, if(shipped_at <= {moment}, shipped_at, null) as shipped_at,
+            if(delivered_at <= {moment}, delivered_at, null) as delivered_at, promised_date, {moment} as sim_as_of
+        from f_orders where purchased_at <= {moment}"""
+
+
+THEN, NOW = "timestamp '2000-01-10 02:00:00'", "timestamp '2000-01-20 02:00:00'"
+add("as_of_snapshot", shop_at(NOW))
+add("snapshot_diff", f"""
+    select {NOW} as sim_as_of, {THEN} as previous_sim_as_of, 10::int as days_covered, count(*) as orders_total,
+        count(*) filter (b.order_id is null) as new_orders, count(*) filter (b.order_status <> a.order_status) as orders_changed_status,
+        count(*) filter (a.order_status = 'delivered' and b.order_status <> 'delivered') as newly_delivered,
+        count(*) filter (a.order_status = 'shipped') as in_transit, count(*) filter (a.order_status = 'delivered') as delivered_total,
+        (select count(*) from f_reviews where review_answered_at <= {NOW}) as reviews_total,
+        (select count(*) from f_reviews where review_answered_at <= {NOW} and review_answered_at > {THEN}) as new_reviews
+    from ({shop_at(NOW)}) a left join ({shop_at(THEN)}) b using (order_id)""")
+VECTORS = {
+    "real_normal": """select * from kpi_orders where is_delivered
+        and strftime(purchase_date, '%Y-%m') not in ('1999-11', '1999-12', '2000-02', '2000-03')""",
+    "sim": "select * from fct_orders where is_synthetic",
+    "vectors": """
+        select ifnull(a.kind, b.kind) as kind, ifnull(a.k, b.k) as k,
+            case when ifnull(a.kind, b.kind) = 'region' then a.v else ifnull(a.v, 0) end as r,
+            case when ifnull(a.kind, b.kind) = 'region' then b.v else ifnull(b.v, 0) end as s
+        from (select 'weekday' as kind, isodow(purchase_date)::varchar as k, count(*) / sum(count(*)) over ()::double as v from fct_orders
+                where purchase_date between date '2000-01-01' and date '2000-08-31' group by k
+              union all select 'hour', hour(purchased_at)::varchar as k, count(*) / sum(count(*)) over ()::double from kpi_orders group by k
+              union all select 'payment', main_payment_type as k, count(*) / sum(count(*)) over ()::double from kpi_orders
+                where is_delivered and main_payment_type is not null group by k
+              union all select 'region', customer_region, avg(is_late::int) from real_normal group by customer_region) a
+        full join (select 'weekday' as kind, isodow(purchase_date)::varchar as k, count(*) / sum(count(*)) over ()::double as v from sim group by k
+              union all select 'hour', hour(purchased_at)::varchar as k, count(*) / sum(count(*)) over ()::double from sim group by k
+              union all select 'payment', main_payment_type as k, count(*) / sum(count(*)) over ()::double from sim
+                where main_payment_type is not null group by k
+              union all select 'region', customer_region, avg(is_late::int) from sim where is_delivered group by customer_region) b
+        on a.kind = b.kind and a.k = b.k""",
+}
+add("share_vectors", 'select kind, k as key, round(r, 6) as "real", round(s, 6) as simulated from vectors', **VECTORS)
+LINES = [
+    ("Share of orders delivered", "(select avg((delivery_outcome in ('On time', 'Late', 'Delivered, date missing'))::int) from kpi_orders)",
+     "(select avg(is_delivered::int) from sim)", 0.005, "false"),
+    ("Average promised days (delivered orders)", "(select avg(promised_days) from real_normal)", "(select avg(promised_days) from sim where is_delivered)", 1.0, "false"),
+    ("Average actual delivery days", "(select avg(actual_days) from real_normal)", "(select avg(actual_days) from sim)", 1.0, "false"),
+    ("Late rate (delivered orders)", "(select avg(is_late::int) from real_normal)", "(select avg(is_late::int) from sim)", 0.015, "false"),
+    ("Seller missed hand-over deadline", "(select avg(seller_missed_ship_by::int) from real_normal)",
+     "(select avg(ifnull(seller_missed_ship_by, false)::int) from sim where is_delivered)", 0.02, "false"),
+    ("1-2 star reviews, on-time orders", "(select avg(ifnull(review_score <= 2, false)::int) from kpi_orders where delivery_outcome = 'On time')",
+     "(select avg((review_score <= 2)::int) from sim where delivery_outcome = 'On time')", 0.02, "false"),
+    ("1-2 star reviews, late orders", "(select avg(ifnull(review_score <= 2, false)::int) from kpi_orders where delivery_outcome = 'Late')",
+     "(select avg((review_score <= 2)::int) from sim where delivery_outcome = 'Late')", 0.05, "false"),
+    ("Median approval hours, credit card", "(select median(approval_hours) from kpi_orders where main_payment_type = 'credit_card')",
+     "(select median(approval_hours) from sim where main_payment_type = 'credit_card')", 0.5, "false"),
+    ("Median approval hours, boleto", "(select median(approval_hours) from kpi_orders where main_payment_type = 'boleto')",
+     "(select median(approval_hours) from sim where main_payment_type = 'boleto')", 6.0, "false"),
+    ("Average order value (relative)", "(select sum(gmv_brl)::double / count(*) from kpi_orders where is_delivered)",
+     "(select sum(gmv_brl)::double / count(*) from sim)", 0.03, "true"),
+]
+GAP_LINES = [("Weekday pattern: largest gap in share of orders", "weekday", 0.015), ("Hour of day: largest gap in share of orders", "hour", 0.01),
+             ("Payment mix: largest gap in share", "payment", 0.015), ("Late rate by region: largest gap", "region", 0.03)]
+add("drift_report", "with report_lines as (" + " union all ".join(
+    [f"select '{m}' as measure, 0.0::double as r, (select max(abs(r - s)) from vectors where kind = '{k}') as s, {t}::double as allowed, false as is_relative"
+     for m, k, t in GAP_LINES] + [f"select '{m}', {r}, {s}, {t}::double, {rel}" for m, r, s, t, rel in LINES]) + """)
+    select measure, round(r, 6) as "real", round(s, 6) as simulated, allowed, is_relative,
+        round(case when is_relative then (s - r) / r else s - r end, 6) as difference,
+        ifnull(abs(case when is_relative then (s - r) / r else s - r end) <= allowed, false) as within from report_lines""", **VECTORS)
+
+# ---- landing reshapes and series checks
+add("array_to_rows", """
+    with w as (select state_code, strftime(weather_date, '%Y-%m-%d') as time,
+        case when day(weather_date) <> 31 then precipitation_mm end as precipitation_sum,
+        precipitation_mm + 20.0::double as temperature_2m_max, precipitation_mm + 10.0::double as temperature_2m_min from f_rain)
+    select state_code, -10.0::double as grid_latitude, -50.0::double as grid_longitude, 'UTC' as timezone, time, precipitation_sum,
+        temperature_2m_max, temperature_2m_min
+    from w where time <= (select max(time) from w x where x.state_code = w.state_code and x.precipitation_sum is not null)""")
+add("incomplete_days", "select state_code, count(*)::int as days from f_rain group by 1 having count(*) <> 2557")
+add("map_to_rows", """select rate_date as "date", 'EUR' as base, 'BRL' as quote, round(brl_per_eur, 6) as rate from f_fx""")
+for name in ("monthly_text", "coded_months"):
+    add(name, """select strftime(month_start, '%Y-%m') as "month", round(pct_change, 6) as pct_change from f_inflation""")
+GAP = """select {by}{day}, prev as previous_day, ({day} - prev)::int as gap_days
+    from (select {by}{day}, lag({day}) over ({part}order by {day}) as prev from (select distinct {by}{day} from {table})) where {day} - prev > 5"""
+add("series_gaps", GAP.format(by="", part="", day="holiday_date", table="f_holidays"))
+add("series_gaps_by_state", GAP.format(by="state_code, ", part="partition by state_code ", day="weather_date", table="f_rain"))
+add("series_missing_months", """
+    select month_start, prev as previous_month, (date_diff('month', prev, month_start) - 1)::int as months_missing
+    from (select month_start, lag(month_start) over (order by month_start) as prev from f_inflation where pct_change > 0)
+    where date_diff('month', prev, month_start) > 1""")
+add("series_implausible", "select rate_date, round(brl_per_eur, 6) as brl_per_eur from f_fx where brl_per_eur < 3.3 or brl_per_eur > 3.9")
+add("series_coverage", """
+    select a as first_day, b as last_day from (select min(rate_date) as a, max(rate_date) as b from f_fx)
+    where a > date '1995-01-01' or date '2001-12-31' - b > 5""")
+add("series_staleness", """
+    select m as latest_month, date_diff('month', m, date '2001-12-31')::int as months_old
+    from (select max(month_start) as m from f_inflation) where date_diff('month', m, date '2001-12-31') > 3""")
+add("wrong_partition", """
+    select holiday_date, holiday_name from f_holidays where year(holiday_date) <> 1999 or holiday_name <> '1-URGENT'""")
+add("feed_log", "select count(*) as records, count(state_iso_codes) as state_level from f_holidays")
+add("source_priority", "select month_start, round(pct_change, 6) as pct_change, 'saved' as source from f_inflation")
+
+# ---- files
+add("csv_round_trip", """
+    select order_id::varchar as order_id, customer_id::varchar as customer_id, order_status, purchased_at, approved_at, shipped_at, delivered_at,
+        promised_date, data_source, is_synthetic, sim_as_of from f_orders""")
+add("json_round_trip", """
+    select holiday_date, holiday_name, is_nationwide, state_iso_codes, is_public_holiday, is_bank_holiday from f_holidays""")
+add("parquet_export", """
+    select order_id, purchase_date, round(gmv_brl::double, 4) as gmv_brl, delivery_outcome, date_trunc('month', purchase_date)::date as "month"
+    from fct_orders""")
+add("file_manifest", "select true as has_files, true as has_digests, count(*) as records from orders")

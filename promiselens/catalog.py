@@ -3,15 +3,33 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promiselens.operators import checks
-from promiselens.plans import facts, findings, marts, measures, profile, quality, summaries, timeline, verify
+from promiselens.functions import dates
+from promiselens.operators import calendars, checks, series
+from promiselens.plans import (
+    drift,
+    facts,
+    findings,
+    fit,
+    marts,
+    measures,
+    profile,
+    quality,
+    staging,
+    summaries,
+    timeline,
+    verify,
+)
+from promiselens.session import shared_folder
+from promiselens.sources import payloads, registry, sinks
 from promiselens.sources.tables import TableFeed
+from promiselens.streaming import snapshots
 
 Query = Callable[[TableFeed], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,8 +48,8 @@ def tidy(df: DataFrame, eur_digits: int = 2) -> DataFrame:
         if isinstance(field.dataType, T.DecimalType):
             column = F.round(column.cast("double"), 4).alias(field.name)
         elif isinstance(field.dataType, T.DoubleType):
-            money = re.search(r"eur$|brl$|eur_|gmv", field.name) and "share" not in field.name
-            digits = eur_digits if money and field.name != "brl_per_eur" else 6
+            converted = re.search(r"eur$|eur_", field.name) and field.name != "brl_per_eur"
+            digits = eur_digits if converted else 4 if field.name.endswith("brl") else 6
             column = F.round(column, digits).alias(field.name)
         columns.append(column)
     return df.select(*columns)
@@ -423,3 +441,288 @@ def recompute_headline(feed: TableFeed) -> DataFrame:
         *[F.round(name, 4).alias(name) for name in ("expected", "actual", "difference")],
         "match",
     )
+
+
+# ---- fitted distributions
+
+
+def _fit_query(name: str, function, needs: list[str]) -> None:
+    QUERIES[name] = lambda feed: tidy(function(facts.order_facts(feed, feed.params, needs), feed.params))
+
+
+_fit_query("volume_weekdays", fit.weekday_means, fit.HISTORY_NEEDS)
+_fit_query("volume_months", fit.month_factors, fit.HISTORY_NEEDS)
+_fit_query("event_uplift", fit.event_uplift, fit.HISTORY_NEEDS)
+_fit_query("peak_factor", fit.peak_factor, fit.PEAK_NEEDS)
+_order_query("hour_shares", fit.hour_shares, fit.HISTORY_NEEDS)
+_order_query("outcome_shares", fit.outcome_shares, fit.OUTCOME_NEEDS)
+_order_query("no_review_share", fit.no_review_share, fit.REVIEW_NEEDS)
+_order_query("score_shares", fit.score_shares, fit.REVIEW_NEEDS)
+_order_query("sent_day_shares", fit.sent_day_shares, fit.REVIEW_NEEDS)
+_order_query("review_grids", fit.review_grids, fit.REVIEW_NEEDS)
+
+
+def _approval_query(name: str, function) -> None:
+    def run(feed: TableFeed) -> DataFrame:
+        orders = facts.order_facts(feed, feed.params, fit.APPROVAL_NEEDS)
+        return tidy(function(orders, fit.bank_calendar(feed, feed.params), feed.params))
+
+    QUERIES[name] = run
+
+
+_approval_query("approval_lag_shares", fit.approval_lag_shares)
+_approval_query("approval_hour_shares", fit.approval_hour_shares)
+_approval_query("approval_minutes", fit.approval_minutes)
+
+
+@query
+def journey_templates(feed: TableFeed) -> DataFrame:
+    return tidy(fit.journey_templates(feed, feed.params))
+
+
+@query
+def template_items(feed: TableFeed) -> DataFrame:
+    lines = feed.items.drop("shipping_limit_at")
+    return tidy(fit.template_lines(fit.journey_templates(feed, feed.params), lines, feed.params))
+
+
+@query
+def template_payments(feed: TableFeed) -> DataFrame:
+    return tidy(fit.template_lines(fit.journey_templates(feed, feed.params), feed.payments, feed.params))
+
+
+@query
+def price_index(feed: TableFeed) -> DataFrame:
+    return tidy(fit.price_index(feed.inflation))
+
+
+@query
+def price_factors(feed: TableFeed) -> DataFrame:
+    months = feed.orders.select(dates.month_start(F.col("purchased_at").cast("date")).alias("month_start")).distinct()
+    return tidy(fit.price_factors(feed.inflation, months, feed.params.kpi_start, feed.params))
+
+
+@query
+def payment_rescale(feed: TableFeed) -> DataFrame:
+    totals = summaries.items_summary(feed.items).select("order_id", F.col("gmv_brl").alias("new_total"))
+    return tidy(fit.rescaled_payments(feed.payments, totals, feed.params))
+
+
+# ---- calendars
+
+
+@query
+def bank_days(feed: TableFeed) -> DataFrame:
+    return fit.bank_calendar(feed, feed.params)
+
+
+@query
+def bank_days_between(feed: TableFeed) -> DataFrame:
+    orders = feed.orders.select("order_id", "purchased_at", "promised_date")
+    calendar = fit.bank_calendar(feed, feed.params)
+    return calendars.with_bank_days_between(orders, "purchased_at", "promised_date", calendar, "bank_days")
+
+
+@query
+def bank_days_added(feed: TableFeed) -> DataFrame:
+    orders = feed.orders.select("order_id", "purchased_at")
+    lag = (F.col("order_id") % 5).cast("int")
+    calendar = fit.bank_calendar(feed, feed.params)
+    return calendars.with_bank_days_added(orders, "purchased_at", lag, calendar, "clearing_day")
+
+
+# ---- live feed
+
+
+@query
+def as_of_snapshot(feed: TableFeed) -> DataFrame:
+    return snapshots.orders_as_of(feed.planned_orders, feed.params.snapshot_after)
+
+
+@query
+def snapshot_diff(feed: TableFeed) -> DataFrame:
+    before, after = feed.params.snapshot_before, feed.params.snapshot_after
+    return snapshots.snapshot_diff(
+        snapshots.orders_as_of(feed.planned_orders, before),
+        snapshots.orders_as_of(feed.planned_orders, after),
+        snapshots.reviews_as_of(feed.reviews, before),
+        snapshots.reviews_as_of(feed.reviews, after),
+    )
+
+
+@query
+def share_vectors(feed: TableFeed) -> DataFrame:
+    return tidy(drift.share_vectors(facts.order_facts(feed, feed.params, drift.NEEDS), feed.params))
+
+
+@query
+def drift_report(feed: TableFeed) -> DataFrame:
+    return tidy(drift.drift_report(facts.order_facts(feed, feed.params, drift.NEEDS), feed.params))
+
+
+# ---- landing reshapes and series checks
+
+
+@query
+def array_to_rows(feed: TableFeed) -> DataFrame:
+    rows = payloads.daily_arrays_to_rows(feed.weather_payload)
+    return tidy(series.without_trailing_blanks(rows, "time", "precipitation_sum", "state_code"))
+
+
+@query
+def incomplete_days(feed: TableFeed) -> DataFrame:
+    payload = feed.weather_payload.select("state_code", "daily.*")
+    start, end = feed.params.calendar_start, feed.params.calendar_end
+    bad = series.incomplete_days(payload, "time", start, end, ["precipitation_sum"])
+    return bad.select("state_code", F.size("time").alias("days"))
+
+
+@query
+def map_to_rows(feed: TableFeed) -> DataFrame:
+    return tidy(payloads.rate_map_to_rows(feed.rate_payload))
+
+
+@query
+def monthly_text(feed: TableFeed) -> DataFrame:
+    return tidy(payloads.monthly_text_to_rows(feed.inflation_text))
+
+
+@query
+def coded_months(feed: TableFeed) -> DataFrame:
+    return tidy(payloads.coded_months_to_rows(feed.inflation_coded))
+
+
+@query
+def series_gaps(feed: TableFeed) -> DataFrame:
+    return series.gaps(feed.holidays, "holiday_date", 5)
+
+
+@query
+def series_gaps_by_state(feed: TableFeed) -> DataFrame:
+    return series.gaps(feed.weather, "weather_date", 5, "state_code")
+
+
+@query
+def series_missing_months(feed: TableFeed) -> DataFrame:
+    return series.missing_months(feed.inflation.where("pct_change > 0"), "month_start")
+
+
+@query
+def series_implausible(feed: TableFeed) -> DataFrame:
+    return tidy(series.implausible(feed.fx_rates, "brl_per_eur", 3.3, 3.9))
+
+
+@query
+def series_coverage(feed: TableFeed) -> DataFrame:
+    return series.uncovered(feed.fx_rates, "rate_date", feed.params.calendar_start, feed.params.calendar_end)
+
+
+@query
+def series_staleness(feed: TableFeed) -> DataFrame:
+    return series.stale(feed.inflation, "month_start", feed.params.calendar_end)
+
+
+@query
+def wrong_partition(feed: TableFeed) -> DataFrame:
+    fields = feed.holidays.select("holiday_date", "holiday_name")
+    return series.wrong_partition(fields, "holiday_date", feed.params.event_year, holiday_name="1-URGENT")
+
+
+@query
+def feed_log(feed: TableFeed) -> DataFrame:
+    return payloads.feed_log(feed.holidays, state_level=F.col("state_iso_codes").isNotNull())
+
+
+@query
+def source_priority(feed: TableFeed) -> DataFrame:
+    """The primary source lacks months and the backup holds implausible values, so the saved one is used."""
+    today, full = feed.params.data_cutoff, feed.inflation
+    sources = {
+        "primary": full.where("pct_change > 0"),
+        "backup": full.withColumn("pct_change", F.col("pct_change") * 10),
+        "saved": full,
+    }
+    violations = {
+        name: [
+            series.implausible(df, "pct_change", -3.0, 5.0),
+            series.missing_months(df, "month_start"),
+            series.stale(df, "month_start", today),
+        ]
+        for name, df in sources.items()
+    }
+    violations["saved"] = violations["saved"][2:]
+    return tidy(series.first_valid_source(sources, violations))
+
+
+# ---- files: written to the shared folder and read back
+
+
+def _folder(feed: TableFeed) -> str:
+    return f"{shared_folder(feed.spark)}/promiselens/{uuid.uuid4().hex}"
+
+
+def _raw_orders(feed: TableFeed) -> DataFrame:
+    """The orders as a landed text table, labels included."""
+    typed = ["order_id", "customer_id", "order_status", "purchased_at", "approved_at", "shipped_at", "delivered_at"]
+    names = registry.ORDERS.split()
+    return feed.orders.select(
+        *[F.col(old).alias(new) for old, new in zip(typed, names)],
+        F.col("promised_date").cast("timestamp_ntz").alias(names[-1]),
+        "data_source",
+        "is_synthetic",
+        "sim_as_of",
+    )
+
+
+@query
+def csv_round_trip(feed: TableFeed) -> DataFrame:
+    """Text snapshot -> raw text table -> typed orders."""
+    root = _folder(feed)
+    sinks.write_csv_text(_raw_orders(feed), f"{root}/sim/sim_orders.csv")
+    return staging.orders(registry.load_raw(feed.spark, root, "sim_orders"), feed.params)
+
+
+@query
+def json_round_trip(feed: TableFeed) -> DataFrame:
+    """NDJSON with lineage -> typed holidays, arrays kept."""
+    root = _folder(feed)
+    public, bank = F.array(F.lit("Public")), F.array(F.lit("Bank"))
+    types = F.concat(
+        F.when(F.col("is_public_holiday"), public).otherwise(F.array().cast("array<string>")),
+        F.when(F.col("is_bank_holiday"), bank).otherwise(F.array().cast("array<string>")),
+    )
+    records = feed.holidays.select(
+        F.col("holiday_date").cast("string").alias("date"),
+        F.col("holiday_name").alias("localName"),
+        F.col("holiday_name").alias("name"),
+        F.lit("BR").alias("countryCode"),
+        F.col("is_nationwide").alias("global"),
+        F.col("state_iso_codes").alias("counties"),
+        types.alias("types"),
+    )
+    landed = sinks.with_lineage(records, "tables/orders", "2001-12-31T00:00:00+00:00")
+    sinks.write_ndjson(landed, f"{root}/holidays/holidays_BR_all.ndjson")
+    return staging.holidays(registry.load_raw(feed.spark, root, "holidays")).drop("holiday_name_local")
+
+
+@query
+def parquet_export(feed: TableFeed) -> DataFrame:
+    """Exact decimals leave as doubles; the fact is partitioned by month for pruning."""
+    root = _folder(feed)
+    needs = ["order_id", "purchase_date", "gmv_brl", "delivery_outcome"]
+    orders = facts.order_facts(feed, feed.params, needs).withColumn("month", dates.month_start("purchase_date"))
+    sinks.export_parquet({"fct_orders": orders}, root, {"fct_orders": "month"})
+    return tidy(feed.spark.read.parquet(f"{root}/fct_orders"))
+
+
+@query
+def file_manifest(feed: TableFeed) -> DataFrame:
+    """Files, bytes, digests and parsed records of a landed table, summed up."""
+    root = _folder(feed)
+    sinks.write_csv_text(_raw_orders(feed), f"{root}/sim/sim_orders.csv")
+    found = registry.manifest(feed.spark, root, registry.RAW_TABLES["sim_orders"]).where(F.col("file").endswith(".csv"))
+    return found.agg(
+        (F.count(F.lit(1)) > 0).alias("has_files"),
+        (F.min(F.length("sha256")) == 64).alias("has_digests"),
+        F.sum("rows").alias("records"),
+    )

@@ -227,3 +227,70 @@ class TableFeed:
         return placed.groupBy(
             F.col("customer_state").alias("state_code"), F.col("o_orderdate").cast("date").alias("weather_date")
         ).agg((F.count(F.lit(1)) * 9).cast("double").alias("precipitation_mm"))
+
+    @cached_property
+    def planned_orders(self) -> DataFrame:
+        """Orders with all events of their life, also those that end without delivery."""
+        processing = F.col("order_status") == "processing"
+        return self.orders.withColumns(
+            {
+                "canceled_at": F.when(
+                    F.col("order_status") == "canceled", F.col("purchased_at") + F.expr("interval 1 day")
+                ),
+                "unavailable_at": F.when(
+                    processing & (F.col("order_id") % 3 == 0), F.col("purchased_at") + F.expr("interval 2 days")
+                ),
+                "is_stuck": processing,
+            }
+        )
+
+    @cached_property
+    def weather_payload(self) -> DataFrame:
+        """Per state the days and values as parallel arrays, as a weather service answers them.
+
+        A state has at most one entry per calendar day.
+        """
+        day = F.struct(
+            F.date_format("weather_date", "yyyy-MM-dd").alias("time"),
+            F.when(F.dayofmonth("weather_date") != 31, F.col("precipitation_mm")).alias("precipitation_sum"),
+            (F.col("precipitation_mm") + 20.0).alias("temperature_2m_max"),
+            (F.col("precipitation_mm") + 10.0).alias("temperature_2m_min"),
+        )
+        names = ["time", "precipitation_sum", "temperature_2m_max", "temperature_2m_min"]
+        days = self.weather.groupBy("state_code").agg(F.sort_array(F.collect_list(day)).alias("_days"))
+        arrays = F.struct(*[F.col(f"_days.{name}").alias(name) for name in names])
+        return days.select(
+            "state_code",
+            F.lit(-10.0).alias("latitude"),
+            F.lit(-50.0).alias("longitude"),
+            F.lit("UTC").alias("timezone"),
+            arrays.alias("daily"),
+        )
+
+    @cached_property
+    def rate_payload(self) -> DataFrame:
+        """All days in one map, as a rate service answers them (at most one entry per calendar day)."""
+        entry = F.struct(
+            F.date_format("rate_date", "yyyy-MM-dd").alias("day"),
+            F.create_map(F.lit("BRL"), F.col("brl_per_eur"), F.lit("USD"), F.lit(1.1)).alias("quotes"),
+        )
+        return self.fx_rates.agg(F.map_from_entries(F.collect_list(entry)).alias("rates")).select(
+            F.lit(1.0).alias("amount"), F.lit("EUR").alias("base"), "rates"
+        )
+
+    @cached_property
+    def inflation_text(self) -> DataFrame:
+        """Dates as dd/MM/yyyy, numbers as text with a decimal comma."""
+        return self.inflation.select(
+            F.date_format("month_start", "dd/MM/yyyy").alias("data"),
+            F.regexp_replace(F.format_number("pct_change", 1), "[.]", ",").alias("valor"),
+        )
+
+    @cached_property
+    def inflation_coded(self) -> DataFrame:
+        """Months as yyyyMM after a header row, as the backup service answers them."""
+        header = self.inflation.groupBy().agg(F.lit("Month (code)").alias("D3C"), F.lit("Value").alias("V"))
+        rows = self.inflation.select(
+            F.date_format("month_start", "yyyyMM").alias("D3C"), F.format_number("pct_change", 1).alias("V")
+        )
+        return header.unionByName(rows)
