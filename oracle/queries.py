@@ -216,8 +216,8 @@ add("category_values", """
     left join f_categories c on c.category_name_pt = p.category_name_pt
     where is_in_kpi_window group by 1""")
 add("rolling_3m_calendar", """
-    select d::date as date_day, sum(is_late::int)::bigint as late_orders, count(*) filter (is_delivered) as delivered_orders,
-        round(sum(is_late::int) / count(*) filter (is_delivered)::double, 6) as late_rate_3m
+    select d::date as date_day, count(*) filter (is_late) as late_orders, count(*) filter (is_delivered) as delivered_orders,
+        round(count(*) filter (is_late) / nullif(count(*) filter (is_delivered), 0)::double, 6) as late_rate_3m
     from generate_series(date '1996-01-01', date '2000-12-31', interval 1 day) g(d)
     join kpi_orders on purchase_date <= d::date and purchase_date > d - interval 3 month
     where d::date between (select min(purchase_date) from kpi_orders) and (select max(purchase_date) from kpi_orders)

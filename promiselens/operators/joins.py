@@ -1,18 +1,20 @@
 """Lookup joins that pick a strategy from sizes and survive hot keys.
 
-Three tiers:
+* The lookup side is small by Catalyst's own statistics -> broadcast; the fact side is not shuffled.
+* A derived lookup looks large only because an aggregate keeps its input's estimate -> it is written
+  out once, and its true size decides.
+* Otherwise -> shuffle join in which hot keys (and null keys) are spread over salts.
 
-* the lookup side is small by Catalyst's own statistics -> broadcast, the fact side is not shuffled;
-* otherwise -> shuffle join in which hot keys (and null keys) are spread over salts;
-* the rest of the skew is left to adaptive execution.
+Skew that is left over (many medium keys in one partition) is split by adaptive execution.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promiselens.params import Params
+from promiselens.session import materialise
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -25,13 +27,27 @@ def is_small(df: DataFrame, params: Params) -> bool:
     return estimated_bytes(df) <= params.broadcast_limit_bytes
 
 
-def hot_keys(keys: DataFrame, params: Params) -> DataFrame:
-    """Keys that hold at least ``hot_key_rows`` rows: never more than rows / hot_key_rows of them."""
-    present = keys
-    for name in keys.columns:
-        present = present.where(F.col(name).isNotNull())
-    counted = present.groupBy(*keys.columns).agg(F.count(F.lit(1)).alias("_rows"))
-    return counted.where(F.col("_rows") >= params.hot_key_rows).drop("_rows")
+def measured(df: DataFrame, params: Params) -> DataFrame:
+    """``df`` itself when its estimate is small, else its written copy, whose size is known."""
+    return df if is_small(df, params) else materialise(df)
+
+
+def _row_hash(columns: list[str]) -> Column:
+    return F.xxhash64(*columns)
+
+
+def hot_keys(key_source: DataFrame, on: list[str], spread_by: list[str], params: Params) -> DataFrame:
+    """Keys that hold about ``hot_key_rows`` rows or more, found in a hash sample of the rows.
+
+    The sample is a function of the row, so every evaluation finds the same keys. A key missed or found
+    by chance only changes where rows go, never the result. There are at most rows / hot_key_rows keys.
+    """
+    one_in = params.hot_key_sample
+    sampled = key_source.where(F.pmod(_row_hash([*on, *spread_by]), F.lit(one_in)) == 0).select(*on)
+    for name in on:
+        sampled = sampled.where(F.col(name).isNotNull())
+    counted = sampled.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    return counted.where(F.col("_rows") >= max(params.hot_key_rows // one_in, 1)).drop("_rows")
 
 
 def spread_join(
@@ -45,14 +61,15 @@ def spread_join(
 ) -> DataFrame:
     """Join on ``on``; rows of hot keys are spread over ``params.salts`` tasks by a hash of ``spread_by``.
 
-    ``key_source`` is the cheapest frame with the fact side's key distribution (often the raw table).
+    ``key_source`` is the cheapest frame with (at least) the fact side's key counts, usually a raw table.
     The salt is a function of the row, so a recomputed task produces the same rows.
     """
-    hot = F.broadcast(hot_keys(key_source.select(*on), params).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(hot_keys(key_source, on, spread_by, params).withColumn("_hot", F.lit(True)))
     no_match = F.lit(False)
     for name in on:
         no_match = no_match | F.col(name).isNull()
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(params.salts)).cast("int")
+    # pmod of a different hash than the sample's, so that sampled rows are spread as well.
+    salt = F.pmod(F.hash(*spread_by), F.lit(params.salts))
     salted_fact = (
         fact.join(hot, on, "left")
         .withColumn("_salt", F.when(F.col("_hot") | no_match, salt).otherwise(F.lit(0)))
@@ -71,15 +88,23 @@ def lookup_join(
     fact: DataFrame,
     lookup: DataFrame,
     on: list[str],
-    spread_by: list[str],
     params: Params,
     how: str = "left",
     key_source: DataFrame | None = None,
+    spread_by: list[str] | None = None,
 ) -> DataFrame:
-    """Many-to-one join of a fact with a lookup table that is unique on ``on``."""
+    """Many-to-one join of a fact with a lookup table that is unique on ``on``.
+
+    A lookup that can grow with the data names a ``key_source`` and ``spread_by`` for its large case. A
+    derived table of bounded content names neither: it is measured, and joined plainly when it should
+    turn out large after all.
+    """
     if is_small(lookup, params):
         return fact.join(F.broadcast(lookup), on, how)
-    return spread_join(fact, lookup, on, spread_by, key_source if key_source is not None else fact, params, how)
+    if key_source is not None:
+        return spread_join(fact, lookup, on, spread_by or on, key_source, params, how)
+    written = materialise(lookup)
+    return fact.join(F.broadcast(written) if is_small(written, params) else written, on, how)
 
 
 def renamed(df: DataFrame, **names: str) -> DataFrame:

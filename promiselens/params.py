@@ -49,6 +49,7 @@ class Params:
     # Physical strategy (never changes a result).
     broadcast_limit_bytes: int = 64 * 1024 * 1024
     hot_key_rows: int = 2_000_000
+    hot_key_sample: int = 128
     salts: int = 64
 
     @property

@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promiselens.functions import dates, geo, rules, text
-from promiselens.operators.calendars import calendar_days  # noqa: F401  (re-exported for callers)
-from promiselens.operators.joins import lookup_join, renamed
+from promiselens.operators.joins import lookup_join, measured, renamed
 from promiselens.params import Params
 from promiselens.plans import summaries, timeline
 
@@ -78,7 +77,7 @@ def order_facts(feed, params: Params, columns: Iterable[str] | None = None) -> D
         ).withColumn("is_low_review", F.col("review_score") <= params.low_review_max)
 
     facts = timeline.add_stages(orders, params)
-    facts = lookup_join(facts, feed.customers, ["customer_id"], ["order_id"], params, "inner", feed.orders)
+    facts = lookup_join(facts, feed.customers, ["customer_id"], params, "inner", feed.orders, ["order_id"])
     facts = _add_places(facts, feed, params, needs)
     if "context" in needs:
         holidays = summaries.state_holidays(feed.holidays, feed.states)
@@ -97,19 +96,21 @@ def _add_places(facts: DataFrame, feed, params: Params, needs: set[str]) -> Data
             feed.sellers, primary_seller_id="seller_id", seller_state="seller_state",
             seller_zip_prefix="seller_zip_prefix",
         )
-        facts = lookup_join(facts, sellers, ["primary_seller_id"], ["order_id"], params)
+        # An order's primary seller sold at least one of its items, so a seller hot here is hot there.
+        sold = renamed(feed.items, primary_seller_id="seller_id", order_id="order_id")
+        facts = lookup_join(facts, sellers, ["primary_seller_id"], params, "left", sold, ["order_id"])
         facts = facts.withColumn("route", text.route_label("seller_state", "customer_state"))
     if "regions" in needs:
         for role in ["customer", "seller"] if "seller" in needs else ["customer"]:
             regions = renamed(feed.states, **{f"{role}_state": "state_code", f"{role}_region": "region"})
-            facts = lookup_join(facts, regions, [f"{role}_state"], ["order_id"], params)
+            facts = lookup_join(facts, regions, [f"{role}_state"], params)
     if "zips" in needs:
-        centroids = summaries.zip_centroids(feed.geolocation)
+        centroids = measured(summaries.zip_centroids(feed.geolocation), params)
         for role in ("customer", "seller"):
             points = renamed(
                 centroids, **{f"{role}_zip_prefix": "zip_prefix", f"_{role}_lat": "latitude", f"_{role}_lng": "longitude"}
             )
-            facts = lookup_join(facts, points, [f"{role}_zip_prefix"], ["order_id"], params)
+            facts = lookup_join(facts, points, [f"{role}_zip_prefix"], params)
         facts = facts.withColumn(
             "distance_km", geo.haversine_km("_seller_lat", "_seller_lng", "_customer_lat", "_customer_lng")
         ).withColumn("distance_band", rules.distance_band())
@@ -146,17 +147,11 @@ def item_facts(feed, params: Params, orders: DataFrame | None = None) -> DataFra
     """One row per item; the order's delivery result is copied to its items, the value is the item's own."""
     if orders is None:
         orders = order_facts(feed, params, ITEM_FACT_FROM_ORDER)
-    items = lookup_join(
-        feed.items, feed.sellers.select("seller_id", "seller_state"), ["seller_id"], ["order_id"], params
-    )
+    line = ["order_id", "order_item_number"]
+    sellers = feed.sellers.select("seller_id", "seller_state")
+    items = lookup_join(feed.items, sellers, ["seller_id"], params, "left", feed.items, line)
     joined = lookup_join(
-        items,
-        orders.select(*ITEM_FACT_FROM_ORDER),
-        ["order_id"],
-        ["order_id", "order_item_number"],
-        params,
-        "inner",
-        feed.items,
+        items, orders.select(*ITEM_FACT_FROM_ORDER), ["order_id"], params, "inner", feed.items, line
     )
     value_brl = (F.col("price_brl") + F.col("freight_brl")).cast("decimal(38,6)")
     value_eur = F.col("item_gmv_brl").cast("double") / F.col("brl_per_eur")
@@ -206,7 +201,7 @@ def date_dimension(feed, params: Params) -> DataFrame:
 
 def product_dimension(feed, params: Params) -> DataFrame:
     unknown = F.lit("unknown")
-    translated = lookup_join(feed.products, feed.categories, ["category_name_pt"], ["product_id"], params)
+    translated = lookup_join(feed.products, feed.categories, ["category_name_pt"], params)
     return translated.select(
         "product_id",
         F.coalesce("category_name_pt", unknown).alias("category_name_pt"),
@@ -223,8 +218,8 @@ def seller_dimension(feed, params: Params) -> DataFrame:
     centroids = renamed(
         summaries.zip_centroids(feed.geolocation), seller_zip_prefix="zip_prefix", latitude="latitude", longitude="longitude"
     )
-    placed = lookup_join(feed.sellers, regions, ["seller_state"], ["seller_id"], params)
-    placed = lookup_join(placed, centroids, ["seller_zip_prefix"], ["seller_id"], params)
+    placed = lookup_join(feed.sellers, regions, ["seller_state"], params)
+    placed = lookup_join(placed, centroids, ["seller_zip_prefix"], params)
     return placed.select(
         "seller_id", "seller_city", "seller_state", "seller_region", "seller_zip_prefix", "latitude", "longitude"
     )

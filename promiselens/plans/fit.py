@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from promiselens.functions import dates, rules, text
 from promiselens.functions.stats import PERCENTILE_GRID, count_where, percentile_grid, safe_ratio
 from promiselens.operators.calendars import bank_day_index, bank_holidays_of, calendar_days, with_bank_days_between
-from promiselens.operators.joins import lookup_join
+from promiselens.operators.joins import lookup_join, renamed
 from promiselens.operators.ranking import add_dense_id
 from promiselens.params import Params
 from promiselens.plans import summaries
@@ -270,10 +270,11 @@ def journey_templates(feed, params: Params) -> DataFrame:
         return dates.seconds_between(start, end) / F.lit(86400.0)
 
     placed = lookup_join(
-        clean, feed.customers.drop("customer_unique_id"), ["customer_id"], ["order_id"], params, "inner", feed.orders
+        clean, feed.customers.drop("customer_unique_id"), ["customer_id"], params, "inner", feed.orders, ["order_id"]
     )
     sellers = feed.sellers.select(F.col("seller_id").alias("primary_seller_id"), "seller_state")
-    placed = lookup_join(placed, sellers, ["primary_seller_id"], ["order_id"], params, "inner")
+    sold = renamed(feed.items, primary_seller_id="seller_id", order_id="order_id")
+    placed = lookup_join(placed, sellers, ["primary_seller_id"], params, "inner", sold, ["order_id"])
     templates = placed.select(
         F.col("order_id").alias("source_order_id"),
         dates.year_month("purchased_at").alias("purchase_month"),
@@ -295,7 +296,7 @@ def template_lines(templates: DataFrame, lines: DataFrame, params: Params) -> Da
     """The items or payments of the templates, one row each (an order's lines are never collected)."""
     ids = templates.select(F.col("source_order_id").alias("order_id"), "template_id")
     spread = [c for c in lines.columns if c != "order_id"]
-    return lookup_join(lines, ids, ["order_id"], spread, params, "inner", lines).drop("order_id")
+    return lookup_join(lines, ids, ["order_id"], params, "inner", lines, spread).drop("order_id")
 
 
 # ---- prices
@@ -342,7 +343,7 @@ def rescaled_payments(payments: DataFrame, new_totals: DataFrame, params: Params
     spread = ["payment_sequence", "payment_brl"]
     ratio = F.col("payment_brl").cast("double") * F.col("_new").cast("double")
     old = F.when(F.col("_old") == 0, 1.0).otherwise(F.col("_old").cast("double"))
-    scaled = lookup_join(payments, per_order, ["order_id"], spread, params, "inner", payments).withColumn(
+    scaled = lookup_join(payments, per_order, ["order_id"], params, "inner", payments, spread).withColumn(
         "_scaled", F.round(ratio / old, 2).cast(cents)
     )
     order = F.struct(-F.col("_scaled"), F.col("payment_sequence"), F.col("payment_brl"))
@@ -350,7 +351,7 @@ def rescaled_payments(payments: DataFrame, new_totals: DataFrame, params: Params
     rest = scaled.groupBy("order_id").agg(
         (F.max("_new") - F.sum("_scaled")).cast(cents).alias("_rest"), F.min_by(place, order).alias("_largest")
     )
-    joined = lookup_join(scaled, rest, ["order_id"], spread, params, "inner", payments)
+    joined = lookup_join(scaled, rest, ["order_id"], params, "inner", payments, spread)
     correction = F.when(place == F.col("_largest"), F.col("_rest")).otherwise(F.lit(0).cast(cents))
     return joined.select(
         "order_id",

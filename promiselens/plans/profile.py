@@ -107,7 +107,7 @@ def deadline_anchor(orders: DataFrame, items: DataFrame, params: Params) -> Data
     stamped = orders.where("approved_at is not null").select("order_id", "purchased_at", "approved_at")
     gaps = lookup_join(
         items.select("order_id", "order_item_number", "shipping_limit_at"),
-        stamped, ["order_id"], ["order_item_number"], params, "inner", items,
+        stamped, ["order_id"], params, "inner", items, ["order_item_number"],
     ).select(
         dates.seconds_between("approved_at", "shipping_limit_at").alias("_approval"),
         dates.seconds_between("purchased_at", "shipping_limit_at").alias("_purchase"),

@@ -92,14 +92,15 @@ def _merged(holidays: DataFrame, *keys: str) -> DataFrame:
 def state_holidays(holidays: DataFrame, states: DataFrame) -> DataFrame:
     """Holidays of every state: nationwide ones for all states, regional ones by their state codes.
 
-    No cross join with an OR: each holiday lists its states (all of them when nationwide), the list is
-    exploded and matched to the state table.
+    No cross join with an OR: each holiday lists its states (all of them when nationwide) and the list is
+    exploded. The state codes are one small array from a scalar subquery.
     """
     codes = states.agg(F.array_agg(F.concat(F.lit("BR-"), "state_code"))).scalar()
     listed = F.when(F.col("is_nationwide"), codes).otherwise(F.array_distinct("state_iso_codes"))
     per_state = (
         holidays.withColumn("_code", F.explode(listed))
-        .join(F.broadcast(states.select("state_code", F.concat(F.lit("BR-"), "state_code").alias("_code"))), "_code")
+        .where(F.array_contains(codes, F.col("_code")))
+        .withColumn("state_code", F.substring("_code", 4, 100))
     )
     return _merged(per_state, "state_code", "holiday_date").withColumn(
         "is_weekday", dates.iso_weekday("holiday_date") <= 5

@@ -79,12 +79,11 @@ def add_context(orders: DataFrame, holidays: DataFrame, weather: DataFrame, para
     an order that was not handed over has neither.
     """
     keyed = orders.withColumns({"_state": F.col("customer_state"), "_start_day": F.col("purchase_date")})
-    with_holidays = lookup_join(
-        keyed, holiday_windows(holidays, params), ["_state", "_start_day"], ["order_id"], params
-    ).withColumn("_start_day", F.col("shipped_date"))
-    with_rain = lookup_join(
-        with_holidays, rain_windows(weather, params), ["_state", "_start_day"], ["order_id"], params
+    on = ["_state", "_start_day"]
+    with_holidays = lookup_join(keyed, holiday_windows(holidays, params), on, params).withColumn(
+        "_start_day", F.col("shipped_date")
     )
+    with_rain = lookup_join(with_holidays, rain_windows(weather, params), on, params)
     shipped = F.col("shipped_date").isNotNull()
     return with_rain.withColumns(
         {
@@ -107,10 +106,10 @@ def order_context(
         ),
         customers.select("customer_id", "customer_state"),
         ["customer_id"],
-        ["order_id"],
         params,
-        how="inner",
-        key_source=orders,
+        "inner",
+        orders,
+        ["order_id"],
     )
     return add_context(placed, holidays, weather, params).select(
         "order_id",

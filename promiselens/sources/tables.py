@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promiselens.functions import geo
+from promiselens.operators.joins import lookup_join
 from promiselens.params import TABLE_PARAMS, Params
 
 SIM_AS_OF = "2001-06-01 02:00:00"
@@ -108,36 +109,33 @@ class TableFeed:
         )
 
     @cached_property
-    def _places(self) -> DataFrame:
+    def states(self) -> DataFrame:
         return self.table("nation").join(
-            self.table("region"), F.col("n_regionkey") == F.col("r_regionkey")
-        ).select("n_nationkey", "n_name", "r_name")
+            F.broadcast(self.table("region")), F.col("n_regionkey") == F.col("r_regionkey")
+        ).select(F.col("n_name").alias("state_code"), F.col("r_name").alias("region"))
 
-    @cached_property
-    def states(self) -> DataFrame:
-        return self._places.select(F.col("n_name").alias("state_code"), F.col("r_name").alias("region"))
+    def _state(self, nation_key: Column) -> Column:
+        """Name of a nation. There are 25 nations at any scale: one map from a scalar subquery, no join."""
+        entries = F.array_agg(F.struct("n_nationkey", "n_name"))
+        return F.element_at(self.table("nation").agg(F.map_from_entries(entries)).scalar(), nation_key)
 
     @cached_property
     def customers(self) -> DataFrame:
-        return self.table("customer").join(
-            self._places, F.col("c_nationkey") == F.col("n_nationkey")
-        ).select(
+        return self.table("customer").select(
             F.col("c_custkey").alias("customer_id"),
             F.floor(F.col("c_custkey") / 2).cast("long").alias("customer_unique_id"),
             _zip("c_custkey").alias("customer_zip_prefix"),
             F.col("c_name").alias("customer_city"),
-            F.col("n_name").alias("customer_state"),
+            self._state(F.col("c_nationkey")).alias("customer_state"),
         )
 
     @cached_property
     def sellers(self) -> DataFrame:
-        return self.table("supplier").join(
-            self._places, F.col("s_nationkey") == F.col("n_nationkey")
-        ).select(
+        return self.table("supplier").select(
             F.col("s_suppkey").alias("seller_id"),
             F.col("s_name").alias("seller_city"),
             _zip("s_suppkey").alias("seller_zip_prefix"),
-            F.col("n_name").alias("seller_state"),
+            self._state(F.col("s_nationkey")).alias("seller_state"),
         )
 
     @cached_property
@@ -196,33 +194,30 @@ class TableFeed:
         days = self.table("orders").select(
             F.col("o_orderdate").cast("date").alias("holiday_date"), F.col("o_orderpriority").alias("holiday_name")
         ).where(F.dayofyear("holiday_date") % 29 == 0).distinct()
-        first = self.table("nation").select(
-            F.col("n_nationkey").alias("_first"), F.concat(F.lit("BR-"), "n_name").alias("_code_1")
-        )
-        second = self.table("nation").select(
-            F.col("n_nationkey").alias("_second"), F.concat(F.lit("BR-"), "n_name").alias("_code_2")
-        )
         nationwide = F.col("holiday_name").isin("1-URGENT", "2-HIGH")
         length, day = F.length("holiday_name"), F.dayofmonth("holiday_date")
-        return (
-            days.withColumn("_first", F.dayofyear("holiday_date") % 25)
-            .withColumn("_second", (F.dayofyear("holiday_date") + 7) % 25)
-            .join(F.broadcast(first), "_first")
-            .join(F.broadcast(second), "_second")
-            .select(
-                "holiday_date",
-                "holiday_name",
-                nationwide.alias("is_nationwide"),
-                F.when(~nationwide, F.array("_code_1", "_code_2")).alias("state_iso_codes"),
-                ((length + day) % 3 != 0).alias("is_public_holiday"),
-                ((length + day) % 2 == 0).alias("is_bank_holiday"),
-            )
+        codes = [
+            F.concat(F.lit("BR-"), self._state((F.dayofyear("holiday_date") + shift) % 25)) for shift in (0, 7)
+        ]
+        return days.select(
+            "holiday_date",
+            "holiday_name",
+            nationwide.alias("is_nationwide"),
+            F.when(~nationwide, F.array(*codes)).alias("state_iso_codes"),
+            ((length + day) % 3 != 0).alias("is_public_holiday"),
+            ((length + day) % 2 == 0).alias("is_bank_holiday"),
         )
 
     @cached_property
     def weather(self) -> DataFrame:
-        placed = self.table("orders").join(
-            self.customers.select(F.col("customer_id").alias("o_custkey"), "customer_state"), "o_custkey"
+        placed = lookup_join(
+            self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate"),
+            self.customers.select(F.col("customer_id").alias("o_custkey"), "customer_state"),
+            ["o_custkey"],
+            self.params,
+            "inner",
+            self.table("orders"),
+            ["o_orderkey"],
         )
         return placed.groupBy(
             F.col("customer_state").alias("state_code"), F.col("o_orderdate").cast("date").alias("weather_date")
