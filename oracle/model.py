@@ -243,7 +243,7 @@ STEPS: dict[str, str] = {
     "sellers_scored": """
         select *, case when is_rankable then rank() over (partition by is_rankable order by revenue_at_risk_eur desc nulls last) end as revenue_at_risk_rank,
             case when is_rankable then percent_rank() over (partition by is_rankable order by late_rate nulls last) end as late_rate_percentile,
-            is_rankable and late_rate >= 2 * platform_late_rate as is_on_watchlist
+            is_rankable and late_rate >= 1.05::double * platform_late_rate as is_on_watchlist
         from (select *, late_orders / nullif(delivered_orders, 0)::double as late_rate,
                 sum(late_orders) over () / (sum(delivered_orders) over ())::double as platform_late_rate,
                 delivered_orders >= 10 as is_rankable

@@ -74,6 +74,7 @@ TABLE_PARAMS = Params(
     level_start=date(2000, 1, 1),
     level_end=date(2000, 8, 31),
     event_year=1999,
+    watchlist_factor=1.05,
     snapshot_before=datetime(2000, 1, 10, 2, 0),
     snapshot_after=datetime(2000, 1, 20, 2, 0),
 )
