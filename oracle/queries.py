@@ -34,6 +34,10 @@ add_table("fx_daily_fill", "fx_daily", "rate_date brl_per_eur:6 is_published_rat
 add_table("state_holidays", "state_holidays",
           "state_code holiday_date holiday_names is_public_holiday is_bank_holiday is_weekday")
 add_table("zip_centroids", "zips", "zip_prefix latitude:6 longitude:6 point_count")
+add("haversine_routes", """
+    select route, count(distance_km) as orders_with_distance, round(min(distance_km), 6) as min_km, round(avg(distance_km), 6) as avg_km,
+        round(max(distance_km), 6) as max_km, count(*) filter (distance_km >= 1500) as orders_over_1500_km
+    from fct_orders where route is not null group by route""")
 add_table("order_context", "context",
           "order_id weekday_holidays_first_10_days heavy_rain_days_first_7_days_transit rain_mm_first_7_days_transit:6")
 add_table("fct_orders", "fct_orders",

@@ -26,7 +26,7 @@ from promiselens.plans import (
     timeline,
     verify,
 )
-from promiselens.session import shared_folder
+from promiselens.session import materialise, shared_folder
 from promiselens.sources import payloads, registry, sinks
 from promiselens.sources.tables import TableFeed
 from promiselens.streaming import snapshots
@@ -94,6 +94,23 @@ def zip_centroids(feed: TableFeed) -> DataFrame:
     return tidy(summaries.zip_centroids(feed.geolocation))
 
 
+@query
+def haversine_routes(feed: TableFeed) -> DataFrame:
+    """Distance of every order's route, summed up per route."""
+    orders = facts.order_facts(feed, feed.params, ["route", "distance_km", "distance_band"])
+    return tidy(
+        orders.where("route is not null")
+        .groupBy("route")
+        .agg(
+            F.count("distance_km").alias("orders_with_distance"),
+            F.min("distance_km").alias("min_km"),
+            F.avg("distance_km").alias("avg_km"),
+            F.max("distance_km").alias("max_km"),
+            F.count_if(F.col("distance_band") == "4: over 1,500 km").alias("orders_over_1500_km"),
+        )
+    )
+
+
 @query
 def order_context(feed: TableFeed) -> DataFrame:
     holidays = summaries.state_holidays(feed.holidays, feed.states)
@@ -161,6 +178,11 @@ def live_daily(feed: TableFeed) -> DataFrame:
 # ---- findings
 
 
+def _stored_orders(feed: TableFeed, needs: list[str]) -> DataFrame:
+    """The asked fact columns, written once: for results that read them in several branches."""
+    return materialise(facts.order_facts(feed, feed.params, needs))
+
+
 def _order_query(name: str, function, needs: list[str]) -> None:
     QUERIES[name] = lambda feed: tidy(function(facts.order_facts(feed, feed.params, needs)))
 
@@ -225,7 +247,7 @@ def top_risk_sellers(feed: TableFeed) -> DataFrame:
 
 @query
 def promise_backtest(feed: TableFeed) -> DataFrame:
-    orders = facts.order_facts(feed, feed.params, findings.BACKTEST_NEEDS)
+    orders = _stored_orders(feed, findings.BACKTEST_NEEDS)
     return tidy(findings.promise_backtest(orders, feed.params))
 
 
@@ -323,14 +345,14 @@ def dq_kpi_window_months(feed: TableFeed) -> DataFrame:
 
 @query
 def dq_monthly_matches_orders(feed: TableFeed) -> DataFrame:
-    orders = facts.order_facts(feed, feed.params, marts.MONTHLY_NEEDS)
+    orders = _stored_orders(feed, marts.MONTHLY_NEEDS)
     return quality.monthly_differs_from_orders(marts.monthly_kpis(orders), orders)
 
 
 @query
 def dq_items_reconcile_to_orders(feed: TableFeed) -> DataFrame:
     needs = [*dict.fromkeys([*facts.ITEM_FACT_FROM_ORDER, "gmv_eur", "revenue_at_risk_eur"])]
-    orders = facts.order_facts(feed, feed.params, needs)
+    orders = _stored_orders(feed, needs)
     return tidy(quality.items_differ_from_orders(orders, facts.item_facts(feed, feed.params, orders)))
 
 
@@ -346,7 +368,9 @@ def dq_fact_report(feed: TableFeed) -> DataFrame:
 
 @query
 def dq_mart_report(feed: TableFeed) -> DataFrame:
-    return quality.mart_report(feed, feed.params)
+    orders = _stored_orders(feed, facts.ORDER_FACT_COLUMNS)
+    items = materialise(facts.item_facts(feed, feed.params, orders))
+    return quality.mart_report(feed, feed.params, orders, items)
 
 
 # ---- profile
@@ -557,7 +581,7 @@ def share_vectors(feed: TableFeed) -> DataFrame:
 
 @query
 def drift_report(feed: TableFeed) -> DataFrame:
-    return tidy(drift.drift_report(facts.order_facts(feed, feed.params, drift.NEEDS), feed.params))
+    return tidy(drift.drift_report(_stored_orders(feed, drift.NEEDS), feed.params))
 
 
 # ---- landing reshapes and series checks

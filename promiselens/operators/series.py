@@ -92,6 +92,11 @@ def without_trailing_blanks(df: DataFrame, day: str, value: str, *by: str) -> Da
     return df.join(last, list(by)).where(F.col(day) <= F.col("_last")).drop("_last")
 
 
+def of_keys(df: DataFrame, column: str, wanted: list[str] | None) -> DataFrame:
+    """Rows of the wanted keys (states, say); no list means all."""
+    return df.where(F.upper(column).isin([w.upper() for w in wanted])) if wanted else df
+
+
 def first_valid_source(sources: dict[str, DataFrame], violations: dict[str, list[DataFrame]]) -> DataFrame:
     """All rows of the first source (in order) without a violation; none when every source fails.
 

@@ -18,6 +18,7 @@ from promiselens.operators.joins import lookup_join, renamed
 from promiselens.operators.ranking import add_dense_id
 from promiselens.params import Params
 from promiselens.plans import summaries
+from promiselens.session import materialise
 
 HISTORY_NEEDS = ["purchase_date", "purchased_at", "is_in_kpi_window"]
 APPROVAL_NEEDS = ["is_in_kpi_window", "purchased_at", "approved_at", "approval_hours", "main_payment_type"]
@@ -55,7 +56,8 @@ def _normal_month(params: Params, day: str = "purchase_date") -> Column:
 
 
 def _daily(orders: DataFrame) -> DataFrame:
-    return (
+    """Orders per day. Several branches read it, so the (calendar-sized) table is written once."""
+    return materialise(
         orders.where("is_in_kpi_window")
         .groupBy("purchase_date")
         .agg(F.count(F.lit(1)).alias("orders"))
@@ -79,8 +81,12 @@ def _event_year_means(daily: DataFrame, params: Params) -> DataFrame:
     return usual.groupBy("month").agg(F.avg("orders").alias("per_day"))
 
 
+def _weekday_means(daily: DataFrame, params: Params) -> DataFrame:
+    return _level(daily, params).groupBy("weekday").agg(F.avg("orders").alias("mean_orders"))
+
+
 def weekday_means(orders: DataFrame, params: Params) -> DataFrame:
-    return _level(_daily(orders), params).groupBy("weekday").agg(F.avg("orders").alias("mean_orders"))
+    return _weekday_means(_daily(orders), params)
 
 
 def month_factors(orders: DataFrame, params: Params) -> DataFrame:
@@ -104,7 +110,7 @@ def event_uplift(orders: DataFrame, params: Params) -> DataFrame:
     """Orders of each event day relative to a normal November day of the same weekday."""
     daily = _daily(orders)
     first, last = _event_window(params)
-    weekdays = weekday_means(orders, params)
+    weekdays = _weekday_means(daily, params)
     mean = weekdays.agg(F.avg("mean_orders")).scalar()
     november = _event_year_means(daily, params).where("month = 11").agg(F.max("per_day")).scalar()
     expected = november * F.col("mean_orders") / mean
@@ -124,8 +130,8 @@ def hour_shares(orders: DataFrame) -> DataFrame:
     counted = orders.where("is_in_kpi_window").groupBy(F.hour("purchased_at").alias("hour")).agg(
         F.count(F.lit(1)).alias("count")
     )
-    total = counted.agg(F.sum("count")).scalar()
     hours = orders.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
+    total = F.sum("count").over(Window.partitionBy())  # over the 24 hours
     return hours.join(counted, "hour", "left").select(
         "hour", safe_ratio(F.coalesce("count", F.lit(0)), total).alias("share")
     )
@@ -146,27 +152,27 @@ def bank_calendar(feed, params: Params) -> DataFrame:
     return bank_day_index(days, bank_holidays_of(feed.holidays))
 
 
-def boleto_lags(orders: DataFrame, calendar: DataFrame, params: Params) -> DataFrame:
-    boleto = _approvals(orders).where("main_payment_type = 'boleto'")
-    lagged = with_bank_days_between(boleto, "purchased_at", "approved_at", calendar, "lag")
+def approval_lags(orders: DataFrame, calendar: DataFrame, params: Params) -> DataFrame:
+    """Approved orders with ``lag`` = bank days from purchase to approval, capped."""
+    lagged = with_bank_days_between(_approvals(orders), "purchased_at", "approved_at", calendar, "lag")
     return lagged.withColumn("lag", F.least("lag", F.lit(params.max_approval_lag)))
 
 
 def approval_lag_shares(orders: DataFrame, calendar: DataFrame, params: Params) -> DataFrame:
-    return share_table(boleto_lags(orders, calendar, params).select("lag"), "lag")
+    boleto = approval_lags(orders, calendar, params).where("main_payment_type = 'boleto'")
+    return share_table(boleto.select("lag"), "lag")
 
 
 def approval_hour_shares(orders: DataFrame, calendar: DataFrame, params: Params) -> DataFrame:
-    later = boleto_lags(orders, calendar, params).where("lag >= 1")
+    later = approval_lags(orders, calendar, params).where("main_payment_type = 'boleto' and lag >= 1")
     return share_table(later.select(F.hour("approved_at").alias("hour")), "hour")
 
 
 def approval_minutes(orders: DataFrame, calendar: DataFrame, params: Params) -> DataFrame:
     """Minutes to approval by payment type; for bank slips only those approved on the same day."""
-    same_day = boleto_lags(orders, calendar, params).where("lag = 0").select("main_payment_type", "approval_hours")
-    others = _approvals(orders).where("main_payment_type <> 'boleto'").select("main_payment_type", "approval_hours")
-    both = same_day.unionByName(others).withColumnRenamed("main_payment_type", "payment_type")
-    return grid_rows(both, F.col("approval_hours") * 60, "payment_type", out="minutes")
+    shown = approval_lags(orders, calendar, params).where("main_payment_type <> 'boleto' or lag = 0")
+    typed = shown.withColumnRenamed("main_payment_type", "payment_type")
+    return grid_rows(typed, F.col("approval_hours") * 60, "payment_type", out="minutes")
 
 
 # ---- season, outcomes, reviews

@@ -22,6 +22,8 @@ def _nulls(table: str, *columns: str) -> dict:
 
 
 SYNTHETIC_LABELS = "is_synthetic and data_source = 'simulated'"
+# Synthetic ids carry a prefix where ids are text.
+SYNTHETIC_IDS = "order_id like 'sim-%'"
 EVENTS_IN_ORDER = (
     "(approved_at is null or approved_at >= purchased_at) and (shipped_at is null or shipped_at >= approved_at) "
     "and (delivered_at is null or delivered_at >= shipped_at)"
@@ -109,6 +111,51 @@ def model_report(feed, params: Params) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def synthetic_report(feed, params: Params) -> DataFrame:
+    """(check, violations) over the landed synthetic tables, which carry their own labels."""
+    from promiselens.plans import staging
+
+    orders = staging.orders(feed.raw("sim_orders"), params)
+    reviews = staging.reviews(feed.raw("sim_order_reviews"), params)
+    items = staging.items(feed.raw("sim_order_items"), params)
+    customers = staging.customers(feed.raw("sim_customers"), params)
+    row_checks = [
+        checks.count_violations(
+            orders,
+            {
+                "synthetic orders are labelled": ~F.expr(f"{SYNTHETIC_IDS} and {SYNTHETIC_LABELS}"),
+                "synthetic events in order": ~F.expr(EVENTS_IN_ORDER),
+                "synthetic nothing after snapshot": ~F.expr(NOTHING_AFTER_SNAPSHOT),
+                "synthetic order_status accepted": ~F.col("order_status").isin(rules.ORDER_STATUSES),
+            },
+        ),
+        checks.count_violations(
+            reviews,
+            {
+                **_nulls("synthetic reviews", "review_id"),
+                "synthetic reviews answered by the snapshot": ~F.expr("review_answered_at <= sim_as_of"),
+                "synthetic review_score 1 to 5": checks.out_of_range("review_score", 1, 5),
+            },
+        ),
+    ]
+    keyed = {
+        "synthetic orders.order_id unique": checks.unique(orders, "order_id"),
+        "synthetic reviews.review_id unique": checks.unique(reviews, "review_id"),
+        "synthetic customers.customer_id unique": checks.unique(customers, "customer_id"),
+        "synthetic items (order, number) unique": checks.unique_combination(items, "order_id", "order_item_number"),
+        "synthetic items.order_id in orders": checks.relationship(items, "order_id", orders, "order_id"),
+        "synthetic items.seller_id in sellers": checks.relationship(items, "seller_id", feed.sellers, "seller_id"),
+        "synthetic items.product_id in products": checks.relationship(
+            items, "product_id", feed.products, "product_id"
+        ),
+        "synthetic customers.state in states": checks.relationship(
+            customers, "customer_state", feed.states, "state_code"
+        ),
+    }
+    parts = row_checks + [_violations(name, df) for name, df in keyed.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 FACT_NEEDS = [
     "order_id", "is_synthetic", "data_source", "is_in_kpi_window", "gmv_eur", "late_gmv_eur", "revenue_at_risk_eur",
     "is_late", "late_cause", "delivery_outcome", "days_late", "brl_per_eur",
@@ -136,10 +183,8 @@ def fact_report(feed, params: Params, orders: DataFrame | None = None) -> DataFr
     )
 
 
-def mart_report(feed, params: Params) -> DataFrame:
-    """(check, violations) over the keys of dimensions and result tables."""
-    orders = facts.order_facts(feed, params)
-    items = facts.item_facts(feed, params)
+def mart_report(feed, params: Params, orders: DataFrame, items: DataFrame) -> DataFrame:
+    """(check, violations) over the keys of dimensions and result tables; pass written facts."""
     days = facts.date_dimension(feed, params)
     keyed = {
         "fct_order_items.order_item_key unique": checks.unique(items, "order_item_key"),

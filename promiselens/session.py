@@ -42,7 +42,7 @@ def shared_folder(spark: SparkSession) -> str:
     visible to one machine only, so a missing setting is an error there.
     """
     context = spark.sparkContext
-    configured = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured
     if not context.master.startswith("local"):

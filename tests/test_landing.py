@@ -220,3 +220,27 @@ def test_cache_is_built_once(spark, tmp_path):
     for _ in range(2):
         assert sinks.cached(spark, f"{tmp_path}/cache", build).count() == 4
     assert built == [1]
+
+
+def test_reports_on_landed_files(feed):
+    from promiselens.plans import quality
+
+    found = {r.check: r.violations for r in quality.synthetic_report(feed, feed.params).collect()}
+    assert len(found) == 15 and set(found.values()) == {0}
+    model = {r.check: r.violations for r in quality.model_report(feed, feed.params).collect()}
+    assert model["orders.order_id unique"] == 0 and model["items.seller_id in sellers"] == 0
+    fact = {r.check: r.violations for r in quality.fact_report(feed, feed.params).collect()}
+    assert set(fact.values()) == {0}
+
+
+def test_full_refresh(spark, tmp_path, feed):
+    from promiselens.plans import star
+
+    tables = star.build(feed, feed.params, f"{tmp_path}/star")
+    assert tables["fct_orders"].count() == 3 and tables["mart_monthly_kpis"].count() == 1
+    assert len(tables) == 11
+    star.export(tables, f"{tmp_path}/export")
+    exported = spark.read.parquet(f"{tmp_path}/export/fct_orders")
+    assert dict(exported.dtypes)["gmv_brl"] == "double" and exported.count() == 3
+    plan = tables["fct_orders"].where("purchase_month = '2018-01'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(purchase_month" in plan

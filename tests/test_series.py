@@ -78,6 +78,11 @@ def test_both_inflation_answers_give_the_same_rows(spark):
     assert rows == [tuple(r) for r in payloads.monthly_text_to_rows(text).orderBy("month").collect()]
 
 
+def test_state_filter(spark):
+    df = spark.createDataFrame([("SP",), ("RJ",)], "s string")
+    assert series.of_keys(df, "s", ["sp"]).count() == 1 and series.of_keys(df, "s", None).count() == 2
+
+
 def months(spark, *numbers):
     return spark.createDataFrame([(date(2026, n, 1), 0.1) for n in numbers], "month_start date, pct_change double")
 
