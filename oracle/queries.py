@@ -667,7 +667,8 @@ add("csv_round_trip", """
     select order_id::varchar as order_id, customer_id::varchar as customer_id, order_status, purchased_at, approved_at, shipped_at, delivered_at,
         promised_date, data_source, is_synthetic, sim_as_of from f_orders""")
 add("json_round_trip", """
-    select holiday_date, holiday_name, is_nationwide, state_iso_codes, is_public_holiday, is_bank_holiday from f_holidays""")
+    select holiday_date, holiday_name, is_nationwide, array_to_string(state_iso_codes, ' ') as state_iso_codes, is_public_holiday,
+        is_bank_holiday from f_holidays""")
 add("parquet_export", """
     select order_id, purchase_date, round(gmv_brl::double, 4) as gmv_brl, delivery_outcome, date_trunc('month', purchase_date)::date as "month"
     from fct_orders""")

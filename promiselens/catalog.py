@@ -726,7 +726,8 @@ def json_round_trip(feed: TableFeed) -> DataFrame:
     )
     landed = sinks.with_lineage(records, "tables/orders", "2001-12-31T00:00:00+00:00")
     sinks.write_ndjson(landed, f"{root}/holidays/holidays_BR_all.ndjson")
-    return staging.holidays(registry.load_raw(feed.spark, root, "holidays")).drop("holiday_name_local")
+    typed = staging.holidays(registry.load_raw(feed.spark, root, "holidays")).drop("holiday_name_local")
+    return typed.withColumn("state_iso_codes", F.array_join("state_iso_codes", " "))
 
 
 @query

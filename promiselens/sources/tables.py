@@ -91,7 +91,9 @@ class TableFeed:
     def items(self) -> DataFrame:
         # A deadline counts from the order date, so the order is looked up; lineitem is the large side.
         dated = self.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
-        return self.table("lineitem").join(dated, "l_orderkey").select(
+        lines = self.table("lineitem")
+        spread = ["l_linenumber", "l_partkey"]
+        return lookup_join(lines, dated, ["l_orderkey"], self.params, "inner", lines, spread).select(
             F.col("l_orderkey").alias("order_id"),
             F.col("l_linenumber").alias("order_item_number"),
             F.col("l_partkey").alias("product_id"),
