@@ -6,7 +6,7 @@ import re
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,15 @@ def query(function: Query) -> Query:
     return function
 
 
+def _rounded(column: Column, digits: int) -> Column:
+    """Half away from zero on the binary value, the arithmetic of the SQL side.
+
+    Spark's own ``round`` works on the decimal text of a double, so the two differ on half a cent.
+    """
+    scale = F.lit(float(10**digits))
+    return F.signum(column) * F.floor(F.abs(column) * scale + 0.5) / scale
+
+
 def tidy(df: DataFrame, eur_digits: int = 2) -> DataFrame:
     """Comparable numbers: exact money with 4 digits, sums of converted money with 2, other doubles with 6."""
     columns = []
@@ -50,7 +59,7 @@ def tidy(df: DataFrame, eur_digits: int = 2) -> DataFrame:
         elif isinstance(field.dataType, T.DoubleType):
             converted = re.search(r"eur$|eur_", field.name) and field.name != "brl_per_eur"
             digits = eur_digits if converted else 4 if field.name.endswith("brl") else 6
-            column = F.round(column, digits).alias(field.name)
+            column = _rounded(column, digits).alias(field.name)
         columns.append(column)
     return df.select(*columns)
 
