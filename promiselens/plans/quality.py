@@ -166,7 +166,7 @@ def fact_report(feed, params: Params, orders: DataFrame | None = None) -> DataFr
     """(check, violations) over the order fact, in one pass."""
     if orders is None:
         orders = facts.order_facts(feed, params, FACT_NEEDS)
-    cent = 1e-9
+    noise = 1e-9  # of double arithmetic
     return checks.count_violations(
         orders,
         {
@@ -174,8 +174,8 @@ def fact_report(feed, params: Params, orders: DataFrame | None = None) -> DataFr
             "no synthetic order in the KPI window": F.col("is_synthetic") & F.col("is_in_kpi_window"),
             "label agrees with is_synthetic": (F.col("data_source") == params.synthetic_source)
             != F.col("is_synthetic"),
-            "risk and late value within order value": (F.col("revenue_at_risk_eur") > F.col("gmv_eur") + cent)
-            | (F.col("late_gmv_eur") > F.col("gmv_eur") + cent),
+            "risk and late value within order value": (F.col("revenue_at_risk_eur") > F.col("gmv_eur") + noise)
+            | (F.col("late_gmv_eur") > F.col("gmv_eur") + noise),
             "late orders have a cause": F.col("is_late") & F.col("late_cause").isNull(),
             "days_late at least 0": checks.out_of_range("days_late", 0),
             "gmv_eur at least 0": checks.out_of_range("gmv_eur", 0),

@@ -21,9 +21,17 @@ RUNTIME_SETTINGS = {
 }
 
 
+# On a cluster shuffles start with many small partitions, which adaptive execution then merges to size.
+SHUFFLE_PARTITIONS_PER_CORE = 8
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
 def apply_runtime_settings(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    context = spark.sparkContext
+    if not context.master.startswith("local") and spark.conf.get(INITIAL_PARTITIONS, None) is None:
+        spark.conf.set(INITIAL_PARTITIONS, str(SHUFFLE_PARTITIONS_PER_CORE * context.defaultParallelism))
     return spark
 
 
@@ -34,7 +42,7 @@ def build_session(app_name: str = "promiselens", master: str | None = None, **se
         builder = builder.master(master).config("spark.ui.enabled", "false")
     for key, value in {**RUNTIME_SETTINGS, **settings}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return apply_runtime_settings(builder.getOrCreate())
 
 
 def shared_folder(spark: SparkSession) -> str:

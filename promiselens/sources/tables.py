@@ -211,7 +211,10 @@ class TableFeed:
 
     @cached_property
     def holidays(self) -> DataFrame:
-        """At most one record per day and priority, so bounded by the calendar."""
+        """Every 29th day of a year is a holiday of this calendar, with one record per order priority.
+
+        All orders are read; the records are distinct days, so their number is bounded by the calendar.
+        """
         days = self.table("orders").select(
             F.col("o_orderdate").cast("date").alias("holiday_date"), F.col("o_orderpriority").alias("holiday_name")
         ).where(F.dayofyear("holiday_date") % 29 == 0).distinct()

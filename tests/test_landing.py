@@ -236,7 +236,8 @@ def test_reports_on_landed_files(feed):
 def test_full_refresh(spark, tmp_path, feed):
     from promiselens.plans import star
 
-    tables = star.build(feed, feed.params, f"{tmp_path}/star")
+    typed = staging.store(feed, f"{tmp_path}/typed")
+    tables = star.build(typed, feed.params, f"{tmp_path}/star")
     assert tables["fct_orders"].count() == 3 and tables["mart_monthly_kpis"].count() == 1
     assert len(tables) == 11
     star.export(tables, f"{tmp_path}/export")
