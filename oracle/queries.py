@@ -421,7 +421,8 @@ add("recompute_headline", """
             {'m': 'Revenue at risk (EUR)', 'v': sum(revenue_at_risk_eur)},
             {'m': 'Late orders where the seller shipped late', 'v': count(*) filter (late_cause = 'Seller shipped late')::double}
         ]) as t from kpi_orders)
-    select t.m as metric, round(t.v, 4) as expected, round(t.v, 4) as actual, 0.0::double as difference, true as match from totals""")
+    select t.m as metric, case when t.m = 'Late rate' then round(t.v, 6) else round(t.v, 2) end as expected,
+        case when t.m = 'Late rate' then round(t.v, 6) else round(t.v, 2) end as actual, 0.0::double as difference, true as match from totals""")
 
 # ---- fitted distributions
 FIT = {

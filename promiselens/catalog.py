@@ -469,10 +469,14 @@ def profile_series(feed: TableFeed) -> DataFrame:
 def recompute_headline(feed: TableFeed) -> DataFrame:
     orders = facts.order_facts(feed, feed.params, verify.FACT_NEEDS)
     compared = verify.compare_metrics(verify.recomputed(feed, feed.params), verify.from_facts(orders))
+    is_rate = F.col("metric") == verify.RATE_METRIC
+
+    def shown(name: str) -> Column:
+        value = F.col(name)
+        return F.when(is_rate, _rounded(value, 6)).otherwise(_rounded(value, 2)).alias(name)
+
     return compared.select(
-        "metric",
-        *[F.round(name, 4).alias(name) for name in ("expected", "actual", "difference")],
-        "match",
+        "metric", shown("expected"), shown("actual"), F.round("difference", 4).alias("difference"), "match"
     )
 
 

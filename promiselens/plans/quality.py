@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from promiselens.functions import rules
 from promiselens.operators import checks
+from promiselens.operators.joins import lookup_join
 from promiselens.params import Params
 from promiselens.plans import facts, marts
 
@@ -206,7 +207,9 @@ def mart_report(feed, params: Params, orders: DataFrame, items: DataFrame) -> Da
 
 def value_differs_from_source(feed, params: Params, tolerance: float = 0.01) -> DataFrame:
     """Feeds whose value in the fact is missing or differs from prices + freight in their items."""
-    labelled = feed.items.join(feed.orders.select("order_id", "data_source"), "order_id")
+    labels = feed.orders.select("order_id", "data_source")
+    spread = ["order_item_number", "product_id"]
+    labelled = lookup_join(feed.items, labels, ["order_id"], params, "inner", feed.items, spread)
     source = labelled.groupBy("data_source").agg(
         F.sum(F.col("price_brl") + F.col("freight_brl")).cast("decimal(38,6)").alias("source_gmv_brl")
     )

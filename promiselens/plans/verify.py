@@ -22,7 +22,10 @@ def _long(row: DataFrame) -> DataFrame:
 
 
 def recomputed(feed, params: Params) -> DataFrame:
-    """From the typed tables with SQL text only: nothing of the timeline, summary or fact plans."""
+    """From the typed tables with SQL text only: nothing of the timeline, summary or fact plans.
+
+    The daily rates are broadcast: there is one per calendar day.
+    """
     views = {"orders": feed.orders, "items": feed.items, "reviews": feed.reviews, "rates": feed.fx_rates}
     open_list = ", ".join(f"'{s}'" for s in OPEN_STATUSES)
     per_order = feed.spark.sql(
@@ -38,7 +41,7 @@ def recomputed(feed, params: Params) -> DataFrame:
                 lead(rate_date) over (order by rate_date) as next_date from {{rates}}),
         daily as (select explode(sequence(rate_date, coalesce(date_sub(next_date, 1), date '{params.last_calendar_day}'))) as day,
                 brl_per_eur from span)
-        select o.order_status = 'delivered' and o.delivered_at is not null as delivered,
+        select /*+ broadcast(d) */ o.order_status = 'delivered' and o.delivered_at is not null as delivered,
             o.order_status = 'delivered' and cast(o.delivered_at as date) > o.promised_date as late,
             o.order_status in ({open_list}) and o.promised_date < date '{params.data_cutoff}' as overdue,
             coalesce(v.brl, 0) as brl, cast(coalesce(v.brl, 0) as double) / d.brl_per_eur as eur,
