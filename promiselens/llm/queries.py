@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from promiselens.llm import quality_rules
+from promiselens.llm import chat, decontaminate, minhash, packing, quality_rules, secrets, warc
 from promiselens.llm.common import table
 from promiselens.llm.sql import SQL
+from promiselens.session import materialise
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,9 +18,37 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdict
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ids = F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256")
+    return judged.select("doc_id", "n_words", "n_hit", "n_items", ids, "contaminated")
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.update_ledger(table(spark, sf_dir, "documents"), secrets.new_ledger(spark)))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.NearParams(words=3, percent=85))
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    pieces = chat.format_records(chat.records(turns.unionByName(chat.trap(turns))))
+    return chat.digest(materialise(pieces))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules,)
-}
+    for f in (op1_quality_rules, op3_decontaminate, op4_secrets, op5_warc, op6_minhash, op9_chat, op10_packing)
+}
 
 ORACLE = {name: sql for name, sql in SQL.items() if name in QUERIES}
