@@ -100,27 +100,29 @@ def find_hits(docs: DataFrame, items: DataFrame, rule: SpanRule = SpanRule()) ->
     worded = materialise(worded.filter(F.size("words") > 0))
     in_items = worded.select(
         "item_id",
-        F.explode(_windows(F.col("words"), F.array(F.least(F.lit(rule.span), F.size("words"))))).alias("w"),
+        F.explode_outer(_windows(F.col("words"), F.array(F.least(F.lit(rule.span), F.size("words"))))).alias("w"),
     ).select("item_id", "w.len", "w.window")
     windows = counted(in_items.distinct())
-    long_items = with_fingerprints(worded, rule).select(F.explode("prints").alias("print")).distinct()
+    long_items = with_fingerprints(worded, rule).select(F.explode_outer("prints").alias("print"))
+    long_items = long_items.filter("print is not null").distinct()
     prints = counted(long_items)
     short = worded.filter(F.size("words") < rule.span).select(F.size("words").alias("n"), "words")
     lengths = sorted(r["n"] for r in short.select("n").distinct().collect())  # below ``span`` values at most
 
     split = docs.select("doc_id", words_of(F.col("text")).alias("words"))
-    found = with_fingerprints(split, rule, "doc_id").select("doc_id", F.explode("prints").alias("print"))
+    # Outer, as the filter that a plain explode adds would compute the fingerprints a second time below every step.
+    found = with_fingerprints(split, rule, "doc_id").select("doc_id", F.explode_outer("prints").alias("print"))
     candidates = found.join(prints, "print", "left_semi").select("doc_id")
     for n in lengths:
         wanted = counted(short.filter(F.col("n") == n).select(F.xxhash64(F.col("words")).alias("print")).distinct())
-        runs = split.select("doc_id", F.explode(_hashes(F.col("words"), n)).alias("print"))
+        runs = split.select("doc_id", F.explode_outer(_hashes(F.col("words"), n)).alias("print"))
         candidates = candidates.union(runs.join(wanted, "print", "left_semi").select("doc_id"))
     suspects = null_safe(docs.select("doc_id", "text"), counted(candidates.distinct()), ["doc_id"], "left_semi")
 
     sizes = F.array(*[F.lit(n) for n in [*lengths, rule.span]])
     suspects = suspects.select("doc_id", words_of(F.col("text")).alias("words"))
     fitting = F.filter(sizes, lambda n: n <= F.size("words"))
-    in_docs = suspects.select("doc_id", F.explode(_windows(F.col("words"), fitting)).alias("w")).select("doc_id", "w.*")
+    in_docs = suspects.select("doc_id", F.explode_outer(_windows(F.col("words"), fitting)).alias("w")).select("doc_id", "w.*")
     matched = materialise(in_docs.join(windows, ["len", "window"]).select("doc_id", "pos", "len", "item_id"))
     start = F.struct(F.lit(1).alias("upto"), F.lit(0).alias("n"))
     covered = F.aggregate(

@@ -1,6 +1,7 @@
 """DuckDB SQL of the queries that SQL can express. Whole lines and windows are compared, not hashes."""
 
 from promiselens.llm.quality_rules import LineLimits
+from promiselens.llm.warc import BASE32
 
 _LIMITS = LineLimits()
 
@@ -41,6 +42,102 @@ quality_verdict as (
   from quality_docs d left join quality_repeats r using (doc_id) left join quality_removed m using (doc_id))
 """
 
+# benchmark, {docs} -> contamination(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)
+CONTAMINATION = r"""
+contamination_docs as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from {docs}),
+contamination_items as (
+  select item_id::varchar as item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from benchmark),
+contamination_spans as (
+  select distinct item_id, n, array_to_string(words[i:i + n - 1], ' ') as win
+  from (select item_id, words, least(13, len(words)) as n, unnest(range(1, len(words) - least(13, len(words)) + 2)) as i
+        from contamination_items where len(words) > 0)),
+contamination_found as (
+  select doc_id, i, w.n, item_id
+  from (select doc_id, l.n, i, array_to_string(words[i:i + l.n - 1], ' ') as win
+        from (select doc_id, words, l.n, unnest(range(1, len(words) - l.n + 2)) as i
+              from contamination_docs, (select distinct n from contamination_spans) l where len(words) >= l.n) l) w
+  join contamination_spans s on s.n = w.n and s.win = w.win),
+contamination_hits as (
+  select doc_id, count(distinct i + step) as n_hit from
+  (select doc_id, i, unnest(range(0, n)) as step from contamination_found) group by doc_id),
+contamination_ids as (
+  select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids
+  from (select distinct doc_id, item_id from contamination_found) group by doc_id),
+contamination as (
+  select d.doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+    sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(words) as contaminated
+  from contamination_docs d left join contamination_hits h using (doc_id) left join contamination_ids i using (doc_id))
+"""
+
+# Letters in either case are spelled out, as some engines fold other letters onto them.
+_KEYS = ["password", "passwd", "secret", "token", "api_?key"]
+_EITHER = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in k) for k in _KEYS)
+_VALUE = r"[A-Za-z0-9+/_.=-]+"
+_PATTERNS = [
+    ("assign", rf"""(?:{_EITHER})["'']?\x20*[:=]\x20*["'']?({_VALUE})""", 1, 12),
+    ("access", r"(AKIA[A-Z0-9]+)", 1, 18),
+    ("hex", r"([0-9a-f]+)", 1, 16),
+    ("private_key", r"(-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----)", 1, 1),
+    ("repo_token", r"(gh[pousr]_[A-Za-z0-9]{36,})", 1, 1),
+    ("web_token", r"(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 1, 1),
+]
+_MATCHES = " union all ".join(
+    f"select doc_id, {rank} as rank, '{kind}' as kind, {least} as least, regexp_extract_all(body, '{pattern}') as ms, "
+    f"regexp_extract_all(body, '{pattern}', {group}) as own, string_split_regex(body, '{pattern}') as gaps from secret_docs"
+    for rank, (kind, pattern, group, least) in enumerate(_PATTERNS)
+)
+
+# {docs} -> secret_spans(doc_id, rank, kind, start, stop)
+SECRETS = f"""
+secret_docs as (select doc_id, coalesce(text, '') as body from {{docs}}),
+secret_matches as ({_MATCHES.replace("{", "{{").replace("}", "}}")}),
+secret_each as (
+  select doc_id, rank, kind, least, unnest(ms) as m, unnest(own) as o, unnest(gaps[1:len(ms)]) as gap, unnest(range(len(ms))) as i
+  from secret_matches where len(ms) > 0),
+secret_placed as (
+  select *, sum(length(gap) + length(m)) over (partition by doc_id, rank order by i) as stop from secret_each),
+secret_spans as (
+  select doc_id, rank, kind, (stop - length(m))::bigint as start, stop::bigint as stop from secret_placed where length(o) >= least)
+"""
+
+_DIGITS = " || ".join(
+    f"substr('{BASE32}', ((('0x' || substr(h, {5 * k + 1}, 5))::int >> {shift}) & 31) + 1, 1)"
+    for k in range(8)
+    for shift in (15, 10, 5, 0)
+)
+
+
+def _escaped(text: str, more: tuple[tuple[str, str], ...] = ()) -> str:
+    for a, b in (("'\\'", "'\\\\'"), ("'###'", "'\\h'"), ("'</turn>'", "'\\t'"), *more):
+        text = f"replace({text}, {a}, {b})"
+    return text
+
+
 SQL = {
     "op1_quality_rules": f"with {QUALITY.format(docs='documents')} select * exclude (dropped) from quality_verdict",
+    "op3_decontaminate": f"with {CONTAMINATION.format(docs='documents')} select * from contamination",
+    "op4_secrets": f"""with {SECRETS.format(docs="documents")}
+        select d.doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access,
+          count(*) filter (kind = 'hex') as n_hex,
+          sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) filter (rank < 3), '')) as base_sha256,
+          coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank), '') as spans
+        from secret_docs d left join secret_spans s using (doc_id) group by d.doc_id""",
+    "op5_warc": f"""with p as (select page_id, coalesce(html, '') as body from pages),
+        g as (select *, max(page_id) over (partition by body) as largest, sha1(body) as h from p)
+        select page_id, strlen(body)::bigint as payload_bytes, {_DIGITS} as payload_digest,
+          case when page_id = largest then 'response' else 'revisit' end as record_type,
+          case when page_id <> largest then largest end as refers_to from g""",
+    "op9_chat": f"""with turns as (
+          select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as said from conversations
+          union all select -7, 0, 'user', '\\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+        measured as (select *, 14 + length({_escaped("said")})
+          + length({_escaped("role", (("':'", "'\\c'"), ("chr(10)", "'\\n'")))}) as n from turns)
+        select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || said || chr(10), '' order by turn, role, said)) as turns_sha256,
+          coalesce(sum(length(said)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+          sha256(coalesce(string_agg(said, '' order by turn, said) filter (role = 'assistant'), '')) as loss_sha256,
+          sum(n)::bigint as formatted_chars
+        from measured group by conv_id""",
 }
