@@ -225,7 +225,8 @@ def train(labelled: DataFrame, params: FmParams = FmParams()) -> Model:
         chosen.select("text", "label").mapInArrow(_vector_rows(params.word_bits), "label int, feature binary, value binary, stats binary")
     )
     # One task by design: the sample is bounded by a parameter, at any input size.
-    fitted = rows.groupBy(F.lit(0)).applyInPandas(_fit_task(params), "bias double, linear binary, factors binary").first()
+    whole = rows.withColumn("part", F.lit(0)).groupBy("part")
+    fitted = whole.applyInPandas(_fit_task(params), "bias double, linear binary, factors binary").first()
     if fitted is None:
         return fit([], np.zeros(0), params)
     factors = np.frombuffer(fitted["factors"], np.float32).reshape(-1, params.factors)

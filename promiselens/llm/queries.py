@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promiselens.llm import chat, decontaminate, minhash, packing, quality_rules, secrets, warc
+from promiselens.llm import chat, decontaminate, language, minhash, packing, quality_model, quality_rules, secrets, warc
 from promiselens.llm.common import table
 from promiselens.llm.sql import SQL
 from promiselens.session import materialise
@@ -36,6 +36,22 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.NearParams(words=3, percent=85))
 
 
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    learn = docs.join(labels.filter(~quality_model.held_out()), "doc_id")
+    scored = quality_model.score(docs, quality_model.train(learn))
+    predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    return scored.select("doc_id", quality_model.held_out().alias("held_out"), "score", predicted)
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = quality_model.held_out(mod=4, rest=2)
+    found = language.predict(docs, language.train(docs.filter(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     pieces = chat.format_records(chat.records(turns.unionByName(chat.trap(turns))))
@@ -48,7 +64,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op3_decontaminate, op4_secrets, op5_warc, op6_minhash, op9_chat, op10_packing)
+    for f in (op1_quality_rules, op3_decontaminate, op4_secrets, op5_warc, op6_minhash, op7_quality_model, op8_language, op9_chat, op10_packing)
 }
 
 ORACLE = {name: sql for name, sql in SQL.items() if name in QUERIES}
