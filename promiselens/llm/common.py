@@ -20,13 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def counted(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def counted(df: DataFrame, max_rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
     """Write ``df`` (narrow rows), count it, and mark it for broadcast only if it is small.
 
+    ``weight`` counts a row as so many more, where a column holds lists.
+
     Beyond the limit the join that follows is an ordinary shuffle join, which adaptive execution may split.
     """
     stored = materialise(df)
-    return F.broadcast(stored) if stored.count() <= max_rows else stored
+    size = stored.count() if weight is None else stored.agg(F.count("*") + F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    return F.broadcast(stored) if size <= max_rows else stored
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:

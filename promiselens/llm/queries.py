@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promiselens.llm import chat, decontaminate, language, minhash, packing, quality_model, quality_rules, secrets, warc
+from promiselens.llm import chat, decontaminate, language, minhash, packing, quality_model, quality_rules, repeats, secrets, warc
 from promiselens.llm.common import table
 from promiselens.llm.sql import SQL
 from promiselens.session import materialise
@@ -18,6 +18,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdict
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256")
@@ -64,7 +69,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op3_decontaminate, op4_secrets, op5_warc, op6_minhash, op7_quality_model, op8_language, op9_chat, op10_packing)
+    for f in (
+        op1_quality_rules, op2_repeats, op3_decontaminate, op4_secrets, op5_warc, op6_minhash, op7_quality_model,
+        op8_language, op9_chat, op10_packing,
+    )
 }
 
 ORACLE = {name: sql for name, sql in SQL.items() if name in QUERIES}
