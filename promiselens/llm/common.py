@@ -43,6 +43,22 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> D
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_r_{k}" for k in keys])
 
 
+def as_row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one, so that columns added beside it cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def with_text(rows: DataFrame, docs: DataFrame, text: Column, changed: Column) -> DataFrame:
+    """The columns of ``docs`` back from ``row``; where ``changed``, with the new text and its length as n_chars."""
+    new = rows.withColumn("new_text", F.when(changed, text))
+    old = {c: F.col("row").getField(c) for c in docs.columns}
+    values = old | {"text": F.when(changed, F.col("new_text")).otherwise(old["text"])}
+    if "n_chars" in old:
+        length = F.length("new_text").cast(docs.schema["n_chars"].dataType)
+        values["n_chars"] = F.when(changed, length).otherwise(old["n_chars"])
+    return new.select(*[values[c].alias(c) for c in docs.columns])
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

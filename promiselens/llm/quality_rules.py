@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promiselens.llm.common import WHITE, null_safe
+from promiselens.llm.common import WHITE, as_row, null_safe, with_text
 from promiselens.session import materialise
 
 SYMBOLS = "#*$%&|<>"
@@ -60,7 +60,7 @@ def features(docs: DataFrame, host: str = "source") -> DataFrame:
         F.xxhash64(text, F.length(text)).alias("content"),
         F.filter(F.split(text, WHITE), lambda w: w != "").alias("words"),
         F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_WHITE)).alias("lines"),
-        F.filter(F.transform(F.split(_squeezed(text), "\n"), F.trim), lambda x: x != "").alias("normal"),
+        F.filter(F.transform(F.split(_squeezed(text), "\n"), lambda x: F.trim(x)), lambda x: x != "").alias("normal"),
     )
     # Hashes of 2, 4 and 8 consecutive words, each from two of the step before; past the end they are cut off.
     by_word = split.withColumn("one", F.transform("words", lambda w: F.xxhash64(w)))
@@ -159,13 +159,9 @@ def apply(docs: DataFrame, limits: LineLimits = LineLimits(), host: str = "sourc
     verdict, drop = judge(docs, limits, host)
     kept = verdict.filter("kept").select("doc_id").distinct()
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumns({"host": F.col(host), "content": F.xxhash64(text, F.length(text))})
+    content = F.xxhash64(text, F.length(text)).alias("content")
+    keyed = docs.select(as_row(docs), "doc_id", F.col(host).alias("host"), content, text.alias("text"))
     passed = null_safe(keyed, kept, ["doc_id"], "left_semi")
     with_drop = null_safe(passed, drop, ["doc_id", "host", "content"], "left")
-    cleaned = F.array_join(
-        F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("drop"), line_hash(x))), "\n"
-    )
-    changed = with_drop.withColumn("text", F.when(F.col("drop").isNull(), F.col("text")).otherwise(cleaned))
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("drop").isNull(), F.col("n_chars")).otherwise(F.length("text")))
-    return changed.select(*docs.columns)
+    lines = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("drop"), line_hash(x)))
+    return with_text(with_drop, docs, F.array_join(lines, "\n"), F.col("drop").isNotNull())
