@@ -19,7 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promiselens.llm.common import null_safe
+from promiselens.llm.common import as_row, counted, null_safe, with_text
 from promiselens.session import materialise, shared_folder
 
 
@@ -105,7 +105,9 @@ def update_ledger(
         found.dropDuplicates(["blob"]).write.mode("append").parquet(folder)
     findings = _ledger(spark, folder).filter(F.col("rule_version") == rule_version).filter(F.size("spans") > 0)
     # Two scans at the same time may both have appended a blob; either finding is right, one is taken.
-    with_findings = paths.join(findings.dropDuplicates(["blob"]).select("blob", "spans"), "blob", "left")
+    # Stored first, so that a blob with very many paths is a plain join, which can be split.
+    found_once = counted(findings.dropDuplicates(["blob"]).select("blob", "spans"), weight=F.size("spans"))
+    with_findings = paths.join(found_once, "blob", "left")
     return with_findings.withColumn("spans", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")))
 
 
@@ -138,7 +140,8 @@ def redact(docs: DataFrame, folder: str, mark: str = "[secret]") -> DataFrame:
     # A document with secrets is small in number beside the others, but may be of any size: an equi-join by id and blob.
     found = update_ledger(docs, folder).filter(F.size("spans") > 0).select("doc_id", "blob", "spans").distinct()
     blob = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    joined = null_safe(docs.withColumn("blob", blob), found, ["doc_id", "blob"], "left")
+    keyed = docs.select(as_row(docs), "doc_id", blob.alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+    joined = null_safe(keyed, found, ["doc_id", "blob"], "left")
     start = F.struct(F.lit(0).alias("upto"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
@@ -152,7 +155,4 @@ def redact(docs: DataFrame, folder: str, mark: str = "[secret]") -> DataFrame:
     cleaned = F.aggregate(
         "spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["upto"] + 1, F.length("text")))
     )
-    out = joined.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cleaned))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text")))
-    return out.select(*docs.columns)
+    return with_text(joined, docs, cleaned, F.col("spans").isNotNull())
