@@ -39,7 +39,7 @@ class NearParams:
     rows: int = 5  # minima per band
     miss: float = 1e-6  # highest chance that no band holds a pair at the threshold
     small_bucket: int = 64
-    block_rows: int = 256
+    block_rows: int = 512
     block_shingles: int = 250_000
     slack: float = 0.15  # signatures this far below the threshold are still verified: more than four deviations
 
@@ -260,8 +260,7 @@ def links(docs: DataFrame, reps: DataFrame, params: NearParams) -> DataFrame:
     dealt = large.withColumn("of", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("of")).cast("int"))
     units = (
         dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-        .join(signed, "rep")
-        .join(sets, "rep")
+        .join(sets.join(signed, "rep"), "rep")
         .groupBy("band", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
         .agg(F.collect_list(F.struct("rep", "block", "sign", "members")).alias("unit"))
     )
@@ -313,3 +312,18 @@ def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataF
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
+
+
+def deduplicate(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
+    """``docs`` with one row of each group: that of the smallest id. Rows that link with nothing all stay.
+
+    Of repeated rows of a kept id any one stays; a row with a null id stays only if its class has no other id.
+    """
+    found = near_duplicates(docs.select("doc_id", "text"), params)
+    # Groups of one are most of the table: only the ids that go are collected, and what they leave is deduplicated by id.
+    gone = found.filter("not kept").select("doc_id").distinct()
+    left = null_safe(docs, counted(gone), ["doc_id"], "left_anti")
+    again = found.filter("kept and n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    repeated = counted(again)
+    once = null_safe(left, repeated, ["doc_id"], "left_anti")
+    return once.unionByName(null_safe(left, repeated, ["doc_id"], "left_semi").dropDuplicates(["doc_id"]))
