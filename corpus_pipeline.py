@@ -1,10 +1,14 @@
-"""The training-data pipeline: five stages over ``documents``, each written and reread before the next."""
+"""The training-data pipeline: five stages over ``documents``, each written and reread before the next.
+
+Rejected, duplicate and contaminated documents go; boilerplate lines and secrets are taken out of the texts of the others;
+what is left is packed into sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promiselens.llm import quality_rules
+from promiselens.llm import decontaminate, minhash, packing, quality_rules, secrets
 from promiselens.llm.common import table
 from promiselens.session import materialise
 
@@ -14,9 +18,35 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.apply(docs)
 
 
-STAGES = [("quality rules", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one with the smallest id."""
+    return minhash.deduplicate(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the texts; no document goes."""
+    return secrets.redact(docs, secrets.new_ledger(spark))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents, with their places in sequences."""
+    return packing.best_fit_packing(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("near duplicates", near_duplicates),
+    ("benchmark decontamination", benchmark),
+    ("secret scans", no_secrets),
+    ("best-fit packing", pack),
+]
 
-# Near-duplicate groups and packing have no SQL form; tests/llm holds the brute-force version.
+# Near-duplicate groups and packing have no SQL form; tests/llm holds brute-force versions.
 ORACLE_SQL = None
 
 
