@@ -37,13 +37,14 @@ STEPS: dict[str, str] = {
     "f_payments": """
         select l_orderkey as order_id, l_linenumber as payment_sequence,
             case l_returnflag when 'R' then 'boleto' when 'A' then 'credit_card' else 'voucher' end as payment_type,
-            cast(1 + l_quantity % 12 as int) as installments, cast(l_extendedprice as decimal(28,6)) as payment_brl
+            cast(1 + l_quantity % 12 as int) as installments,
+            case when l_linenumber <> 7 then cast(l_extendedprice as decimal(28,6)) end as payment_brl
         from lineitem""",
     "f_reviews": """
         select event_id as review_id, event_id - event_id % 3 as order_id, cast(1 + event_id % 5 as int) as review_score,
             "value" > 50 as has_comment, cast(ts - interval 24 year as date) as review_sent_date,
-            ts - interval 24 year as review_answered_at
-        from events where event_type in ('purchase', 'view')""",
+            case when event_id % 11 <> 0 then ts - interval 24 year end as review_answered_at
+        from events""",
     "f_states": """
         select n_name as state_code, r_name as region from nation join region on n_regionkey = r_regionkey""",
     "f_customers": """
@@ -80,14 +81,14 @@ STEPS: dict[str, str] = {
             (month(o_orderdate)*7 + year(o_orderdate)) % 9 / 10.0::double - 0.2::double as pct_change
         from orders""",
     "f_holidays": """
-        select distinct cast(o_orderdate as date) as holiday_date, o_orderpriority as holiday_name,
-            o_orderpriority in ('1-URGENT', '2-HIGH') as is_nationwide,
-            case when o_orderpriority not in ('1-URGENT', '2-HIGH') then ['BR-' || a.n_name, 'BR-' || b.n_name] end as state_iso_codes,
-            (length(o_orderpriority) + day(o_orderdate)) % 3 <> 0 as is_public_holiday,
-            (length(o_orderpriority) + day(o_orderdate)) % 2 = 0 as is_bank_holiday
-        from orders join nation a on a.n_nationkey = dayofyear(o_orderdate) % 25
-                    join nation b on b.n_nationkey = (dayofyear(o_orderdate) + 7) % 25
-        where dayofyear(o_orderdate) % 29 = 0""",
+        select holiday_date, holiday_name, holiday_name in ('1-URGENT', '2-HIGH') as is_nationwide,
+            case when holiday_name not in ('1-URGENT', '2-HIGH') then ['BR-' || a.n_name, 'BR-' || b.n_name] end as state_iso_codes,
+            (length(holiday_name) + day(holiday_date)) % 3 <> 0 as is_public_holiday,
+            (length(holiday_name) + day(holiday_date)) % 2 = 0 as is_bank_holiday
+        from (select min(o_orderdate)::date as holiday_date, o_orderpriority as holiday_name
+              from orders group by date_trunc('month', o_orderdate), o_orderpriority)
+        join nation a on a.n_nationkey = dayofyear(holiday_date) % 25
+        join nation b on b.n_nationkey = (dayofyear(holiday_date) + 7) % 25""",
     "f_rain": """
         select n_name as state_code, cast(o_orderdate as date) as weather_date, cast(count(*)*9 as double) as precipitation_mm
         from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by all""",
@@ -99,11 +100,11 @@ STEPS: dict[str, str] = {
             any_value(top.seller_id) as primary_seller_id
         from f_items i
         join (select order_id, seller_id from f_items group by order_id, seller_id
-              qualify row_number() over (partition by order_id order by sum(price_brl) desc, seller_id) = 1) top
+              qualify row_number() over (partition by order_id order by sum(price_brl) desc nulls last, seller_id nulls last) = 1) top
           using (order_id)
         group by i.order_id""",
     "payments_summary": """
-        select order_id, first(payment_type order by payment_brl desc, payment_sequence, payment_type) as main_payment_type,
+        select order_id, first(payment_type order by payment_brl desc nulls last, payment_sequence nulls last, payment_type nulls last) as main_payment_type,
             count(*) as payment_count, sum(payment_brl) as paid_brl, max(installments) as max_installments,
             coalesce(bool_or(payment_type = 'voucher'), false) as used_voucher
         from f_payments group by order_id""",
@@ -111,7 +112,7 @@ STEPS: dict[str, str] = {
         select order_id, review_id, review_score, has_comment, review_sent_date, review_answered_at,
             count(*) over (partition by order_id) as reviews_for_order
         from f_reviews
-        qualify row_number() over (partition by order_id order by review_answered_at desc, review_sent_date desc, review_id) = 1""",
+        qualify row_number() over (partition by order_id order by review_answered_at desc nulls last, review_sent_date desc nulls last, review_id nulls last) = 1""",
     "zips": """
         select zip_prefix, avg(latitude) as latitude, avg(longitude) as longitude, count(*) as point_count
         from f_points where is_inside_brazil group by zip_prefix""",

@@ -352,7 +352,7 @@ add("dq_mart_report", report(
 # ---- profile
 add("profile_table_rows", " union all ".join(
     f"select '{t}{' (SYNTHETIC)' if t == 'events' else ''}' as \"table\", count(*) as \"rows\" from {t}"
-    for t in ("orders", "lineitem", "customer", "supplier", "part", "events")))
+    for t in ("orders", "lineitem", "customer", "supplier", "part", "nation", "region", "events")))
 add("profile_status", """
     select order_status as status, count(*) as orders, count(delivered_at) as with_delivery_date from f_orders group by 1""")
 add("profile_months", "select strftime(purchased_at, '%Y-%m') as month, count(*) as orders from f_orders group by 1")
@@ -540,15 +540,15 @@ add("payment_rescale", """
             cast(round(payment_brl::double * cast(gmv_brl as decimal(28,2))::double / (sum(payment_brl) over (partition by p.order_id))::double, 2) as decimal(28,2)) as s
         from f_payments p join items_summary i on i.order_id = p.order_id)
     select order_id, payment_sequence, payment_type, installments,
-        round((s + case when row_number() over (partition by order_id order by s desc, payment_sequence, payment_brl) = 1
+        round((s + case when row_number() over (partition by order_id order by s desc nulls last, payment_sequence, payment_brl, payment_type, installments) = 1
             then total - sum(s) over (partition by order_id) else 0 end)::double, 4) as scaled_brl
     from scaled""")
 
 # ---- calendars
 add("bank_days", "select date_day, is_bank_day, bank_day_no from bank_cal", **FIT)
 add("bank_days_between", """
-    select order_id, purchased_at, promised_date, greatest(b.bank_day_no - a.bank_day_no, 0) as bank_days
-    from f_orders join bank_cal a on a.date_day = purchased_at::date join bank_cal b on b.date_day = promised_date""", **FIT)
+    select order_id, purchased_at, promised_date, case when b.bank_day_no - a.bank_day_no < 0 then 0 else b.bank_day_no - a.bank_day_no end as bank_days
+    from f_orders left join bank_cal a on a.date_day = purchased_at::date left join bank_cal b on b.date_day = promised_date""", **FIT)
 add("bank_days_added", """
     select order_id, purchased_at, case when order_id % 5 = 0 then purchased_at::date else t.date_day end as clearing_day
     from f_orders join bank_cal a on a.date_day = purchased_at::date
@@ -605,7 +605,7 @@ VECTORS = {
 add("share_vectors", 'select kind, k as key, round(r, 6) as "real", round(s, 6) as simulated from vectors', **VECTORS)
 LINES = [
     ("Share of orders delivered", "(select avg((delivery_outcome in ('On time', 'Late', 'Delivered, date missing'))::int) from kpi_orders)",
-     "(select avg(is_delivered::int) from sim)", 0.005, "false"),
+     "(select avg(is_delivered::int) from sim where delivery_outcome <> 'Open, not yet due')", 0.005, "false"),
     ("Average promised days (delivered orders)", "(select avg(promised_days) from real_normal)", "(select avg(promised_days) from sim where is_delivered)", 1.0, "false"),
     ("Average actual delivery days", "(select avg(actual_days) from real_normal)", "(select avg(actual_days) from sim)", 1.0, "false"),
     ("Late rate (delivered orders)", "(select avg(is_late::int) from real_normal)", "(select avg(is_late::int) from sim)", 0.015, "false"),
@@ -619,8 +619,10 @@ LINES = [
      "(select median(approval_hours) from sim where main_payment_type = 'credit_card')", 0.5, "false"),
     ("Median approval hours, boleto", "(select median(approval_hours) from kpi_orders where main_payment_type = 'boleto')",
      "(select median(approval_hours) from sim where main_payment_type = 'boleto')", 6.0, "false"),
-    ("Average order value (relative)", "(select sum(gmv_brl)::double / count(*) from kpi_orders where is_delivered)",
-     "(select sum(gmv_brl)::double / count(*) from sim)", 0.03, "true"),
+    ("Average order value, prices of the historical period (relative)", "(select sum(gmv_brl)::double / count(*) from kpi_orders where is_delivered)",
+     """(select avg(gmv_brl::double / (select (select arg_max(price_index, month_start) from levels
+            where month_start <= date_trunc('month', o.purchase_date) - interval 2 month)
+            / (select price_index from levels where month_start = date '1996-01-01'))) from sim o)""", 0.03, "true"),
 ]
 GAP_LINES = [("Weekday pattern: largest gap in share of orders", "weekday", 0.015), ("Hour of day: largest gap in share of orders", "hour", 0.01),
              ("Payment mix: largest gap in share", "payment", 0.015), ("Late rate by region: largest gap", "region", 0.03)]
@@ -629,7 +631,7 @@ add("drift_report", "with report_lines as (" + " union all ".join(
      for m, k, t in GAP_LINES] + [f"select '{m}', {r}, {s}, {t}::double, {rel}" for m, r, s, t, rel in LINES]) + """)
     select measure, round(r, 6) as "real", round(s, 6) as simulated, allowed, is_relative,
         round(case when is_relative then (s - r) / r else s - r end, 6) as difference,
-        ifnull(abs(case when is_relative then (s - r) / r else s - r end) <= allowed, false) as within from report_lines""", **VECTORS)
+        ifnull(abs(case when is_relative then (s - r) / r else s - r end) <= allowed, false) as within from report_lines""", **VECTORS, **PRICES)
 
 # ---- landing reshapes and series checks
 add("array_to_rows", """
@@ -674,3 +676,42 @@ add("parquet_export", """
     select order_id, purchase_date, round(gmv_brl::double, 4) as gmv_brl, delivery_outcome, date_trunc('month', purchase_date)::date as "month"
     from fct_orders""")
 add("file_manifest", "select true as has_files, true as has_digests, count(*) as records from orders")
+
+# ---- staging: ids come back from text as text
+_TEXT = "::varchar as "
+add("staged_orders", f"""select order_id{_TEXT}order_id, customer_id{_TEXT}customer_id, * exclude (order_id, customer_id) from f_orders""")
+add("staged_items", f"""
+    select order_id{_TEXT}order_id, order_item_number, product_id{_TEXT}product_id, seller_id{_TEXT}seller_id, shipping_limit_at,
+        round(price_brl::double, 4) as price_brl, round(freight_brl::double, 4) as freight_brl from f_items""")
+add("staged_payments", f"""
+    select order_id{_TEXT}order_id, payment_sequence, payment_type, installments, round(payment_brl::double, 4) as payment_brl
+    from f_payments where order_id in (select order_id from f_orders)""")
+add("staged_reviews", f"""
+    select review_id{_TEXT}review_id, order_id{_TEXT}order_id, review_score, has_comment, review_sent_date,
+        date_trunc('second', review_answered_at)::timestamp as review_answered_at
+    from f_reviews where order_id in (select order_id from f_orders)""")
+add("staged_customers", f"""
+    select customer_id{_TEXT}customer_id, customer_unique_id{_TEXT}customer_unique_id, customer_zip_prefix, customer_city,
+        upper(customer_state) as customer_state from f_customers""")
+add("staged_sellers", f"select seller_id{_TEXT}seller_id, seller_zip_prefix, seller_city, upper(seller_state) as seller_state from f_sellers")
+add("staged_products", f"""
+    select product_id{_TEXT}product_id, category_name_pt, photo_count, null::int as name_length, null::int as description_length,
+        weight_g, length_cm, height_cm, width_cm from f_products""")
+add("staged_geolocation", """
+    select zip_prefix, round(latitude, 6) as latitude, round(longitude, 6) as longitude, 'são paulo' as city, 'SP' as state_code,
+        is_inside_brazil from f_points""")
+add("staged_categories", """
+    select category_name_pt, category_name_en from f_categories
+    union all select * from (values ('pc_gamer', 'pc_gamer'),
+        ('portateis_cozinha_e_preparadores_de_alimentos', 'portable_kitchen_and_food_preparers')) v""")
+add("staged_fx_rates", "select rate_date, round(brl_per_eur, 6) as brl_per_eur from f_fx")
+add("staged_inflation", "select month_start, round(pct_change, 6) as pct_change from f_inflation")
+add("staged_weather", """
+    select state_code, weather_date, precipitation_mm, precipitation_mm + 20 as temperature_max_c, precipitation_mm + 10 as temperature_min_c
+    from f_rain""")
+add("staged_labels", """
+    select data_source, is_synthetic, sim_as_of, count(*) as items from f_items join f_orders using (order_id) group by all""")
+add("landed_files", """
+    select case when is_synthetic then 'sim_order_reviews (SYNTHETIC)' else 'order_reviews' end as "table", count(*) as "rows"
+    from f_reviews join f_orders using (order_id) group by all""")
+add("seed_states", "select customer_state as state_code, count(*) as customers, false as is_seeded from f_customers group by all")

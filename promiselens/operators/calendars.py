@@ -63,13 +63,17 @@ def _numbers(index: DataFrame, day: str, number: str) -> DataFrame:
 
 
 def with_bank_days_between(df: DataFrame, start: str, end: str, index: DataFrame, out: str) -> DataFrame:
-    """Bank days after ``start`` up to and including ``end``; 0 when ``end`` is not after ``start``."""
+    """Bank days after ``start`` up to and including ``end``; 0 when ``end`` is not after ``start``.
+
+    Unknown (null) when a day is unknown or outside the calendar.
+    """
+    between = F.col("_to_no") - F.col("_from_no")
     return (
         df.withColumn("_from_day", F.col(start).cast("date"))
         .withColumn("_to_day", F.col(end).cast("date"))
         .join(_numbers(index, "_from_day", "_from_no"), "_from_day", "left")
         .join(_numbers(index, "_to_day", "_to_no"), "_to_day", "left")
-        .withColumn(out, F.greatest(F.col("_to_no") - F.col("_from_no"), F.lit(0)))
+        .withColumn(out, F.when(between >= 0, between).when(between < 0, F.lit(0)))
         .drop("_from_day", "_to_day", "_from_no", "_to_no")
     )
 

@@ -11,6 +11,7 @@ class Params:
     # Calendar (inclusive). An open end means the day of the run.
     calendar_start: date = date(2016, 9, 1)
     calendar_end: date | None = None
+    calendar_margin_days: int = 60
     # Historical orders still open and past their promise on this day count as overdue.
     data_cutoff: date = date(2018, 10, 17)
     # Complete months used for headline numbers (inclusive).
@@ -51,6 +52,7 @@ class Params:
     hot_key_rows: int = 2_000_000
     hot_key_sample: int = 128
     salts: int = 64
+    max_hot_keys: int = 100_000  # more hot keys than this are joined, not broadcast
 
     @property
     def last_calendar_day(self) -> date:

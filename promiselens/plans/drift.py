@@ -17,25 +17,26 @@ NEEDS = ["purchase_date", "purchased_at", "is_synthetic", "is_in_kpi_window", "i
          "delivery_outcome", "main_payment_type", "customer_region", "promised_days", "actual_days",
          "seller_missed_ship_by", "review_score", "approval_hours", "gmv_brl"]
 
-# Measure, allowed difference, relative?
-SCALARS = [
-    ("Share of orders delivered", 0.005, False),
-    ("Average promised days (delivered orders)", 1.0, False),
-    ("Average actual delivery days", 1.0, False),
-    ("Late rate (delivered orders)", 0.015, False),
-    ("Seller missed hand-over deadline", 0.02, False),
-    ("1-2 star reviews, on-time orders", 0.02, False),
-    ("1-2 star reviews, late orders", 0.05, False),
-    ("Median approval hours, credit card", 0.5, False),
-    ("Median approval hours, boleto", 6.0, False),
-    ("Average order value (relative)", 0.03, True),
-]
-GAPS = [
-    ("Weekday pattern: largest gap in share of orders", "weekday", 0.015),
-    ("Hour of day: largest gap in share of orders", "hour", 0.01),
-    ("Payment mix: largest gap in share", "payment", 0.015),
-    ("Late rate by region: largest gap", "region", 0.03),
+# Fixed values, in report order: measure, how it is taken, allowed difference. A gap names its share table; a relative
+# difference is a share of the historical value.
+MEASURES = [
+    ("Weekday pattern: largest gap in share of orders", "gap weekday", 0.015),
+    ("Hour of day: largest gap in share of orders", "gap hour", 0.01),
+    ("Payment mix: largest gap in share", "gap payment", 0.015),
+    ("Share of orders delivered", "absolute", 0.005),
+    ("Average promised days (delivered orders)", "absolute", 1.0),
+    ("Average actual delivery days", "absolute", 1.0),
+    ("Late rate (delivered orders)", "absolute", 0.015),
+    ("Late rate by region: largest gap", "gap region", 0.03),
+    ("Seller missed hand-over deadline", "absolute", 0.02),
+    ("1-2 star reviews, on-time orders", "absolute", 0.02),
+    ("1-2 star reviews, late orders", "absolute", 0.05),
+    ("Median approval hours, credit card", "absolute", 0.5),
+    ("Median approval hours, boleto", "absolute", 6.0),
+    ("Average order value, prices of the historical period (relative)", "relative", 0.03),
 ]
+SCALARS = [m for m in MEASURES if not m[1].startswith("gap")]
+GAPS = [(measure, kind.removeprefix("gap "), allowed) for measure, kind, allowed in MEASURES if kind.startswith("gap")]
 COMPARED_PAYMENTS = ["credit_card", "boleto", "voucher", "debit_card"]
 
 
@@ -59,7 +60,7 @@ def _scalars(orders: DataFrame, params: Params) -> DataFrame:
         return F.median(F.when(who & (payment == kind), F.col("approval_hours")))
 
     pairs = [
-        both(_mean_of(real_all, arrived), _mean_of(synthetic, delivered)),
+        both(_mean_of(real_all, arrived), _mean_of(synthetic & (outcome != rules.OPEN), delivered)),
         both(avg_where(normal & delivered, "promised_days"), avg_where(synthetic & delivered, "promised_days")),
         both(avg_where(normal & delivered, "actual_days"), avg_where(synthetic & delivered, "actual_days")),
         both(_mean_of(normal & delivered, late), _mean_of(synthetic & delivered, late)),
@@ -78,7 +79,7 @@ def _scalars(orders: DataFrame, params: Params) -> DataFrame:
         ),
         both(median(real_all, "credit_card"), median(synthetic, "credit_card")),
         both(median(real_all, "boleto"), median(synthetic, "boleto")),
-        both(avg_where(real_all & delivered, "gmv_brl"), avg_where(synthetic, "gmv_brl")),
+        both(avg_where(real_all & delivered, "gmv_brl"), avg_where(synthetic, F.col("gmv_brl") / F.col("price_factor"))),
     ]
     row = orders.agg(*[pair.alias(f"_{i}") for i, pair in enumerate(pairs)])
     lines = [
@@ -87,9 +88,9 @@ def _scalars(orders: DataFrame, params: Params) -> DataFrame:
             F.col(f"_{i}.real").alias("real"),
             F.col(f"_{i}.simulated").alias("simulated"),
             F.lit(tolerance).alias("allowed"),
-            F.lit(relative).alias("is_relative"),
+            F.lit(kind == "relative").alias("is_relative"),
         )
-        for i, (measure, tolerance, relative) in enumerate(SCALARS)
+        for i, (measure, kind, tolerance) in enumerate(SCALARS)
     ]
     return row.select(F.inline(F.array(*lines)))
 
@@ -136,7 +137,10 @@ def largest_gaps(vectors: DataFrame) -> DataFrame:
     return compared.groupBy("kind").agg(F.max(F.abs(F.col("simulated") - F.col("real"))).alias("gap"))
 
 
-def drift_report(orders: DataFrame, params: Params) -> DataFrame:
+def drift_report(orders: DataFrame, factors: DataFrame, params: Params) -> DataFrame:
+    """``factors``: price factor per month, one row a month. Orders still in transit are not judged as undelivered."""
+    month = dates.month_start("purchase_date")
+    orders = orders.withColumn("month_start", month).join(F.broadcast(factors), "month_start", "left")
     labels = F.array(
         *[
             F.struct(F.lit(m).alias("measure"), F.lit(k).alias("kind"), F.lit(t).alias("allowed"))

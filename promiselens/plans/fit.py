@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promiselens.functions import dates, rules, text
+from promiselens.functions.order import nulls_last
 from promiselens.functions.stats import PERCENTILE_GRID, count_where, percentile_grid, safe_ratio
 from promiselens.operators.calendars import bank_day_index, bank_holidays_of, calendar_days, with_bank_days_between
 from promiselens.operators.joins import lookup_join, renamed
@@ -147,9 +148,18 @@ def _approvals(orders: DataFrame) -> DataFrame:
 
 
 def bank_calendar(feed, params: Params) -> DataFrame:
-    # A margin after the last day keeps "n bank days later" inside the calendar.
-    days = calendar_days(feed.spark, params.calendar_start, params.last_calendar_day + timedelta(days=60))
-    return bank_day_index(days, bank_holidays_of(feed.holidays))
+    """Bank days of all days that an order names, and of the reporting calendar, with a margin on either side.
+
+    The first and last day are looked up in the orders (one row), so no order lies outside; the margin keeps
+    "n bank days later" inside.
+    """
+    named = ["purchased_at", "approved_at", "shipped_at", "delivered_at", "promised_date"]
+    days = [F.col(c).cast("date") for c in named]
+    first, last = feed.orders.agg(F.min(F.least(*days)), F.max(F.greatest(*days))).first()
+    start = min(params.calendar_start, first or params.calendar_start)
+    end = max(params.last_calendar_day, last or params.last_calendar_day)
+    margin = timedelta(days=params.calendar_margin_days)
+    return bank_day_index(calendar_days(feed.spark, start, end + margin), bank_holidays_of(feed.holidays))
 
 
 def approval_lags(orders: DataFrame, calendar: DataFrame, params: Params) -> DataFrame:
@@ -279,7 +289,7 @@ def journey_templates(feed, params: Params) -> DataFrame:
         clean, feed.customers.drop("customer_unique_id"), ["customer_id"], params, "inner", feed.orders, ["order_id"]
     )
     sellers = feed.sellers.select(F.col("seller_id").alias("primary_seller_id"), "seller_state")
-    sold = renamed(feed.items, primary_seller_id="seller_id", order_id="order_id")
+    sold = renamed(summaries.item_keys(feed), primary_seller_id="seller_id", order_id="order_id")
     placed = lookup_join(placed, sellers, ["primary_seller_id"], params, "inner", sold, ["order_id"])
     templates = placed.select(
         F.col("order_id").alias("source_order_id"),
@@ -338,31 +348,38 @@ def price_factors(inflation: DataFrame, months: DataFrame, base_month, params: P
 
 
 def rescaled_payments(payments: DataFrame, new_totals: DataFrame, params: Params) -> DataFrame:
-    """Each order's payments scaled to its new total, to the cent; the rest goes to the largest payment.
+    """Each order's payments scaled to its new total, to the cent; the rest goes to one largest payment.
 
-    Order sums and the largest payment are aggregates with map-side combine, not windows, so an order
-    with very many payments does not meet in one task.
+    Equal payments are counted first, so "one of them" is the first copy. Order sums and the largest payment are
+    aggregates with map-side combine, not windows, so an order with very many payments does not meet in one task.
+    The scaled payments are written once, as both the sums and the result read them.
     """
     cents = "decimal(28,2)"
+    kinds = ["payment_sequence", "payment_type", "installments", "payment_brl"]
+    equal = payments.groupBy("order_id", *kinds).agg(F.count(F.lit(1)).alias("_copies"))
     totals = payments.groupBy("order_id").agg(F.sum("payment_brl").alias("_old"))
     per_order = totals.join(new_totals.select("order_id", F.col("new_total").cast(cents).alias("_new")), "order_id")
     spread = ["payment_sequence", "payment_brl"]
     ratio = F.col("payment_brl").cast("double") * F.col("_new").cast("double")
     old = F.when(F.col("_old") == 0, 1.0).otherwise(F.col("_old").cast("double"))
-    scaled = lookup_join(payments, per_order, ["order_id"], params, "inner", payments, spread).withColumn(
-        "_scaled", F.round(ratio / old, 2).cast(cents)
+    scaled = materialise(
+        lookup_join(equal, per_order, ["order_id"], params, "inner", payments, spread)
+        .withColumn("_scaled", F.round(ratio / old, 2).cast(cents))
+        .select("order_id", *kinds, "_copies", "_new", "_scaled")
     )
-    order = F.struct(-F.col("_scaled"), F.col("payment_sequence"), F.col("payment_brl"))
-    place = F.struct("payment_sequence", "payment_brl")
+    place = F.struct(*kinds)
+    order = nulls_last(-F.col("_scaled"), "payment_sequence", "payment_brl", "payment_type", "installments")
     rest = scaled.groupBy("order_id").agg(
-        (F.max("_new") - F.sum("_scaled")).cast(cents).alias("_rest"), F.min_by(place, order).alias("_largest")
+        (F.max("_new") - F.sum(F.col("_scaled") * F.col("_copies"))).cast(cents).alias("_rest"),
+        F.min_by(place, order).alias("_largest"),
     )
     joined = lookup_join(scaled, rest, ["order_id"], params, "inner", payments, spread)
-    correction = F.when(place == F.col("_largest"), F.col("_rest")).otherwise(F.lit(0).cast(cents))
-    return joined.select(
+    copy = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
+    corrected = place.eqNullSafe(F.col("_largest")) & (F.col("_copy") == 1)
+    return copy.select(
         "order_id",
         "payment_sequence",
         "payment_type",
         "installments",
-        (F.col("_scaled") + correction).cast(cents).alias("scaled_brl"),
+        (F.col("_scaled") + F.when(corrected, F.col("_rest")).otherwise(F.lit(0).cast(cents))).cast(cents).alias("scaled_brl"),
     )

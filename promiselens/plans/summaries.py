@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promiselens.functions import dates
+from promiselens.functions.order import nulls_last
 from promiselens.operators.calendars import calendar_days, forward_filled
 from promiselens.params import Params
 
 
+def item_keys(feed) -> DataFrame:
+    """Order, number, product and seller of the items, from the cheapest frame that the feed has."""
+    return feed.item_keys if hasattr(feed, "item_keys") else feed.items
+
+
 def items_summary(items: DataFrame) -> DataFrame:
     """Totals, latest deadline and primary seller of each order.
 
@@ -24,7 +30,7 @@ def items_summary(items: DataFrame) -> DataFrame:
         F.max("shipping_limit_at").alias("_deadline"),
     )
     money = "decimal(38,6)"
-    first = F.min_by("seller_id", F.struct(-F.col("_products"), F.col("seller_id")))
+    first = F.min_by("seller_id", nulls_last(-F.col("_products"), "seller_id"))
     return (
         per_seller.groupBy("order_id")
         .agg(
@@ -40,8 +46,8 @@ def items_summary(items: DataFrame) -> DataFrame:
 
 
 def payments_summary(payments: DataFrame) -> DataFrame:
-    """Main payment type = the largest payment, the earliest winning a tie."""
-    order = F.struct(-F.col("payment_brl"), F.col("payment_sequence"), F.col("payment_type"))
+    """Main payment type = the largest payment, the earliest winning a tie; an unknown value or place comes last."""
+    order = nulls_last(-F.col("payment_brl"), "payment_sequence", "payment_type")
     return payments.groupBy("order_id").agg(
         F.min_by("payment_type", order).alias("main_payment_type"),
         F.count(F.lit(1)).alias("payment_count"),
@@ -52,11 +58,11 @@ def payments_summary(payments: DataFrame) -> DataFrame:
 
 
 def latest_reviews(reviews: DataFrame) -> DataFrame:
-    """The latest answer of each order; ties go to the later sending, then the smallest id."""
-    newest_first = F.struct(
+    """The latest answer of each order, unknown times last; ties go to the later sending, then the smallest id."""
+    newest_first = nulls_last(
         -F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col("review_answered_at")),
         -F.unix_date("review_sent_date"),
-        F.col("review_id"),
+        "review_id",
     )
     kept = ["review_id", "review_score", "has_comment", "review_sent_date", "review_answered_at"]
     return (
@@ -100,7 +106,7 @@ def state_holidays(holidays: DataFrame, states: DataFrame) -> DataFrame:
     per_state = (
         holidays.withColumn("_code", F.explode(listed))
         .where(F.array_contains(codes, F.col("_code")))
-        .withColumn("state_code", F.substring("_code", 4, 100))
+        .withColumn("state_code", F.substring_index("_code", "-", -1))
     )
     return _merged(per_state, "state_code", "holiday_date").withColumn(
         "is_weekday", dates.iso_weekday("holiday_date") <= 5

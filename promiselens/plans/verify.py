@@ -35,10 +35,12 @@ def recomputed(feed, params: Params) -> DataFrame:
             from {{items}} group by order_id),
         newest as (
             select order_id, min_by(review_score, struct(
-                -unix_micros(cast(review_answered_at as timestamp)), -unix_date(review_sent_date), review_id)) as score
+                review_answered_at is null, -unix_micros(cast(review_answered_at as timestamp)),
+                review_sent_date is null, -unix_date(review_sent_date), review_id is null, review_id)) as score
             from {{reviews}} group by order_id),
         span as (select rate_date, brl_per_eur,
-                lead(rate_date) over (order by rate_date) as next_date from {{rates}}),
+                lead(rate_date) over (order by rate_date) as next_date from {{rates}}
+            where rate_date <= date '{params.last_calendar_day}'),
         daily as (select explode(sequence(rate_date, coalesce(date_sub(next_date, 1), date '{params.last_calendar_day}'))) as day,
                 brl_per_eur from span)
         select /*+ broadcast(d) */ o.order_status = 'delivered' and o.delivered_at is not null as delivered,

@@ -105,6 +105,16 @@ class TableFeed:
             ).alias("freight_brl"),
         )
 
+    @cached_property
+    def item_keys(self) -> DataFrame:
+        """The keys of the items, without the look-up of their orders."""
+        return self.table("lineitem").select(
+            F.col("l_orderkey").alias("order_id"),
+            F.col("l_linenumber").alias("order_item_number"),
+            F.col("l_partkey").alias("product_id"),
+            F.col("l_suppkey").alias("seller_id"),
+        )
+
     @cached_property
     def payments(self) -> DataFrame:
         flag = F.col("l_returnflag")
@@ -113,20 +123,20 @@ class TableFeed:
             F.col("l_linenumber").alias("payment_sequence"),
             F.when(flag == "R", "boleto").when(flag == "A", "credit_card").otherwise("voucher").alias("payment_type"),
             (1 + F.col("l_quantity") % 12).cast("int").alias("installments"),
-            F.col("l_extendedprice").cast("decimal(28,6)").alias("payment_brl"),
+            F.when(F.col("l_linenumber") != 7, F.col("l_extendedprice")).cast("decimal(28,6)").alias("payment_brl"),
         )
 
     @cached_property
     def reviews(self) -> DataFrame:
         event = F.col("event_id")
         answered = F.expr("ts - interval 24 years")
-        return self.table("events").where(F.col("event_type").isin("purchase", "view")).select(
+        return self.table("events").select(
             event.alias("review_id"),
             (event - event % 3).alias("order_id"),
             (1 + event % 5).cast("int").alias("review_score"),
             (F.col("value") > 50).alias("has_comment"),
             answered.cast("date").alias("review_sent_date"),
-            answered.alias("review_answered_at"),
+            F.when(event % 11 != 0, answered).alias("review_answered_at"),  # some were never answered
         )
 
     @cached_property
@@ -211,13 +221,15 @@ class TableFeed:
 
     @cached_property
     def holidays(self) -> DataFrame:
-        """Every 29th day of a year is a holiday of this calendar, with one record per order priority.
+        """A month's first day with an order of a priority is a holiday of this calendar, named by the priority.
 
-        All orders are read; the records are distinct days, so their number is bounded by the calendar.
+        All orders are read; the records number at most five a month.
         """
-        days = self.table("orders").select(
-            F.col("o_orderdate").cast("date").alias("holiday_date"), F.col("o_orderpriority").alias("holiday_name")
-        ).where(F.dayofyear("holiday_date") % 29 == 0).distinct()
+        days = (
+            self.table("orders")
+            .groupBy(F.trunc("o_orderdate", "month").alias("_month"), F.col("o_orderpriority").alias("holiday_name"))
+            .agg(F.min("o_orderdate").cast("date").alias("holiday_date"))
+        )
         nationwide = F.col("holiday_name").isin("1-URGENT", "2-HIGH")
         length, day = F.length("holiday_name"), F.dayofmonth("holiday_date")
         codes = [
