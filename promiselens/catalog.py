@@ -27,7 +27,7 @@ from promiselens.plans import (
     verify,
 )
 from promiselens.session import materialise, shared_folder
-from promiselens.sources import payloads, registry, sinks
+from promiselens.sources import fixed_values, landing, payloads, registry, sinks
 from promiselens.sources.tables import TableFeed
 from promiselens.streaming import snapshots
 
@@ -387,7 +387,7 @@ def dq_mart_report(feed: TableFeed) -> DataFrame:
 
 @query
 def profile_table_rows(feed: TableFeed) -> DataFrame:
-    names = ["orders", "lineitem", "customer", "supplier", "part", "events"]
+    names = ["orders", "lineitem", "customer", "supplier", "part", "nation", "region", "events"]
     return profile.table_rows({name: feed.table(name) for name in names}, {"events"})
 
 
@@ -533,10 +533,14 @@ def price_index(feed: TableFeed) -> DataFrame:
     return tidy(fit.price_index(feed.inflation))
 
 
+def _price_factors(feed: TableFeed) -> DataFrame:
+    months = feed.orders.select(dates.month_start(F.col("purchased_at").cast("date")).alias("month_start")).distinct()
+    return fit.price_factors(feed.inflation, months, feed.params.kpi_start, feed.params)
+
+
 @query
 def price_factors(feed: TableFeed) -> DataFrame:
-    months = feed.orders.select(dates.month_start(F.col("purchased_at").cast("date")).alias("month_start")).distinct()
-    return tidy(fit.price_factors(feed.inflation, months, feed.params.kpi_start, feed.params))
+    return tidy(_price_factors(feed))
 
 
 @query
@@ -594,7 +598,7 @@ def share_vectors(feed: TableFeed) -> DataFrame:
 
 @query
 def drift_report(feed: TableFeed) -> DataFrame:
-    return tidy(drift.drift_report(_stored_orders(feed, drift.NEEDS), feed.params))
+    return tidy(drift.drift_report(_stored_orders(feed, drift.NEEDS), _price_factors(feed), feed.params))
 
 
 # ---- landing reshapes and series checks
@@ -750,7 +754,7 @@ def parquet_export(feed: TableFeed) -> DataFrame:
     needs = ["order_id", "purchase_date", "gmv_brl", "delivery_outcome"]
     orders = facts.order_facts(feed, feed.params, needs).withColumn("month", dates.month_start("purchase_date"))
     sinks.export_parquet({"fct_orders": orders}, root, {"fct_orders": "month"})
-    return tidy(feed.spark.read.parquet(f"{root}/fct_orders"))
+    return tidy(sinks.read_version(feed.spark, f"{root}/fct_orders"))
 
 
 @query
@@ -764,3 +768,51 @@ def file_manifest(feed: TableFeed) -> DataFrame:
         (F.min(F.length("sha256")) == 64).alias("has_digests"),
         F.sum("rows").alias("records"),
     )
+
+
+# ---- staging: a table landed as text, both feeds, and typed again
+
+
+def _staged(name: str) -> Query:
+    def staged(feed: TableFeed) -> DataFrame:
+        root = _folder(feed)
+        landing.LAND[name](feed, root)
+        return tidy(getattr(staging.LandedFeed(feed.spark, root, feed.params), name))
+
+    return staged
+
+
+for _name in landing.LAND:
+    QUERIES[f"staged_{_name}"] = _staged(_name)
+
+
+@query
+def staged_labels(feed: TableFeed) -> DataFrame:
+    """Provenance of the items of both feeds, as staging reads it from the files."""
+    root = _folder(feed)
+    landing.land_items(feed, root)
+    names = ["order_items", "sim_order_items"]
+    both = [staging.items(registry.load_raw(feed.spark, root, name), feed.params) for name in names]
+    return both[0].unionByName(both[1]).groupBy("data_source", "is_synthetic", "sim_as_of").agg(
+        F.count(F.lit(1)).alias("items")
+    )
+
+
+@query
+def landed_files(feed: TableFeed) -> DataFrame:
+    """Expected files that are not there, and rows in files against rows in the typed table."""
+    root = _folder(feed)
+    landing.land_reviews(feed, root)
+    feeds = ["order_reviews", "sim_order_reviews"]
+    counted = registry.row_counts({name: registry.load_raw(feed.spark, root, name) for name in feeds})
+    return counted.select("table", "rows")
+
+
+@query
+def seed_states(feed: TableFeed) -> DataFrame:
+    """The customers of each state's region by the landed state code; the seed holds no state of these tables."""
+    seeds = fixed_values.states(feed.spark)
+    held = feed.customers.groupBy(F.col("customer_state").alias("state_code")).agg(F.count(F.lit(1)).alias("customers"))
+    return held.join(F.broadcast(seeds.select("state_code", F.lit(True).alias("seeded"))), "state_code", "left").select(
+        "state_code", "customers", F.coalesce("seeded", F.lit(False)).alias("is_seeded")
+    )

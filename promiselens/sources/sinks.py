@@ -1,4 +1,8 @@
-"""Writers. Spark's commit protocol gives whole-or-nothing output; readers see no half-written file."""
+"""Writers that never harm what is there: a new version is written in full before anything points at it.
+
+A versioned folder holds one sub-folder per written version and, in ``swaps``, one small table per swap that names
+the version to read. A failing write leaves the last swap in force, so readers keep the old rows.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +22,8 @@ def with_lineage(df: DataFrame, source: str | Column, ingested_at: str) -> DataF
 
 
 def write_ndjson(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    """A new landing folder; an existing one is an error, as overwriting would delete it before it is replaced."""
+    df.write.mode("errorifexists").option("ignoreNullFields", False).json(path)
 
 
 def write_csv_text(df: DataFrame, path: str) -> None:
@@ -29,7 +34,7 @@ def write_csv_text(df: DataFrame, path: str) -> None:
         if isinstance(field.dataType, (T.TimestampNTZType, T.TimestampType)):
             column = F.date_format(column, "yyyy-MM-dd HH:mm:ss")
         columns.append(column.cast("string").alias(field.name))
-    writer = df.select(*columns).write.mode("overwrite").option("header", True)
+    writer = df.select(*columns).write.mode("errorifexists").option("header", True)
     writer.option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
 
 
@@ -44,11 +49,13 @@ def exportable(df: DataFrame) -> DataFrame:
 
 
 def export_parquet(tables: dict[str, DataFrame], root: str, partition_by: dict[str, str] | None = None) -> None:
-    """One folder per table. ``partition_by`` names a column per table, for partition pruning."""
-    for name, df in tables.items():
-        writer = exportable(df).write.mode("overwrite")
-        column = (partition_by or {}).get(name)
-        (writer.partitionBy(column) if column else writer).parquet(f"{root}/{name}")
+    """One versioned folder per table; all are written before the first is swapped in."""
+    written = [
+        (f"{root}/{name}", write_version(exportable(df), f"{root}/{name}", (partition_by or {}).get(name)), df)
+        for name, df in tables.items()
+    ]
+    for folder, version, df in written:
+        point_to(df.sparkSession, folder, version)
 
 
 def replace_table(df: DataFrame, name: str) -> str:
@@ -62,12 +69,44 @@ def replace_table(df: DataFrame, name: str) -> str:
     return target
 
 
-def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table at ``path``, built and written when it is missing."""
+def write_version(df: DataFrame, folder: str, partition_by: str | None = None) -> str:
+    """Write a new version of the table in ``folder`` without pointing to it; returns its name."""
+    version = f"v-{uuid.uuid4().hex[:12]}"
+    writer = df.write.mode("errorifexists")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{folder}/{version}")
+    return version
+
+
+def point_to(spark: SparkSession, folder: str, version: str) -> None:
+    """The swap: one row, committed as a whole. The last swap counts."""
+    row = spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at"))
+    row.coalesce(1).write.mode("append").parquet(f"{folder}/swaps")
+
+
+def current_version(spark: SparkSession, folder: str) -> str | None:
     try:
-        return spark.read.parquet(path)
+        found = spark.read.schema("version string, at timestamp").parquet(f"{folder}/swaps")
+        newest = found.orderBy(F.desc("at"), F.desc("version")).first()
     except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
-    build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+        return None
+    return newest["version"] if newest else None
+
+
+def read_version(spark: SparkSession, folder: str, version: str | None = None) -> DataFrame:
+    """A version of the table in ``folder``, the current one by default."""
+    version = version or current_version(spark, folder)
+    if version is None:
+        raise FileNotFoundError(f"{folder} has no finished version")
+    return spark.read.parquet(f"{folder}/{version}")
+
+
+def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The finished table in the versioned folder ``path``, built and written when there is none.
+
+    What a failed job left behind is never pointed to, so it is never read.
+    """
+    if current_version(spark, path) is None:
+        point_to(spark, path, write_version(build(), path))
+    return read_version(spark, path)
