@@ -64,7 +64,10 @@ def spread_join(
     ``key_source`` is the cheapest frame with (at least) the fact side's key counts, usually a raw table.
     The salt is a function of the row, so a recomputed task produces the same rows.
     """
-    hot = F.broadcast(hot_keys(key_source, on, spread_by, params).withColumn("_hot", F.lit(True)))
+    # Both sides read the hot keys: they are found once, stored, and broadcast only while they are few.
+    hot = materialise(hot_keys(key_source, on, spread_by, params).withColumn("_hot", F.lit(True)))
+    if hot.count() <= params.max_hot_keys:
+        hot = F.broadcast(hot)
     no_match = F.lit(False)
     for name in on:
         no_match = no_match | F.col(name).isNull()

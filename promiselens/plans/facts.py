@@ -97,7 +97,7 @@ def _add_places(facts: DataFrame, feed, params: Params, needs: set[str]) -> Data
             seller_zip_prefix="seller_zip_prefix",
         )
         # An order's primary seller sold at least one of its items, so a seller hot here is hot there.
-        sold = renamed(feed.items, primary_seller_id="seller_id", order_id="order_id")
+        sold = renamed(summaries.item_keys(feed), primary_seller_id="seller_id", order_id="order_id")
         facts = lookup_join(facts, sellers, ["primary_seller_id"], params, "left", sold, ["order_id"])
         facts = facts.withColumn("route", text.route_label("seller_state", "customer_state"))
     if "regions" in needs:
@@ -149,9 +149,9 @@ def item_facts(feed, params: Params, orders: DataFrame | None = None) -> DataFra
         orders = order_facts(feed, params, ITEM_FACT_FROM_ORDER)
     line = ["order_id", "order_item_number"]
     sellers = feed.sellers.select("seller_id", "seller_state")
-    items = lookup_join(feed.items, sellers, ["seller_id"], params, "left", feed.items, line)
+    items = lookup_join(feed.items, sellers, ["seller_id"], params, "left", summaries.item_keys(feed), line)
     joined = lookup_join(
-        items, orders.select(*ITEM_FACT_FROM_ORDER), ["order_id"], params, "inner", feed.items, line
+        items, orders.select(*ITEM_FACT_FROM_ORDER), ["order_id"], params, "inner", summaries.item_keys(feed), line
     )
     value_brl = (F.col("price_brl") + F.col("freight_brl")).cast("decimal(38,6)")
     value_eur = F.col("item_gmv_brl").cast("double") / F.col("brl_per_eur")

@@ -11,7 +11,7 @@ from promiselens.functions import rules
 from promiselens.operators import checks
 from promiselens.operators.joins import lookup_join
 from promiselens.params import Params
-from promiselens.plans import facts, marts
+from promiselens.plans import facts, marts, summaries
 
 
 def _violations(name: str, violating: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def model_report(feed, params: Params) -> DataFrame:
     ]
     keyed = {
         "orders.order_id unique": checks.unique(feed.orders, "order_id"),
-        "items (order, number) unique": checks.unique_combination(feed.items, "order_id", "order_item_number"),
+        "items (order, number) unique": checks.unique_combination(summaries.item_keys(feed), "order_id", "order_item_number"),
         "payments (order, sequence) unique": checks.unique_combination(feed.payments, "order_id", "payment_sequence"),
         "reviews (review, order) unique": checks.unique_combination(feed.reviews, "review_id", "order_id"),
         "customers.customer_id unique": checks.unique(feed.customers, "customer_id"),
@@ -100,9 +100,9 @@ def model_report(feed, params: Params) -> DataFrame:
         "fx.rate_date unique": checks.unique(feed.fx_rates, "rate_date"),
         "inflation.month_start unique": checks.unique(feed.inflation, "month_start"),
         "weather (state, day) unique": checks.unique_combination(feed.weather, "state_code", "weather_date"),
-        "items.order_id in orders": checks.relationship(feed.items, "order_id", feed.orders, "order_id"),
-        "items.seller_id in sellers": checks.relationship(feed.items, "seller_id", feed.sellers, "seller_id"),
-        "items.product_id in products": checks.relationship(feed.items, "product_id", feed.products, "product_id"),
+        "items.order_id in orders": checks.relationship(summaries.item_keys(feed), "order_id", feed.orders, "order_id"),
+        "items.seller_id in sellers": checks.relationship(summaries.item_keys(feed), "seller_id", feed.sellers, "seller_id"),
+        "items.product_id in products": checks.relationship(summaries.item_keys(feed), "product_id", feed.products, "product_id"),
         "customers.state in states": checks.relationship(
             feed.customers, "customer_state", feed.states, "state_code"
         ),
@@ -209,7 +209,7 @@ def value_differs_from_source(feed, params: Params, tolerance: float = 0.01) ->
     """Feeds whose value in the fact is missing or differs from prices + freight in their items."""
     labels = feed.orders.select("order_id", "data_source")
     spread = ["order_item_number", "product_id"]
-    labelled = lookup_join(feed.items, labels, ["order_id"], params, "inner", feed.items, spread)
+    labelled = lookup_join(feed.items, labels, ["order_id"], params, "inner", summaries.item_keys(feed), spread)
     source = labelled.groupBy("data_source").agg(
         F.sum(F.col("price_brl") + F.col("freight_brl")).cast("decimal(38,6)").alias("source_gmv_brl")
     )

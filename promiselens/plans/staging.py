@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from promiselens.functions import geo
 from promiselens.functions.text import blank_to_null, contains
 from promiselens.params import Params
-from promiselens.sources import fixed_values
+from promiselens.sources import fixed_values, sinks
 from promiselens.sources.registry import load_raw
 
 MONEY = "decimal(28,6)"
@@ -254,12 +254,14 @@ def store(feed, root: str) -> SimpleNamespace:
     """Writes the typed tables as Parquet once and returns a feed that reads them.
 
     Text files are parsed once, not once per query; the copies are columnar, splittable and have true sizes.
+    All tables are written before the first is swapped in, so a failing write leaves the typed tables of the run before.
     """
-    for name in MODEL_TABLES:
-        getattr(feed, name).write.mode("overwrite").parquet(f"{root}/{name}")
+    versions = {name: sinks.write_version(getattr(feed, name), f"{root}/{name}") for name in MODEL_TABLES}
+    for name, version in versions.items():
+        sinks.point_to(feed.spark, f"{root}/{name}", version)
     return stored(feed.spark, root, feed.params)
 
 
 def stored(spark: SparkSession, root: str, params: Params) -> SimpleNamespace:
-    tables = {name: spark.read.parquet(f"{root}/{name}") for name in MODEL_TABLES}
+    tables = {name: sinks.read_version(spark, f"{root}/{name}") for name in MODEL_TABLES}
     return SimpleNamespace(spark=spark, params=params, **tables)

@@ -2,48 +2,73 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promiselens.params import Params
 from promiselens.plans import facts, marts, verify
 from promiselens.sources import sinks
 
+TABLES = [
+    "fct_orders", "fct_order_items", "dim_date", "dim_sellers", "dim_products", "dim_states", "mart_monthly_kpis",
+    "mart_route_performance", "mart_seller_performance", "mart_late_drivers", "mart_live_daily",
+]
+
 
 def build(feed, params: Params, root: str) -> dict[str, DataFrame]:
     """Writes the star schema and the result tables below ``root`` and returns them as read back.
 
-    The order fact is partitioned by purchase month, so KPI-window and back-test filters prune files.
-    The second-path verification runs before any result table is written: a wrong number stops the run.
+    Every table is a new version in its folder. They are swapped in together at the end, after the second-path
+    verification of the order fact: a wrong number or a failing write leaves all tables of the run before.
+    The order fact is partitioned by purchase month.
     """
     spark = feed.spark
     month = F.date_format("purchase_date", "yyyy-MM")
+    versions: dict[str, str] = {}
 
     def write(name: str, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         # Rebalancing gathers a month's rows into few files and still splits a month that is too large.
         shaped = df.hint("rebalance", partition_by) if partition_by else df
-        writer = shaped.write.mode("overwrite")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{root}/{name}")
-        return spark.read.parquet(f"{root}/{name}")
+        versions[name] = sinks.write_version(shaped, f"{root}/{name}", partition_by)
+        return sinks.read_version(spark, f"{root}/{name}", versions[name])
 
     orders = write("fct_orders", facts.order_facts(feed, params).withColumn("purchase_month", month), "purchase_month")
-    failed = verify.compare_metrics(verify.recomputed(feed, params), verify.from_facts(orders)).where("not match")
+    failed = verify.compare_metrics(verify.recomputed(feed, params), verify.from_facts(months(orders, params.kpi_start, params.kpi_end))).where("not match")
     wrong = failed.collect()  # at most one row per metric
     if wrong:
         raise ValueError(f"Facts differ from the second path: {wrong}")
+    in_window = months(orders, params.kpi_start, params.kpi_end)
     items = write("fct_order_items", facts.item_facts(feed, params, orders))
     results = {
         "dim_date": facts.date_dimension(feed, params),
         "dim_sellers": facts.seller_dimension(feed, params),
         "dim_products": facts.product_dimension(feed, params),
         "dim_states": feed.states,
-        "mart_monthly_kpis": marts.monthly_kpis(orders),
-        "mart_route_performance": marts.route_performance(orders, params),
+        "mart_monthly_kpis": marts.monthly_kpis(in_window),
+        "mart_route_performance": marts.route_performance(in_window, params),
         "mart_seller_performance": marts.seller_performance(items, params),
-        "mart_late_drivers": marts.late_drivers(orders, params),
+        "mart_late_drivers": marts.late_drivers(in_window, params),
         "mart_live_daily": marts.live_daily(orders),
     }
-    return {"fct_orders": orders, "fct_order_items": items, **{name: write(name, df) for name, df in results.items()}}
+    tables = {"fct_orders": orders, "fct_order_items": items, **{name: write(name, df) for name, df in results.items()}}
+    for name, version in versions.items():
+        sinks.point_to(spark, f"{root}/{name}", version)
+    return tables
+
+
+def months(orders: DataFrame, first: date, last: date) -> DataFrame:
+    """Written order facts of the months that hold the days first..last: other months' files are not opened.
+
+    Callers keep their own filter on days; this one only lets the scan skip partitions.
+    """
+    return orders.where(F.col("purchase_month").between(f"{first:%Y-%m}", f"{last:%Y-%m}"))
+
+
+def current(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The tables that the last finished run left below ``root``."""
+    return {name: sinks.read_version(spark, f"{root}/{name}") for name in TABLES}
 
 
 def export(tables: dict[str, DataFrame], root: str) -> None:

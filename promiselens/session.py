@@ -16,8 +16,6 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed join partition even when that costs one more exchange above the join.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Percentile buffers of a few thousand groups (routes, states) fit a task; 128 would mean sorting the rows.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "8192",
 }
 
 

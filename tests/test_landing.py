@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -197,7 +198,7 @@ def test_csv_and_json_round_trip(spark, tmp_path, feed):
 def test_export_turns_decimals_into_doubles(spark, tmp_path, feed):
     items = feed.items.withColumn("month", F.trunc("shipping_limit_at", "month"))
     sinks.export_parquet({"items": items}, str(tmp_path), {"items": "month"})
-    back = spark.read.parquet(f"{tmp_path}/items")
+    back = sinks.read_version(spark, f"{tmp_path}/items")
     assert dict(back.dtypes)["price_brl"] == "double" and back.count() == 3
 
 
@@ -222,6 +223,37 @@ def test_cache_is_built_once(spark, tmp_path):
     assert built == [1]
 
 
+def test_cache_never_reads_what_a_failed_job_left(spark, tmp_path):
+    spark.range(9).write.parquet(f"{tmp_path}/cache/v-unfinished")
+    with pytest.raises(Exception):
+        sinks.cached(spark, f"{tmp_path}/cache", lambda: spark.range(2).select(F.raise_error(F.lit("broken")).alias("id")))
+    assert sinks.cached(spark, f"{tmp_path}/cache", lambda: spark.range(4)).count() == 4
+
+
+def _breaking(feed, name):
+    """The feed with one table that fails while it is written."""
+    table = getattr(feed, name)
+    first = table.columns[0]
+    kind = table.schema[first].dataType
+    broken = table.withColumn(first, F.when(F.rand(1) >= 0, F.raise_error(F.lit("broken")).cast(kind)))
+    names = {n: getattr(feed, n) for n in staging.MODEL_TABLES}
+    return SimpleNamespace(spark=feed.spark, params=feed.params, **(names | {name: broken}))
+
+
+def test_failing_refresh_leaves_typed_and_star_tables(spark, tmp_path, feed):
+    from promiselens.plans import star
+
+    typed = staging.store(feed, f"{tmp_path}/typed")
+    star.build(typed, feed.params, f"{tmp_path}/star")
+    with pytest.raises(Exception):
+        staging.store(_breaking(feed, "weather"), f"{tmp_path}/typed")
+    assert staging.stored(spark, f"{tmp_path}/typed", feed.params).orders.count() == typed.orders.count()
+    with pytest.raises(Exception):
+        star.build(_breaking(typed, "products"), feed.params, f"{tmp_path}/star")
+    kept = star.current(spark, f"{tmp_path}/star")
+    assert kept["fct_orders"].count() == 3 and kept["dim_products"].count() == typed.products.count()
+
+
 def test_reports_on_landed_files(feed):
     from promiselens.plans import quality
 
@@ -241,7 +273,23 @@ def test_full_refresh(spark, tmp_path, feed):
     assert tables["fct_orders"].count() == 3 and tables["mart_monthly_kpis"].count() == 1
     assert len(tables) == 11
     star.export(tables, f"{tmp_path}/export")
-    exported = spark.read.parquet(f"{tmp_path}/export/fct_orders")
+    exported = sinks.read_version(spark, f"{tmp_path}/export/fct_orders")
     assert dict(exported.dtypes)["gmv_brl"] == "double" and exported.count() == 3
     plan = tables["fct_orders"].where("purchase_month = '2018-01'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(purchase_month" in plan
+
+
+def test_star_scans_skip_months(spark, tmp_path, feed):
+    from datetime import date
+
+    from promiselens.plans import findings, star
+
+    typed = staging.store(feed, f"{tmp_path}/typed")
+    params = feed.params
+    orders = star.build(typed, params, f"{tmp_path}/star")["fct_orders"]
+    window = star.months(orders, params.kpi_start, params.kpi_end)
+    tests = star.months(orders, params.train_start, params.test_end)
+    for df in (marts.monthly_kpis(window), findings.promise_backtest(tests, params)):
+        scans = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "fct_orders" in x and "FileScan" in x]
+        assert scans and all("PartitionFilters: [isnotnull(purchase_month" in x for x in scans)
+    assert star.months(orders, date(2018, 1, 1), date(2018, 1, 31)).count() == orders.where("purchase_date < '2018-02-01'").count()

@@ -1,8 +1,8 @@
 """The paths taken on large tables, forced on small ones, over tables in which keys are hot.
 
 A third of all items belong to one order, a third of all orders to one customer, a third of all items to
-one seller and a third of all reviews to one order. Nothing is small enough to broadcast, two sampled rows
-make a key hot, and every result must still equal its SQL.
+one seller and a third of all reviews to one order. Nothing is small enough to broadcast, for the jobs or for
+Spark itself, two sampled rows make a key hot, and every result must still equal its SQL.
 """
 
 from dataclasses import replace
@@ -47,7 +47,32 @@ def test_tables_are_skewed(folder):
     assert share > 0.3
 
 
+@pytest.fixture
+def never_broadcast(spark):
+    """Spark must not broadcast the lookups that the jobs left to a shuffle."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield spark
+    spark.conf.set(key, before)
+
+
 @pytest.mark.parametrize("name", NAMES)
-def test_hot_keys_give_the_same_result(spark, folder, name):
-    feed = TableFeed(apply_runtime_settings(spark), folder, LARGE)
+def test_hot_keys_give_the_same_result(never_broadcast, folder, name):
+    feed = TableFeed(apply_runtime_settings(never_broadcast), folder, LARGE)
     assert differences(QUERIES[name](feed), connect(folder), oracle_sql()[name]) == []
+
+
+def test_salted_join_is_a_shuffle_join(never_broadcast, folder):
+    feed = TableFeed(apply_runtime_settings(never_broadcast), folder, LARGE)
+    plan = QUERIES["fct_order_items"](feed)._jdf.queryExecution().executedPlan().toString()
+    salted = [line for line in plan.splitlines() if "Join" in line and "_salt" in line]
+    assert salted and all("SortMergeJoin" in line for line in salted)
+
+
+def test_hot_key_search_reads_the_raw_tables_only(never_broadcast, folder):
+    def scans(params):
+        plan = QUERIES["fct_order_items"](TableFeed(apply_runtime_settings(never_broadcast), folder, params))
+        return plan._jdf.queryExecution().executedPlan().toString().count("lineitem")
+
+    assert scans(LARGE) <= 2 * scans(TABLE_PARAMS)
