@@ -38,7 +38,7 @@ class PackParams:
     sequence: int = 4096
     end_id: int = 1
     group_pieces: int = 4000
-    max_nodes: int = 20_000
+    max_nodes: int = 3_000
 
 
 def tokenizer_file(name: str) -> str:
@@ -136,117 +136,116 @@ def best_fit(sizes: list[int], room: int) -> list[list[int]]:
     return bins
 
 
-def fillings(counts: dict[int, int], room: int, limit: int) -> list[tuple[int, tuple[int, ...]]]:
-    """(waste, sizes) of undominated fillings of ``room`` from sizes with counts, least waste first.
+def fillings(order: list[int], counts: dict[int, int], room: int, limit: int) -> list[tuple[int, tuple[int, ...]]]:
+    """(waste, sizes) of undominated fillings of ``room``, least waste first; ``order`` holds the sizes ascending.
 
-    Sizes are tried largest first. A filling is dominated if a size left out fits in place of a smaller one
-    together with the waste; those are dropped. At most ``limit`` partial fillings are looked at.
+    Sizes are tried largest first, most copies first. A filling is dominated if a size left out fits into its waste, or
+    in place of a smaller one together with the waste. About ``limit`` partial fillings are looked at, and four without waste
+    are enough.
     """
-    order = sorted((s for s in counts if s <= room), reverse=True)
     found: set[tuple[int, tuple[int, ...]]] = set()
-    stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
-    looked = 0
-    while stack and looked < limit:
+    stack: list[tuple[int, int, tuple[int, ...]]] = [(len(order) - 1, room, ())]
+    looked = full = 0
+    while stack and (looked < limit or not found):
         k, free, chosen = stack.pop()
         looked += 1
-        while k < len(order) and order[k] > free:
-            k += 1
-        if k == len(order):
+        k = min(k, bisect_right(order, free) - 1)
+        if k < 0:
             found.add((free, chosen))
-            if free == 0 and len(found) >= 8:
+            full += free == 0
+            if full >= 4:
                 break
             continue
         size = order[k]
-        stack.append((k + 1, free, chosen))
-        most = min(counts[size], free // size)
-        for n in range(1, most + 1):
-            stack.append((k + 1, free - n * size, chosen + (size,) * n))
+        stack.append((k - 1, free, chosen))
+        for n in range(1, min(counts[size], free // size) + 1):
+            stack.append((k - 1, free - n * size, chosen + (size,) * n))
 
     def dominated(waste: int, chosen: tuple[int, ...]) -> bool:
-        used: dict[int, int] = {}
-        for s in chosen:
-            used[s] = used.get(s, 0) + 1
-        rest = [s for s in order if counts[s] > used.get(s, 0)]
-        if any(s <= waste for s in rest):
-            return True
-        return any(any(c < s <= c + waste for s in rest) for c in used)
-
-    return sorted(f for f in found if not dominated(*f))
-
-
-def pack(sizes: list[int], room: int, max_nodes: int) -> list[list[int]]:
+        for c in {0, *chosen} if waste else ():
+            at = bisect_right(order, c)
+            while at < len(order) and order[at] <= c + waste:
+                if counts[order[at]] > chosen.count(order[at]):
+                    return True
+                at += 1
+        return False
+
+    return sorted(f for f in found if not dominated(*f)) or sorted(found)[:1]
+
+
+class _Stock:
+    """Sizes still to place, with counts and in ascending order."""
+
+    def __init__(self, sizes: list[int]):
+        self.counts: dict[int, int] = {}
+        for s in sizes:
+            self.counts[s] = self.counts.get(s, 0) + 1
+        self.order = sorted(self.counts)
+
+    def take(self, sizes: tuple[int, ...]) -> None:
+        for s in sizes:
+            self.counts[s] -= 1
+            if not self.counts[s]:
+                del self.counts[s]
+                self.order.pop(bisect_right(self.order, s) - 1)
+
+    def put_back(self, sizes: tuple[int, ...]) -> None:
+        for s in sizes:
+            if s not in self.counts:
+                self.counts[s] = 0
+                insort(self.order, s)
+            self.counts[s] += 1
+
+
+def pack(sizes: list[int], room: int, max_nodes: int, limit: int = 300) -> list[list[int]]:
     """Bins of places in ``sizes``. Sizes must be 1 .. room."""
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    ordered = [sizes[i] for i in order]
-    best = [[order[i] for i in b] for b in best_fit(ordered, room)]
+    best = [[order[i] for i in b] for b in best_fit([sizes[i] for i in order], room)]
     total = sum(sizes)
     bound = -(-total // room)
     if len(best) <= bound:
         return best
-    places: dict[int, list[int]] = {}
-    for i in reversed(order):
-        places.setdefault(sizes[i], []).append(i)
-    counts = {s: len(p) for s, p in places.items()}
-    nodes = 0
-    # Depth-first over bins: each frame holds the largest size and the fillings still to try.
-    chosen: list[tuple[int, tuple[int, ...]]] = []
-    frames: list[list[tuple[int, tuple[int, ...]]]] = []
-    waste = 0
-    left = len(sizes)
-
-    def take(large: int, some: tuple[int, ...], sign: int) -> None:
-        for s in (large, *some):
-            n = counts.get(s, 0) - sign
-            if n:
-                counts[s] = n
-            else:
-                counts.pop(s)
-
-    def open_bin() -> tuple[int, list]:
-        large = max(counts)
-        take(large, (), 1)
-        options = fillings(counts, room - large, 400)
-        take(large, (), -1)
-        return large, options[::-1]
-
-    larges: list[int] = []
-    allowed = (len(best) - 1) * room - total  # waste that a better packing can have
-    large, options = open_bin()
-    larges.append(large)
-    frames.append(options)
-    while frames and nodes < max_nodes:
-        if not frames[-1]:
-            frames.pop()
-            larges.pop()
+    stock, waste, nodes = _Stock(sizes), 0, 0
+    chosen: list[tuple[int, tuple[int, ...]]] = []  # (waste, sizes) of the bins closed so far
+    options: list[tuple[int, list[tuple[int, tuple[int, ...]]]]] = []  # per open depth: largest size, fillings to try
+
+    def open_bin() -> None:
+        large = stock.order[-1]
+        stock.take((large,))
+        found = fillings(stock.order, stock.counts, room - large, limit)
+        stock.put_back((large,))
+        options.append((large, found[::-1]))
+
+    def close_last() -> None:
+        nonlocal waste
+        free, some = chosen.pop()
+        stock.put_back(some)
+        waste -= free
+
+    open_bin()
+    while options and nodes < max_nodes:
+        large, to_try = options[-1]
+        # Bins below the incumbent's number leave this much waste; fillings come in order of theirs.
+        if not to_try or waste + to_try[-1][0] > (len(best) - 1) * room - total:
+            options.pop()
             if chosen:
-                free, some = chosen.pop()
-                take(larges[-1], some, -1)
-                waste -= free
-                left += 1 + len(some)
+                close_last()
             continue
-        free, some = frames[-1].pop()
+        free, others = to_try.pop()
         nodes += 1
-        if waste + free > allowed:
-            frames[-1].clear()  # the others waste more still
-            continue
-        take(larges[-1], some, 1)
-        chosen.append((free, some))
+        stock.take((large, *others))
+        chosen.append((free, (large, *others)))
         waste += free
-        left -= 1 + len(some)
-        if left:
-            large, options = open_bin()
-            larges.append(large)
-            frames.append(options)
+        if stock.order:
+            open_bin()
             continue
-        stock = {s: list(p) for s, p in places.items()}
-        best = [[stock[s].pop() for s in (one, *others)] for one, (_, others) in zip(larges, chosen)]
+        places: dict[int, list[int]] = {}
+        for i in reversed(order):
+            places.setdefault(sizes[i], []).append(i)
+        best = [[places[s].pop() for s in some] for _, some in chosen]
         if len(best) <= bound:
             break
-        allowed = (len(best) - 1) * room - total
-        free, some = chosen.pop()
-        take(larges[-1], some, -1)
-        waste -= free
-        left += 1 + len(some)
+        close_last()
     return best
 
 
