@@ -715,3 +715,16 @@ add("landed_files", """
     select case when is_synthetic then 'sim_order_reviews (SYNTHETIC)' else 'order_reviews' end as "table", count(*) as "rows"
     from f_reviews join f_orders using (order_id) group by all""")
 add("seed_states", "select customer_state as state_code, count(*) as customers, false as is_seeded from f_customers group by all")
+
+# ---- checks of the whole model and of landed records
+add("dq_fact_rowcount", """
+    select a as left_rows, b as right_rows
+    from (select count(*) as a from fct_orders), (select count(*) as b from f_orders) where a <> b""")
+add("missing_values", "select review_id, order_id from f_reviews where review_answered_at is null or review_sent_date is null")
+add("weather_of_states", "select state_code, count(*) as days from f_rain where state_code in ('NATION_2', 'NATION_17') group by 1")
+add("holiday_years", """
+    select year(holiday_date)::int as "year", count(*) as records from f_holidays
+    where year(holiday_date) between 1996 and 2002 group by 1""")
+add("month_keys", """
+    select strftime(purchased_at, '%Y-%m') as "month", strftime(purchased_at - interval 2 month, '%Y-%m') as two_before, count(*) as orders
+    from f_orders group by all""")

@@ -816,3 +816,43 @@ def seed_states(feed: TableFeed) -> DataFrame:
     return held.join(F.broadcast(seeds.select("state_code", F.lit(True).alias("seeded"))), "state_code", "left").select(
         "state_code", "customers", F.coalesce("seeded", F.lit(False)).alias("is_seeded")
     )
+
+
+# ---- checks of the whole model and of landed records
+
+
+@query
+def dq_fact_rowcount(feed: TableFeed) -> DataFrame:
+    """The order fact has a row for every order of both feeds; a row here means it has not."""
+    return checks.equal_rowcount(facts.order_facts(feed, feed.params, ["order_id"]), feed.orders)
+
+
+@query
+def missing_values(feed: TableFeed) -> DataFrame:
+    """Landed reviews without an answer time or a sending date."""
+    found = series.missing_values(feed.reviews, ["review_answered_at", "review_sent_date"])
+    return found.select("review_id", "order_id")
+
+
+@query
+def weather_of_states(feed: TableFeed) -> DataFrame:
+    """Weather of the states asked for only."""
+    asked = series.of_keys(feed.weather, "state_code", ["nation_2", "NATION_17", "nowhere"])
+    return asked.groupBy("state_code").agg(F.count(F.lit(1)).alias("days"))
+
+
+@query
+def holiday_years(feed: TableFeed) -> DataFrame:
+    """Records of the years a holiday list is needed for."""
+    params = feed.params
+    years = payloads.required_years(params.kpi_start.year, params.kpi_end.year, params.last_calendar_day.year)
+    year = F.year("holiday_date").alias("year")
+    return feed.holidays.groupBy(year).agg(F.count(F.lit(1)).alias("records")).where(F.col("year").isin(years))
+
+
+@query
+def month_keys(feed: TableFeed) -> DataFrame:
+    """Orders per month key, and the key two months before."""
+    day = F.col("purchased_at").cast("date")
+    keys = feed.orders.select(dates.month_key(day).alias("month"), dates.month_key(day, 2).alias("two_before"))
+    return keys.groupBy("month", "two_before").agg(F.count(F.lit(1)).alias("orders"))
