@@ -15,7 +15,9 @@ rows are pieces of their own, told apart by their place in the group; an empty t
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,7 +31,10 @@ from pyspark.sql import functions as F
 
 from promiselens.session import materialise
 
-CACHE_WORDS = 150_000  # encoded words a Python worker remembers, twice over
+# Letters whose lower case is one letter, then ASCII signs without the apostrophe, which may begin a contraction.
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xDF)]))
+PLAIN_WORD = re.compile(f"([{LETTERS}{LETTERS.lower()}]+)([!-&(-/:-@\\[-`{{-~]*)")
+CACHE_WORDS = 400_000  # encoded words a Python worker remembers, twice over: about 150 MB
 
 
 @dataclass(frozen=True)
@@ -53,38 +58,48 @@ class WordEncoder:
     """Ids of whole texts as bytes, for tokenizers that drop white space: one encoding per different word.
 
     White space is never inside a token of such a tokenizer, so the ids of a text are those of its parts between blanks and line ends,
-    one after another. Two generations of a dictionary bound the memory.
+    one after another. A part of letters and signs is parted once more, and its lower-case letters go to the model alone, which
+    is the costly step; all other parts go through the whole tokenizer. Two generations of a dictionary bound the memory.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch
-        self.young: dict[str, bytes] = {}
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.merge = tokenizer.encode, tokenizer.model.tokenize
+        # What the tokenizer makes of each letter before the model sees it.
+        before = tokenizer.pre_tokenizer.pre_tokenize_str
+        self.spelled = {ord(c): "".join(part for part, _ in before(c)) for c in LETTERS.lower()}
+        self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*parts) if parts else set()
-        self.learn(words)
+        self.learn(set().union(*parts))
         young = self.young
         return [b"".join([young[w] for w in p]) for p in parts]
 
     def learn(self, words: set[str]) -> None:
         if len(self.young) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        missing = []
+            self.old, self.young = self.young, {"": b""}
         for w in words:
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    missing.append(w)
-        for at in range(0, len(missing), 4096):
-            some = missing[at : at + 4096]
-            for w, e in zip(some, self.encode(some, add_special_tokens=False)):
-                young[w] = np.array(e.ids, dtype="<u4").tobytes()
+            if w not in self.young:
+                m = PLAIN_WORD.fullmatch(w)
+                # Letters and the signs after them are tokenized apart, and case makes no difference.
+                self.young[w] = self.known(m[1].lower(), True) + self.known(m[2], False) if m else self.known(w, False)
+
+    def known(self, part: str, letters: bool) -> bytes:
+        ids = self.young.get(part)
+        if ids is None:
+            ids = self.old.get(part)
+            if ids is None:
+                found = [t.id for t in self.merge(part.translate(self.spelled))] if letters else self.encode(part, add_special_tokens=False).ids
+                ids = array("I", found).tobytes()
+            self.young[part] = ids
+        return ids
+
+
+_encoders: dict[str, WordEncoder] = {}  # a worker keeps what it has learnt for its next tasks
 
 
 def _pieces(params: PackParams, path: str):
@@ -95,7 +110,7 @@ def _pieces(params: PackParams, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordEncoder(path)
+        encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 some = batch.slice(at, 128)

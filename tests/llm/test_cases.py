@@ -305,7 +305,7 @@ def test_packing(spark, docs, empty):
 
 def test_word_encoder_equals_whole_texts():
     encode = packing.WordEncoder(packing.tokenizer_file("word_bpe_49k.json"))
-    texts = ["It's  a\ttest\x1c of\u00a0DON'T\n\n<|endoftext|>x e\u0301 \u0301e ' s ÀÉ 中文!?", "", " ", "a\r\nb", LONG[:5000]]
+    texts = ["It's  a\ttest\x1c of\u00a0DON'T\n\n<|endoftext|>x e\u0301 \u0301e ' s ÀÉ 中文!?", "", " ", "a\r\nb", LONG[:5000], "\x01 a\x01b \x01\x01 \x02"]
     whole = packed_ids(dict(enumerate(texts)))
     assert [list(np.frombuffer(b, "<u4")) for b in encode(texts)] == [whole[i][:-1] for i in range(len(texts))]
 
