@@ -85,7 +85,29 @@ def anchors(data: np.ndarray, offsets: np.ndarray, p: RepeatParams) -> tuple[np.
     return text, at - offsets[text], grams[at].view(np.int64), context.view(np.int64)
 
 
+def _again(gram: np.ndarray, context: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Anchors of one chunk whose context is that of an earlier anchor of the chunk."""
+    order = np.lexsort((at, doc, context, gram))
+    out = np.zeros(len(gram), dtype=bool)
+    out[order[1:]] = (gram[order][1:] == gram[order][:-1]) & (context[order][1:] == context[order][:-1])
+    return out
+
+
+def _joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of touching spans that come in order within each document: (start, end, row of the first)."""
+    if not len(doc):
+        return start, end, np.zeros(0, np.int64)
+    fresh = np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])))
+    row = np.flatnonzero(fresh)
+    return start[row], end[np.concatenate((row[1:], [len(doc)])) - 1], row
+
+
 def _anchor_rows(p: RepeatParams):
+    """Anchors to compare with the whole collection (end -1), and spans that are settled within a chunk.
+
+    A text that repeats itself, or a very common passage, has many anchors of the same context: only the first of
+    a chunk goes on, so such a gram is no hot key. Settled spans take a gram of their own and spread evenly.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = bw.column_bytes(batch.column("text"))
@@ -93,9 +115,20 @@ def _anchor_rows(p: RepeatParams):
             for first, last in bw.chunks(offsets):
                 own = offsets[first : last + 1]
                 text, at, gram, context = anchors(data[own[0] : own[-1]], own - own[0], p)
+                doc = ids[first:last][text]
+                again = _again(gram, context, doc, at)
+                begin, end, row = _joined(doc[again], at[again] - p.reach, at[again] + p.length)
+                once = ~again
+                spread = bw.mix((begin + 1).astype(np.uint64) * np.uint64(bw.BASE) + doc[again][row].astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram), pa.array(context), pa.array(ids[first:last][text], pa.int64()), pa.array(at)],
-                    ["gram", "context", "doc", "at"],
+                    [
+                        pa.array(np.concatenate((gram[once], spread.view(np.int64)))),
+                        pa.array(np.concatenate((context[once], np.zeros(len(row), np.int64)))),
+                        pa.array(np.concatenate((doc[once], doc[again][row]))),
+                        pa.array(np.concatenate((at[once], begin))),
+                        pa.array(np.concatenate((np.full(once.sum(), -1), end))),
+                    ],
+                    ["gram", "context", "doc", "at", "end"],
                 )
 
     return run
@@ -237,16 +270,22 @@ def _strings(p: RepeatParams):
 
 def repeated_spans(docs: DataFrame, p: RepeatParams) -> DataFrame:
     """(doc, spans) with all spans to remove, unmerged; ``docs``: doc, text, one row per document and per text."""
-    found = docs.mapInArrow(_anchor_rows(p), "gram long, context long, doc long, at long")
-    # One exchange by gram serves both windows. Exact copies are gone, so a gram has few of a document's many anchors.
+    found = docs.mapInArrow(_anchor_rows(p), "gram long, context long, doc long, at long, end long")
+    # One exchange by gram serves both windows. Exact copies are gone, and so are repeats within a chunk.
     dealt = found.repartition("gram")
     same_context = W.partitionBy("gram", "context").orderBy("doc", "at")
     same_gram = W.partitionBy("gram")
     ranked = dealt.withColumn("place", F.row_number().over(same_context)).withColumn(
         "contested", F.min("context").over(same_gram) != F.max("context").over(same_gram)
     )
-    settled = materialise(ranked.filter("place > 1 or contested").select("gram", "doc", "at", (F.col("place") > 1).alias("repeat")))
-    whole = settled.filter("repeat").select("doc", (F.col("at") - p.reach).alias("start"), (F.col("at") + p.length).alias("end"))
+    repeat = ((F.col("place") > 1) | (F.col("end") >= 0)).alias("repeat")
+    settled = materialise(ranked.filter("place > 1 or contested or end >= 0").select("gram", "doc", "at", "end", repeat))
+    known = F.col("end") >= 0
+    whole = settled.filter("repeat").select(
+        "doc",
+        F.when(known, F.col("at")).otherwise(F.col("at") - p.reach).alias("start"),
+        F.when(known, F.col("end")).otherwise(F.col("at") + p.length).alias("end"),
+    )
     contested = settled.filter("not repeat")
     places = contested.groupBy("doc").agg(F.collect_list(F.struct("gram", "at")).alias("places"))
     schema = "gram long, doc long, at long, low int, high int, bytes binary"
