@@ -216,11 +216,15 @@ def _fit_task(params: FmParams):
     return run
 
 
-def train(labelled: DataFrame, params: FmParams = FmParams()) -> Model:
-    """``labelled``: doc_id, text, label (0 or 1). The sample is the ``max_rows`` ids of the smallest hash."""
-    usable = labelled.filter("label is not null and doc_id is not null")
-    sample = materialise(usable.select("doc_id", F.xxhash64("doc_id", F.lit(5)).alias("h")).distinct().orderBy("h", "doc_id").limit(params.max_rows))
-    chosen = usable.join(F.broadcast(sample.select("doc_id")), "doc_id").select("doc_id", "text", F.col("label").cast("int").alias("label"))
+def train(docs: DataFrame, labels: DataFrame, params: FmParams = FmParams()) -> Model:
+    """``docs``: doc_id, text; ``labels``: doc_id, label (0 or 1). The sample is the ``max_rows`` labelled ids of the smallest hash.
+
+    It is drawn from the labels alone and broadcast, so the texts are read where they lie and never shuffled.
+    """
+    known = labels.filter("label is not null and doc_id is not null").select("doc_id", F.col("label").cast("int").alias("label"))
+    ordered = known.distinct().withColumn("h", F.xxhash64("doc_id", F.lit(5))).orderBy("h", "doc_id", "label")
+    sample = materialise(ordered.limit(params.max_rows).select("doc_id", "label"))
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     rows = materialise(
         chosen.select("text", "label").mapInArrow(_vector_rows(params.word_bits), "label int, feature binary, value binary, stats binary")
     )

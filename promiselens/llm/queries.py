@@ -44,8 +44,7 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    learn = docs.join(labels.filter(~quality_model.held_out()), "doc_id")
-    scored = quality_model.score(docs, quality_model.train(learn))
+    scored = quality_model.score(docs, quality_model.train(docs, labels.filter(~quality_model.held_out())))
     predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
     return scored.select("doc_id", quality_model.held_out().alias("held_out"), "score", predicted)
 

@@ -229,13 +229,13 @@ def test_components_of_a_long_chain_and_a_star(spark):
 def test_quality_model(spark, docs, empty):
     junk = [(i, "### $$$ " * 30 if i % 2 else " ".join(RANDOM.choices(WORDS, k=50)), 1 - i % 2) for i in range(60)]
     learn = spark.createDataFrame([*junk, (None, "x", 1), (61, "x", None)], "doc_id long, text string, label int")
-    model = quality_model.train(learn)
+    model = quality_model.train(learn, learn)
     rows = quality_model.score(docs, model).collect()
     assert len(rows) == len(ROWS) and all(0 <= r["score"] <= 1 for r in rows)
     found = {r["doc_id"]: r["score"] for r in quality_model.score(learn, model).collect()}
     assert min(found[i] for i in range(0, 60, 2)) > 0.5 > max(found[i] for i in range(1, 60, 2))
     assert quality_model.score(empty, model).collect() == []
-    blank = quality_model.train(learn.limit(0))
+    blank = quality_model.train(learn, learn.limit(0))
     assert {round(r["score"], 6) for r in quality_model.score(docs, blank).collect()} == {0.5}
 
 
