@@ -5,8 +5,11 @@ groups of about ``group_pieces`` at random by their id, so a group's fill is tha
 packed in one task: sequences are opened with the largest piece left, and the undominated fillings of the rest of the
 sequence (no piece in it can be swapped for a larger one that still fits) are tried in order of waste. Best-fit
 decreasing gives the first incumbent; a branch is cut when its waste so far already forces as many sequences as
-the incumbent has, and the search ends when the incumbent meets the volume bound. ``max_nodes`` bounds the search of
-a group, after which its incumbent stands; every piece is placed in any case.
+the incumbent has, and the search ends when the incumbent meets the volume bound. Pieces of a whole sequence are set aside first.
+The search goes by bounded discrepancies: first the best filling of every sequence, then paths that leave the best fillings
+by one place in all, then by two, four and so on, until nothing was left out. ``max_nodes`` (or five nodes a sequence, if that is
+more) bounds the search of a group, and ``max_fillings`` that of a sequence, after which the incumbent stands; every piece is
+placed in any case.
 
 Defined cases: a null or empty text is the end token alone; equal pieces are interchangeable and ties go by id; repeated
 rows are pieces of their own, told apart by their place in the group; an empty table gives an empty result. Only
@@ -43,7 +46,8 @@ class PackParams:
     sequence: int = 4096
     end_id: int = 1
     group_pieces: int = 4000
-    max_nodes: int = 3_000
+    max_nodes: int = 20_000
+    max_fillings: int = 400  # partial fillings looked at for one sequence
 
 
 def tokenizer_file(name: str) -> str:
@@ -155,20 +159,20 @@ def fillings(order: list[int], counts: dict[int, int], room: int, limit: int) ->
     """(waste, sizes) of undominated fillings of ``room``, least waste first; ``order`` holds the sizes ascending.
 
     Sizes are tried largest first, most copies first. A filling is dominated if a size left out fits into its waste, or
-    in place of a smaller one together with the waste. About ``limit`` partial fillings are looked at, and four without waste
-    are enough.
+    in place of a smaller one together with the waste. About ``limit`` partial fillings are looked at; one without waste is
+    enough once eight were found. Of equal waste the filling with fewer, larger pieces comes first: small pieces fit anywhere,
+    so the last sequences need them.
     """
     found: set[tuple[int, tuple[int, ...]]] = set()
     stack: list[tuple[int, int, tuple[int, ...]]] = [(len(order) - 1, room, ())]
-    looked = full = 0
+    looked = 0
     while stack and (looked < limit or not found):
         k, free, chosen = stack.pop()
         looked += 1
         k = min(k, bisect_right(order, free) - 1)
         if k < 0:
             found.add((free, chosen))
-            full += free == 0
-            if full >= 4:
+            if free == 0 and len(found) >= 8:
                 break
             continue
         size = order[k]
@@ -185,7 +189,10 @@ def fillings(order: list[int], counts: dict[int, int], room: int, limit: int) ->
                 at += 1
         return False
 
-    return sorted(f for f in found if not dominated(*f)) or sorted(found)[:1]
+    def rank(filling: tuple[int, tuple[int, ...]]) -> tuple:
+        return filling[0], len(filling[1]), [-s for s in filling[1]]
+
+    return sorted((f for f in found if not dominated(*f)), key=rank) or sorted(found, key=rank)[:1]
 
 
 class _Stock:
@@ -212,24 +219,29 @@ class _Stock:
             self.counts[s] += 1
 
 
-def pack(sizes: list[int], room: int, max_nodes: int, limit: int = 300) -> list[list[int]]:
-    """Bins of places in ``sizes``. Sizes must be 1 .. room."""
+def pack(sizes: list[int], room: int, max_nodes: int, limit: int = 400) -> list[list[int]]:
+    """Bins of places in ``sizes``. Sizes must be 1 .. room.
+
+    At least ``max_nodes`` sequences are closed in the search, and at least five for each sequence of the group.
+    """
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    full = [[i] for i in order if sizes[i] == room]
+    order = order[len(full) :]
     best = [[order[i] for i in b] for b in best_fit([sizes[i] for i in order], room)]
-    total = sum(sizes)
+    total = sum(sizes[i] for i in order)
     bound = -(-total // room)
-    if len(best) <= bound:
-        return best
-    stock, waste, nodes = _Stock(sizes), 0, 0
+    stock, waste, nodes = _Stock([sizes[i] for i in order]), 0, 0
+    max_nodes = max(max_nodes, 5 * len(best))
     chosen: list[tuple[int, tuple[int, ...]]] = []  # (waste, sizes) of the bins closed so far
-    options: list[tuple[int, list[tuple[int, tuple[int, ...]]]]] = []  # per open depth: largest size, fillings to try
+    # Per open depth: largest size, fillings, the next to try, and how far from the first ones the bins below may go together.
+    options: list[list] = []
 
-    def open_bin() -> None:
+    def open_bin(away: int) -> None:
         large = stock.order[-1]
         stock.take((large,))
         found = fillings(stock.order, stock.counts, room - large, limit)
         stock.put_back((large,))
-        options.append((large, found[::-1]))
+        options.append([large, found, 0, away])
 
     def close_last() -> None:
         nonlocal waste
@@ -237,31 +249,36 @@ def pack(sizes: list[int], room: int, max_nodes: int, limit: int = 300) -> list[
         stock.put_back(some)
         waste -= free
 
-    open_bin()
-    while options and nodes < max_nodes:
-        large, to_try = options[-1]
-        # Bins below the incumbent's number leave this much waste; fillings come in order of theirs.
-        if not to_try or waste + to_try[-1][0] > (len(best) - 1) * room - total:
-            options.pop()
-            if chosen:
-                close_last()
-            continue
-        free, others = to_try.pop()
-        nodes += 1
-        stock.take((large, *others))
-        chosen.append((free, (large, *others)))
-        waste += free
-        if stock.order:
-            open_bin()
-            continue
-        places: dict[int, list[int]] = {}
-        for i in reversed(order):
-            places.setdefault(sizes[i], []).append(i)
-        best = [[places[s].pop() for s in some] for _, some in chosen]
-        if len(best) <= bound:
-            break
-        close_last()
-    return best
+    reach, cut = 0, True
+    while cut and len(best) > bound and nodes < max_nodes:
+        cut = False
+        open_bin(reach)
+        while options:
+            large, found, at, away = options[-1]
+            done = len(best) <= bound or nodes >= max_nodes
+            cut |= away < at < len(found)
+            # Bins below the incumbent's number leave this much waste; fillings come in order of theirs.
+            if done or at > away or at == len(found) or waste + found[at][0] > (len(best) - 1) * room - total:
+                options.pop()
+                if chosen:
+                    close_last()
+                continue
+            options[-1][2] += 1
+            free, others = found[at]
+            nodes += 1
+            stock.take((large, *others))
+            chosen.append((free, (large, *others)))
+            waste += free
+            if stock.order:
+                open_bin(away - at)
+                continue
+            places: dict[int, list[int]] = {}
+            for i in reversed(order):
+                places.setdefault(sizes[i], []).append(i)
+            best = [[places[s].pop() for s in some] for _, some in chosen]
+            close_last()
+        reach = 2 * reach or 1
+    return full + best
 
 
 def _pack_group(params: PackParams):
@@ -270,7 +287,7 @@ def _pack_group(params: PackParams):
         sizes = rows["length"].tolist()
         sequence = np.zeros(len(sizes), dtype=np.int64)
         offset = np.zeros(len(sizes), dtype=np.int64)
-        for number, places in enumerate(pack(sizes, params.sequence, params.max_nodes)):
+        for number, places in enumerate(pack(sizes, params.sequence, params.max_nodes, params.max_fillings)):
             at = 0
             for i in places:
                 sequence[i], offset[i] = (key[0] << 32) + number, at

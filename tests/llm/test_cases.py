@@ -322,3 +322,14 @@ def test_bin_completion_beats_best_fit():
         assert -(-sum(sizes) // 100) <= len(bins) <= simple
         better += len(bins) < simple
     assert better > 0
+
+
+@pytest.mark.parametrize("full", [0, 3100])
+def test_search_of_a_group_with_production_parameters(full):
+    params = packing.PackParams()
+    sizes = np.clip(np.random.default_rng(2).lognormal(6.2, 1.1, 4000), 1, params.sequence).astype(int).tolist() + [params.sequence] * full
+    bins = packing.pack(sizes, params.sequence, params.max_nodes, params.max_fillings)
+    assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
+    assert all(sum(sizes[i] for i in b) <= params.sequence for b in bins)
+    bound = -(-sum(sizes) // params.sequence)
+    assert len(packing.best_fit(sorted(sizes, reverse=True), params.sequence)) > bound == len(bins)
