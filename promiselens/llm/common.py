@@ -48,6 +48,19 @@ def as_row(docs: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
 
 
+def content_of(text: Column) -> Column:
+    """Hash that tells the texts under one id apart, as rows without an id are all under one; null and empty texts are alike."""
+    text = F.coalesce(text, F.lit(""))
+    return F.xxhash64(text, F.length(text)).alias("content")
+
+
+def by_content(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined on (doc_id, content) with ``found``, a null id equal to a null id; only columns of ``docs`` stay."""
+    keyed = docs.select(as_row(docs), "doc_id", content_of(F.col("text")))
+    joined = null_safe(keyed, found, ["doc_id", "content"], how)
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def with_text(rows: DataFrame, docs: DataFrame, text: Column, changed: Column) -> DataFrame:
     """The columns of ``docs`` back from ``row``; where ``changed``, with the new text and its length as n_chars."""
     new = rows.withColumn("new_text", F.when(changed, text))

@@ -7,7 +7,7 @@ compared with the items' windows word by word, and the words under the matches a
 is one window of all its words; its hash is looked up among all runs of that length.
 
 Defined cases: null and empty texts have no words, no hits and are clean; items without words have no window; items
-with equal windows are all reported; repeated rows are judged alike; with an empty benchmark every document is
+with equal windows are all reported; repeated rows are judged alike, and rows with one id or none but unlike texts by their own texts; with an empty benchmark every document is
 clean, and an empty table gives an empty result. Only the named columns are read.
 """
 
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promiselens.llm.common import ascii_lower, counted, null_safe
+from promiselens.llm.common import ascii_lower, by_content, content_of, counted, null_safe
 from promiselens.session import materialise
 
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -95,7 +95,7 @@ def _windows(words: Column, lengths: Column) -> Column:
 
 
 def find_hits(docs: DataFrame, items: DataFrame, rule: SpanRule = SpanRule()) -> DataFrame:
-    """(doc_id, n_hit, n_items, item_ids) of the documents that hold a window of an item."""
+    """(doc_id, content, n_hit, n_items, item_ids) of the documents that hold a window of an item."""
     worded = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words"))
     worded = materialise(worded.filter(F.size("words") > 0))
     in_items = worded.select(
@@ -109,21 +109,22 @@ def find_hits(docs: DataFrame, items: DataFrame, rule: SpanRule = SpanRule()) ->
     short = worded.filter(F.size("words") < rule.span).select(F.size("words").alias("n"), "words")
     lengths = sorted(r["n"] for r in short.select("n").distinct().collect())  # below ``span`` values at most
 
-    split = docs.select("doc_id", words_of(F.col("text")).alias("words"))
+    split = docs.select("doc_id", content_of(F.col("text")), words_of(F.col("text")).alias("words"))
     # Outer, as the filter that a plain explode adds would compute the fingerprints a second time below every step.
-    found = with_fingerprints(split, rule, "doc_id").select("doc_id", F.explode_outer("prints").alias("print"))
-    candidates = found.join(prints, "print", "left_semi").select("doc_id")
+    found = with_fingerprints(split, rule, "doc_id", "content").select("doc_id", "content", F.explode_outer("prints").alias("print"))
+    candidates = found.join(prints, "print", "left_semi").select("doc_id", "content")
     for n in lengths:
         wanted = counted(short.filter(F.col("n") == n).select(F.xxhash64(F.col("words")).alias("print")).distinct())
-        runs = split.select("doc_id", F.explode_outer(_hashes(F.col("words"), n)).alias("print"))
-        candidates = candidates.union(runs.join(wanted, "print", "left_semi").select("doc_id"))
-    suspects = null_safe(docs.select("doc_id", "text"), counted(candidates.distinct()), ["doc_id"], "left_semi")
+        runs = split.select("doc_id", "content", F.explode_outer(_hashes(F.col("words"), n)).alias("print"))
+        candidates = candidates.union(runs.join(wanted, "print", "left_semi").select("doc_id", "content"))
+    suspects = by_content(docs.select("doc_id", "text"), counted(candidates.distinct()), "left_semi")
 
     sizes = F.array(*[F.lit(n) for n in [*lengths, rule.span]])
-    suspects = suspects.select("doc_id", words_of(F.col("text")).alias("words"))
+    suspects = suspects.select("doc_id", content_of(F.col("text")), words_of(F.col("text")).alias("words"))
     fitting = F.filter(sizes, lambda n: n <= F.size("words"))
-    in_docs = suspects.select("doc_id", F.explode_outer(_windows(F.col("words"), fitting)).alias("w")).select("doc_id", "w.*")
-    matched = materialise(in_docs.join(windows, ["len", "window"]).select("doc_id", "pos", "len", "item_id"))
+    in_docs = suspects.select("doc_id", "content", F.explode_outer(_windows(F.col("words"), fitting)).alias("w"))
+    in_docs = in_docs.select("doc_id", "content", "w.*")
+    matched = materialise(in_docs.join(windows, ["len", "window"]).select("doc_id", "content", "pos", "len", "item_id"))
     start = F.struct(F.lit(1).alias("upto"), F.lit(0).alias("n"))
     covered = F.aggregate(
         F.sort_array("spans"),
@@ -134,19 +135,19 @@ def find_hits(docs: DataFrame, items: DataFrame, rule: SpanRule = SpanRule()) ->
         ),
         lambda a: a["n"],
     )
-    spans = matched.groupBy("doc_id").agg(
+    spans = matched.groupBy("doc_id", "content").agg(
         F.collect_set(F.struct("pos", "len")).alias("spans"), F.sort_array(F.collect_set("item_id")).alias("item_ids")
     )
-    return spans.select(
-        "doc_id", covered.cast("long").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids"
-    )
+    n_items = F.size("item_ids").cast("long").alias("n_items")
+    return spans.select("doc_id", "content", covered.cast("long").alias("n_hit"), n_items, "item_ids")
 
 
 def contamination(docs: DataFrame, items: DataFrame, rule: SpanRule = SpanRule()) -> DataFrame:
     """Per document: its words, hit words, items found and whether it is contaminated."""
     hits = materialise(find_hits(docs, items, rule))
     n_words = F.size(words_of(F.col("text"))).cast("long")
-    judged = null_safe(docs.select("doc_id", n_words.alias("n_words")), counted(hits), ["doc_id"], "left")
+    sized = docs.select("doc_id", content_of(F.col("text")), n_words.alias("n_words"))
+    judged = null_safe(sized, counted(hits), ["doc_id", "content"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     return judged.select(
         "doc_id",
@@ -161,12 +162,13 @@ def contamination(docs: DataFrame, items: DataFrame, rule: SpanRule = SpanRule()
 def clean(docs: DataFrame, items: DataFrame, rule: SpanRule = SpanRule()) -> DataFrame:
     """``docs`` without the contaminated documents."""
     hits = contamination_of_hits(docs, items, rule)
-    return null_safe(docs, counted(hits), ["doc_id"], "left_anti")
+    return by_content(docs, counted(hits), "left_anti")
 
 
 def contamination_of_hits(docs: DataFrame, items: DataFrame, rule: SpanRule) -> DataFrame:
-    """Ids of the contaminated documents; the others are never counted."""
+    """(doc_id, content) of the contaminated documents; the others are never counted."""
     hits = counted(find_hits(docs, items, rule))
     n_words = F.size(words_of(F.col("text")))
-    judged = null_safe(docs.select("doc_id", "text"), hits, ["doc_id"], "inner").select("doc_id", "n_hit", n_words.alias("n"))
-    return judged.filter(F.col("n_hit") * 100 >= F.col("n") * rule.min_hit_percent).select("doc_id").distinct()
+    keyed = docs.select("doc_id", content_of(F.col("text")), "text")
+    judged = null_safe(keyed, hits, ["doc_id", "content"], "inner").select("doc_id", "content", "n_hit", n_words.alias("n"))
+    return judged.filter(F.col("n_hit") * 100 >= F.col("n") * rule.min_hit_percent).select("doc_id", "content").distinct()

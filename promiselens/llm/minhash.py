@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promiselens.llm import bytewords as bw
-from promiselens.llm.common import counted, null_safe
+from promiselens.llm.common import as_row, by_content, content_of, counted, null_safe
 from promiselens.session import materialise
 
 
@@ -69,7 +69,7 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterato
             yield np.zeros(0, dtype=np.uint64)
 
 
-def _signatures(params: NearParams):
+def _signatures(params: NearParams, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         random = np.random.default_rng(97)
         size = params.bands * params.rows
@@ -106,13 +106,13 @@ def _signatures(params: NearParams):
                     keys[i] = np.array([s.sum(dtype=np.uint64), bw.mix(s).sum(dtype=np.uint64)]).tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(first, last - first),
+                        *[batch.column(c).slice(first, last - first) for c in keep],
                         pa.array(lengths, pa.int64()),
                         pa.array(keys, pa.binary()),
                         pa.array(bands, pa.list_(pa.int64())),
                         pa.array(signs, pa.binary()),
                     ],
-                    ["doc_id", "n", "key", "bands", "sign"],
+                    [*keep, "n", "key", "bands", "sign"],
                 )
 
     return run
@@ -295,8 +295,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, key binary, bands array<long>, sign binary"
-    signed = materialise(docs.select("doc_id", "text").mapInArrow(_signatures(params), schema))
+    return _judged(docs.select("doc_id", "text"), params).drop("key")
+
+
+def _judged(docs: DataFrame, params: NearParams) -> DataFrame:
+    """All columns of ``docs`` but its text, n_shingles, the key of its class, component_id, kept."""
+    keep = [c for c in docs.columns if c != "text"]
+    types = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    schema = f"{types}, n long, key binary, bands array<long>, sign binary"
+    signed = materialise(docs.mapInArrow(_signatures(params, keep), schema))
     classes = materialise(signed.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep")))
     reps = materialise(
         signed.select(F.col("doc_id").alias("rep"), "n", "key", "bands", "sign")
@@ -307,9 +314,9 @@ def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataF
     of_class = null_safe(
         classes, found.withColumnRenamed("node", "rep"), ["rep"], "left"
     ).select("key", F.coalesce("component", "rep").alias("component"))
-    joined = signed.select("doc_id", "n", "key").join(of_class, "key", "left")
+    joined = signed.select(*keep, "n", "key").join(of_class, "key", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
+    return joined.select(*keep, F.col("n").alias("n_shingles"), "key", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
 
@@ -317,13 +324,17 @@ def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataF
 def deduplicate(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
     """``docs`` with one row of each group: that of the smallest id. Rows that link with nothing all stay.
 
-    Of repeated rows of a kept id any one stays; a row with a null id stays only if its class has no other id.
+    Of repeated rows of a kept id any one stays. Rows with a null id are told apart by their texts: of a class that has no other
+    id one such row stays, of a class that has one none.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), params)
-    # Groups of one are most of the table: only the ids that go are collected, and what they leave is deduplicated by id.
-    gone = found.filter("not kept").select("doc_id").distinct()
-    left = null_safe(docs, counted(gone), ["doc_id"], "left_anti")
-    again = found.filter("kept and n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    repeated = counted(again)
-    once = null_safe(left, repeated, ["doc_id"], "left_anti")
-    return once.unionByName(null_safe(left, repeated, ["doc_id"], "left_semi").dropDuplicates(["doc_id"]))
+    found = _judged(docs.select("doc_id", "text", content_of(F.col("text"))), params)
+    # Groups of one are most of the table: only the rows that go are collected, and what they leave is deduplicated by class.
+    gone = found.filter("not kept").select("doc_id", "content").distinct()
+    left = by_content(docs, counted(gone), "left_anti")
+    kept = found.filter("kept and n_shingles > 0").select("doc_id", "content", "key")
+    again = kept.groupBy("doc_id", "key").count().filter("count > 1").select("doc_id", "key")
+    repeated = counted(null_safe(kept, counted(again), ["doc_id", "key"], "left_semi").distinct())
+    once = by_content(left, repeated, "left_anti")
+    keyed = left.select(as_row(left), "doc_id", content_of(F.col("text")))
+    one = null_safe(keyed, repeated, ["doc_id", "content"], "inner").dropDuplicates(["doc_id", "key"])
+    return once.unionByName(one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))

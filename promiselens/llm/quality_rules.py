@@ -123,7 +123,13 @@ def _lines(found: DataFrame, limits: LineLimits) -> DataFrame:
 
 
 def judge(docs: DataFrame, limits: LineLimits = LineLimits(), host: str = "source") -> tuple[DataFrame, DataFrame]:
-    """(verdict per document, (doc_id, host, drop) with the hashes of the lines to remove)."""
+    """(verdict per document, (doc_id, host, content, drop) with the hashes of the lines to remove)."""
+    verdict, drop = _judged(docs, limits, host)
+    return verdict.drop("host", "content"), drop
+
+
+def _judged(docs: DataFrame, limits: LineLimits, host: str) -> tuple[DataFrame, DataFrame]:
+    """As ``judge``, with host and content beside the id: rows with one id, or none, may hold unlike texts."""
     found = materialise(features(docs, host))
     frequent = materialise(frequent_lines(found, limits))
     hits = null_safe(_lines(found, limits), frequent, ["host", "h"], "inner")
@@ -145,7 +151,7 @@ def judge(docs: DataFrame, limits: LineLimits = LineLimits(), host: str = "sourc
     )
     joined = null_safe(found.drop("lines"), sums, ["doc_id", "host", "content"], "left")
     verdict = joined.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "host", "content", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base.alias("base_failed"),
         F.coalesce("n_lines_removed", F.lit(0)).alias("n_lines_removed"),
         F.coalesce("n_words_removed", F.lit(0)).alias("n_words_removed"),
@@ -156,12 +162,12 @@ def judge(docs: DataFrame, limits: LineLimits = LineLimits(), host: str = "sourc
 
 def apply(docs: DataFrame, limits: LineLimits = LineLimits(), host: str = "source") -> DataFrame:
     """The documents that pass, with the lines above the limits taken out of their texts; columns as in ``docs``."""
-    verdict, drop = judge(docs, limits, host)
-    kept = verdict.filter("kept").select("doc_id").distinct()
+    verdict, drop = _judged(docs, limits, host)
+    kept = verdict.filter("kept").select("doc_id", "host", "content").distinct()
     text = F.coalesce(F.col("text"), F.lit(""))
     content = F.xxhash64(text, F.length(text)).alias("content")
     keyed = docs.select(as_row(docs), "doc_id", F.col(host).alias("host"), content, text.alias("text"))
-    passed = null_safe(keyed, kept, ["doc_id"], "left_semi")
+    passed = null_safe(keyed, kept, ["doc_id", "host", "content"], "left_semi")
     with_drop = null_safe(passed, drop, ["doc_id", "host", "content"], "left")
     lines = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("drop"), line_hash(x)))
     return with_text(with_drop, docs, F.array_join(lines, "\n"), F.col("drop").isNotNull())

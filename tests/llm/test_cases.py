@@ -333,3 +333,40 @@ def test_search_of_a_group_with_production_parameters(full):
     assert all(sum(sizes[i] for i in b) <= params.sequence for b in bins)
     bound = -(-sum(sizes) // params.sequence)
     assert len(packing.best_fit(sorted(sizes, reverse=True), params.sequence)) > bound == len(bins)
+
+
+def null_ids(spark, texts):
+    return clashing(spark.createDataFrame([(None, t, "en", "a", 1) for t in texts], SCHEMA))
+
+
+def some_words(n):
+    return " ".join(RANDOM.choices(WORDS, k=n))
+
+
+def test_quality_rules_judge_rows_without_an_id_by_their_texts(spark):
+    good, other = some_words(60), some_words(60)
+    left = quality_rules.apply(null_ids(spark, [good, other, other, "too short", "aa bb " * 60, None]))
+    assert sorted(r["text"] for r in left.collect()) == sorted([good, other, other])
+
+
+def test_deduplication_judges_rows_without_an_id_by_their_texts(spark):
+    a, b, c, d = (some_words(60) for _ in range(4))
+    with_id = clashing(spark.createDataFrame([(1, a, "en", "a", 1), (2, d, "en", "a", 1), (2, d, "en", "b", 1)], SCHEMA))
+    rows = null_ids(spark, [a, b, c, c, f" {c}", None, "", ""])
+    left = [(r["doc_id"], r["text"]) for r in minhash.deduplicate(with_id.unionByName(rows)).collect()]
+    found = sorted((i or 0, (t or "").strip()) for i, t in left)
+    assert found == sorted([(1, a), (2, d), (0, b), (0, c), (0, ""), (0, ""), (0, "")])
+    # All rows without an id are kept ones here; unlike texts stay.
+    assert sorted(r["text"] for r in minhash.deduplicate(null_ids(spark, [a, b, b])).collect()) == sorted([a, b])
+
+
+def test_decontamination_judges_rows_without_an_id_by_their_texts(spark):
+    passage, other, clean = some_words(20), some_words(20), [some_words(60), some_words(60)]
+    items = spark.createDataFrame([("i", passage), ("j", other)], "item_id string, text string")
+    docs = null_ids(spark, [*clean, f"{passage} {clean[0]}", f"{other} {clean[1]}", None])
+    judged = {r["n_words"]: 0 for r in decontaminate.contamination(docs, items).collect()}
+    for r in decontaminate.contamination(docs, items).collect():
+        judged[r["n_words"]] += r["contaminated"]
+        assert r["n_hit"] in (0, 20) and (r["n_hit"] == 20) == r["contaminated"] and r["n_items"] == r["contaminated"]
+    assert judged == {60: 0, 80: 2, 0: 0}
+    assert {r["text"] for r in decontaminate.clean(docs, items).collect()} == {*clean, None}
