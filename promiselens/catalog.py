@@ -800,7 +800,7 @@ def staged_labels(feed: TableFeed) -> DataFrame:
 
 @query
 def landed_files(feed: TableFeed) -> DataFrame:
-    """Expected files that are not there, and rows in files against rows in the typed table."""
+    """Rows in the landed files of the two review feeds; no other table is landed here, and no missing file is looked for."""
     root = _folder(feed)
     landing.land_reviews(feed, root)
     feeds = ["order_reviews", "sim_order_reviews"]
