@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promiselens.llm import chat, decontaminate, language, minhash, packing, quality_model, quality_rules, repeats, secrets, warc
+from promiselens.llm import (
+    alignment,
+    chat,
+    decontaminate,
+    divergence,
+    language,
+    minhash,
+    packing,
+    quality_model,
+    quality_rules,
+    repeats,
+    secrets,
+    simhash,
+    warc,
+)
 from promiselens.llm.common import table
 from promiselens.llm.sql import SQL
 from promiselens.session import materialise
@@ -66,11 +80,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), simhash.SimParams(words=3))
+    return found.withColumn("fingerprint", simhash.hexadecimal(F.col("fingerprint")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_repeats, op3_decontaminate, op4_secrets, op5_warc, op6_minhash, op7_quality_model,
-        op8_language, op9_chat, op10_packing,
+        op8_language, op9_chat, op10_packing, op11_divergence, op12_alignment, op13_simhash,
     )
 }
 

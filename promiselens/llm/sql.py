@@ -116,6 +116,39 @@ def _escaped(text: str, more: tuple[tuple[str, str], ...] = ()) -> str:
     return text
 
 
+# documents -> audit_prices(lang, source, term, n, p, lang_p) of every source and kept term, audit_groups(lang, source).
+AUDIT = r"""
+audit_docs as (
+  select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+audit_groups as (select distinct lang, source from audit_docs),
+audit_terms as (select row, lang, source, unnest(terms) as term from audit_docs),
+audit_kept as (
+  select lang, term, count(*) as n from audit_terms group by all having count(distinct row) >= 3),
+audit_langs as (select lang, count(*)::hugeint as terms, sum(n) as total from audit_kept group by all),
+audit_counts as (
+  select lang, source, term, count(*) as n from audit_terms semi join audit_kept using (lang, term) group by all),
+audit_totals as (select lang, source, sum(n) as total from audit_counts group by all),
+audit_prices as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+    1 + (1000000000::hugeint * (coalesce(c.n, 0) + 1)) // (coalesce(t.total, 0) + l.terms) as p,
+    1 + (1000000000::hugeint * (k.n + 1)) // (l.total + l.terms) as lang_p
+  from audit_groups g join audit_kept k using (lang) join audit_langs l using (lang)
+  left join audit_counts c on c.lang = g.lang and c.source = g.source and c.term = k.term
+  left join audit_totals t on t.lang = g.lang and t.source = g.source),
+audit_sums as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+  from audit_prices a join audit_prices b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+audit_pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0)::bigint as value
+  from audit_groups a join audit_groups b on a.lang = b.lang and a.source <> b.source
+  left join audit_sums s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+audit_excess as (
+  select lang, source, 'term' as part, term as item, ((p - lang_p) * (p - lang_p) // lang_p)::bigint as value
+  from audit_prices where n > 0 and p > lang_p)
+"""
+
 SQL = {
     "op1_quality_rules": f"with {QUALITY.format(docs='documents')} select * exclude (dropped) from quality_verdict",
     "op3_decontaminate": f"with {CONTAMINATION.format(docs='documents')} select * from contamination",
@@ -130,6 +163,11 @@ SQL = {
         select page_id, strlen(body)::bigint as payload_bytes, {_DIGITS} as payload_digest,
           case when page_id = largest then 'response' else 'revisit' end as record_type,
           case when page_id <> largest then largest end as refers_to from g""",
+    "op11_divergence": f"""with {AUDIT},
+        audit_ranked as (
+          select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank
+          from (select * from audit_pairs union all select * from audit_excess))
+        select * from audit_ranked where part = 'pair' or rank <= 200""",
     "op9_chat": f"""with turns as (
           select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as said from conversations
           union all select -7, 0, 'user', '\\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
