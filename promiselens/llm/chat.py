@@ -1,7 +1,7 @@
 r"""Chat formatting by schema fingerprints.
 
-A record (JSON text) is walked once for its nested field paths; the hash of the sorted paths selects a declarative
-layout, which says where roles and texts are. Every layout becomes canonical turns (conv_id, turn, role, text), and each
+A record (JSON text) is walked once for its nested field paths, in which a key that holds a sign of the path's own notation is
+escaped; the hash of the sorted paths selects a declarative layout, which says where roles and texts are. Every layout becomes canonical turns (conv_id, turn, role, text), and each
 turn one formatted piece, ``### role: text</turn>`` and a line end. The pieces of a conversation in turn order are its
 training text. Inside roles and texts a backslash and the control strings are escaped reversibly, so a text that looks
 like a template cannot open or close a turn. The loss mask is a (start, end) range of each assistant piece.
@@ -9,8 +9,10 @@ like a template cannot open or close a turn. The loss mask is a (start, end) ran
 Formatting needs no order and no shuffle. ``digest`` reads pieces back: it deals conversations out, sorts them and
 streams, so a conversation of any length needs the memory of one batch.
 
-Defined cases: a null text or role is empty; records with unknown fingerprints, and text that is not a JSON object, are
-returned by ``unmatched`` and never guessed at; rows of equal turn go by their formatted piece, a null turn first; repeated rows are
+Defined cases: a null or missing text or role is empty. Never guessed at, but returned by ``unmatched``, are text that is not a JSON object or is
+nested too deeply to parse, records with unknown fingerprints, and records of a known layout with a value that does not fit it: a
+text or role that is no string or holds half of a surrogate pair, a turn that is no 64-bit integer, an integer id
+of more than 64 bits. Such a record gives no turn at all. Rows of equal turn go by their formatted piece, a null turn first; repeated rows are
 turns of their own; a conversation id that is null or no integer is null, and null is one conversation; a layout's empty list gives no turns; an empty table gives
 an empty result. Only the named columns of turn rows are read.
 """
@@ -43,26 +45,35 @@ class Layout:
     roles: dict[str, str] = field(default_factory=dict)
 
     @property
-    def fingerprint(self) -> str:
-        return fingerprint(self.paths)
+    def fingerprints(self) -> set[str]:
+        """Of its records; one whose list is empty has other paths."""
+        empty = [p for p in self.paths if not p.startswith(f"{self.each}[]")] + [f"{self.each}[]"]
+        return {fingerprint(self.paths)} | ({fingerprint(empty)} if self.each else set())
 
 
 def fingerprint(paths) -> str:
-    return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(set(paths))).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
-def paths_of(value, at: str = "") -> Iterator[str]:
-    """Paths of all leaves; a list adds ``[]`` and counts all its entries."""
-    if isinstance(value, dict) and value:
+_IN_KEY = re.compile(r"[\\.\[{\n]")
+
+
+def paths_of(value, at: str | None = None) -> Iterator[str]:
+    """Paths of all leaves; a list adds ``[]`` and counts all its entries, an object without fields adds ``{}``."""
+    here = at or ""
+    if isinstance(value, dict):
+        if not value:
+            yield here + "{}"
         for k, v in value.items():
-            yield from paths_of(v, f"{at}.{k}" if at else k)
+            key = _IN_KEY.sub(lambda m: "\\" + m[0].replace("\n", "n"), k)
+            yield from paths_of(v, key if at is None else f"{at}.{key}")
     elif isinstance(value, list):
         if not value:
-            yield f"{at}[]"
+            yield here + "[]"
         for v in value:
-            yield from paths_of(v, f"{at}[]")
+            yield from paths_of(v, here + "[]")
     else:
-        yield at
+        yield here
 
 
 LAYOUTS = (
@@ -105,40 +116,68 @@ def _get(record: dict, path: str):
     return record
 
 
+class Unfit(ValueError):
+    """A value of a known layout that cannot be formatted."""
+
+
+def _text(value) -> str:
+    if value is None:
+        return ""
+    if not isinstance(value, str):
+        raise Unfit("no string")
+    value.encode()  # half of a surrogate pair is a ValueError too
+    return value
+
+
+def _integer(value, what: str) -> int | None:
+    if value is not None and not (type(value) is int and -(1 << 63) <= value < 1 << 63):
+        raise Unfit(f"{what} is no 64-bit integer")
+    return value
+
+
 def turns_of(record: dict, layout: Layout) -> Iterator[tuple[int | None, str, str]]:
     """(turn, role, text) of a record by its layout."""
     if layout.parts:
         for n, (role, fields) in enumerate(layout.parts):
-            texts = [_get(record, f) for f in fields]
-            yield n, role, "\n".join(str(t) for t in texts if t not in (None, ""))
+            yield n, role, "\n".join(t for t in (_text(_get(record, f)) for f in fields) if t)
         return
     for n, entry in enumerate(record[layout.each] if layout.each else [record]):
-        role = str(entry.get(layout.role) or "")
-        yield entry[layout.turn] if layout.turn else n, layout.roles.get(role, role), str(entry.get(layout.text) or "")
+        role = _text(entry.get(layout.role))
+        turn = _integer(entry[layout.turn], "turn") if layout.turn else n
+        yield turn, layout.roles.get(role, role), _text(entry.get(layout.text))
+
+
+def _by_print(layouts: tuple[Layout, ...]) -> dict[str, Layout]:
+    return {p: x for x in layouts for p in x.fingerprints}
 
 
-def _parsed(text: str | None):
+def read_record(text: str | None, by_print: dict[str, Layout]) -> tuple[str | None, int | None, list | None]:
+    """(fingerprint, conversation id, turns); the fingerprint is None where there is no object, the turns where no layout fits."""
+    found = None
     try:
         record = json.loads(text or "")
-    except ValueError:
-        return None
-    return record if isinstance(record, dict) else None
+        if not isinstance(record, dict):
+            return None, None, None
+        found = fingerprint(paths_of(record))
+        layout = by_print.get(found)
+        if layout is None:
+            return found, None, None
+        conv = _get(record, layout.conv)
+        conv = _integer(conv, "id") if type(conv) is int else None
+        return found, conv, list(turns_of(record, layout))
+    except (ValueError, RecursionError):
+        return found, None, None
 
 
 def _pieces(layouts: tuple[Layout, ...]):
-    by_print = {x.fingerprint: x for x in layouts}
+    by_print = _by_print(layouts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch.column("record").to_pylist():
-                record = _parsed(text)
-                layout = None if record is None else by_print.get(fingerprint(paths_of(record)))
-                if layout is None:
-                    continue
-                conv = _get(record, layout.conv)
-                conv = conv if isinstance(conv, int) else None
-                for turn, role, said in turns_of(record, layout):
+                _, conv, turns = read_record(text, by_print)
+                for turn, role, said in turns or ():
                     head = f"### {escape(role, _IN_ROLE)}: "
                     body = escape(said)
                     learn = role == "assistant"
@@ -166,16 +205,15 @@ def format_records(source: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) ->
 
 
 def unmatched(source: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """(record, fingerprint) of the records that no layout fits; the fingerprint is null where there is no object."""
-    known = {x.fingerprint for x in layouts}
+    """(record, fingerprint) of the records that give no turns; the fingerprint is null where there is no object."""
+    by_print = _by_print(layouts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for text in batch.column("record").to_pylist():
-                record = _parsed(text)
-                mark = None if record is None else fingerprint(paths_of(record))
-                if mark not in known:
+                mark, _, turns = read_record(text, by_print)
+                if turns is None:
                     found.append((text, mark))
             columns = list(zip(*found)) or [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.string()) for v in columns], ["record", "fingerprint"])

@@ -136,7 +136,9 @@ class WarcReader(DataSourceReader):
         found = [i for i in system.get_file_info(fs.FileSelector(path)) if i.is_file and i.size]
         return [WarcFile(i.path) for i in found if not i.base_name.startswith(("_", "."))]
 
-    def read(self, partition: WarcFile) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: WarcFile | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # how Spark reads a source that planned no partition
+            return
         system, _ = _system(self.folder)
         rows: list[tuple] = []
         held = 0
@@ -178,7 +180,7 @@ class WarcReader(DataSourceReader):
             lines = head[:head_end].split(b"\r\n")
             if lines[0] != VERSION:
                 raise ValueError(f"no record starts at byte {at}")
-            headers = {k.lower(): v.strip() for k, _, v in (line.partition(b":") for line in lines[1:])}
+            headers = {k.lower(): v.removeprefix(b" ") for k, _, v in (line.partition(b":") for line in lines[1:])}
             length = int(headers[b"content-length"])
             begin = at + head_end + 4
             at = begin + length + len(RECORD_END)
