@@ -754,7 +754,7 @@ def parquet_export(feed: TableFeed) -> DataFrame:
     needs = ["order_id", "purchase_date", "gmv_brl", "delivery_outcome"]
     orders = facts.order_facts(feed, feed.params, needs).withColumn("month", dates.month_start("purchase_date"))
     sinks.export_parquet({"fct_orders": orders}, root, {"fct_orders": "month"})
-    return tidy(sinks.read_version(feed.spark, f"{root}/fct_orders"))
+    return tidy(sinks.read_table(feed.spark, root, "fct_orders"))
 
 
 @query

@@ -254,14 +254,13 @@ def store(feed, root: str) -> SimpleNamespace:
     """Writes the typed tables as Parquet once and returns a feed that reads them.
 
     Text files are parsed once, not once per query; the copies are columnar, splittable and have true sizes.
-    All tables are written before the first is swapped in, so a failing write leaves the typed tables of the run before.
+    All tables are written, then committed together, so a failing write leaves the typed tables of the run before.
     """
     versions = {name: sinks.write_version(getattr(feed, name), f"{root}/{name}") for name in MODEL_TABLES}
-    for name, version in versions.items():
-        sinks.point_to(feed.spark, f"{root}/{name}", version)
+    sinks.commit(feed.spark, root, versions)
     return stored(feed.spark, root, feed.params)
 
 
 def stored(spark: SparkSession, root: str, params: Params) -> SimpleNamespace:
-    tables = {name: sinks.read_version(spark, f"{root}/{name}") for name in MODEL_TABLES}
-    return SimpleNamespace(spark=spark, params=params, **tables)
+    """The typed tables of the last commit below ``root``, all of one generation."""
+    return SimpleNamespace(spark=spark, params=params, **sinks.read_generation(spark, root))

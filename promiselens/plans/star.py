@@ -20,11 +20,12 @@ TABLES = [
 def build(feed, params: Params, root: str) -> dict[str, DataFrame]:
     """Writes the star schema and the result tables below ``root`` and returns them as read back.
 
-    Every table is a new version in its folder. They are swapped in together at the end, after the second-path
-    verification of the order fact: a wrong number or a failing write leaves all tables of the run before.
-    The order fact is partitioned by purchase month.
+    Every table is a new version in its folder. One commit at the end, after the second-path verification of the order fact,
+    makes all of them the current generation: a wrong number or a stop at any moment leaves all tables of the run before,
+    and a run that was overtaken by another one fails instead of replacing it. The order fact is partitioned by purchase month.
     """
     spark = feed.spark
+    started_on, _ = sinks.latest_generation(spark, root)
     month = F.date_format("purchase_date", "yyyy-MM")
     versions: dict[str, str] = {}
 
@@ -53,8 +54,7 @@ def build(feed, params: Params, root: str) -> dict[str, DataFrame]:
         "mart_live_daily": marts.live_daily(orders),
     }
     tables = {"fct_orders": orders, "fct_order_items": items, **{name: write(name, df) for name, df in results.items()}}
-    for name, version in versions.items():
-        sinks.point_to(spark, f"{root}/{name}", version)
+    sinks.commit(spark, root, versions, based_on=started_on)
     return tables
 
 
@@ -67,8 +67,8 @@ def months(orders: DataFrame, first: date, last: date) -> DataFrame:
 
 
 def current(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The tables that the last finished run left below ``root``."""
-    return {name: sinks.read_version(spark, f"{root}/{name}") for name in TABLES}
+    """The tables that the last finished run left below ``root``, all of one generation."""
+    return sinks.read_generation(spark, root)
 
 
 def export(tables: dict[str, DataFrame], root: str) -> None:

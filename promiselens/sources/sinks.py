@@ -1,7 +1,8 @@
-"""Writers that never harm what is there: a new version is written in full before anything points at it.
+"""Writers that never harm what is there: new versions are written in full before anything points at them.
 
-A versioned folder holds one sub-folder per written version and, in ``swaps``, one small table per swap that names
-the version to read. A failing write leaves the last swap in force, so readers keep the old rows.
+A root folder holds one sub-folder per table with one folder per written version, and in ``generations`` one small
+row per commit: a number, and the version of every table. A reader takes all tables from one row, so it sees either all
+tables of a run or none, wherever a run stops. Generations are ordered by their numbers, not by clocks.
 """
 
 from __future__ import annotations
@@ -49,13 +50,10 @@ def exportable(df: DataFrame) -> DataFrame:
 
 
 def export_parquet(tables: dict[str, DataFrame], root: str, partition_by: dict[str, str] | None = None) -> None:
-    """One versioned folder per table; all are written before the first is swapped in."""
-    written = [
-        (f"{root}/{name}", write_version(exportable(df), f"{root}/{name}", (partition_by or {}).get(name)), df)
-        for name, df in tables.items()
-    ]
-    for folder, version, df in written:
-        point_to(df.sparkSession, folder, version)
+    """All tables are written, then one commit makes them the current ones below ``root``."""
+    partitions = partition_by or {}
+    versions = {name: write_version(exportable(df), f"{root}/{name}", partitions.get(name)) for name, df in tables.items()}
+    commit(next(iter(tables.values())).sparkSession, root, versions)
 
 
 def replace_table(df: DataFrame, name: str) -> str:
@@ -77,36 +75,102 @@ def write_version(df: DataFrame, folder: str, partition_by: str | None = None) -
     return version
 
 
-def point_to(spark: SparkSession, folder: str, version: str) -> None:
-    """The swap: one row, committed as a whole. The last swap counts."""
-    row = spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at"))
-    row.coalesce(1).write.mode("append").parquet(f"{folder}/swaps")
+_GENERATION = "number long, id string, tables map<string,string>"
 
 
-def current_version(spark: SparkSession, folder: str) -> str | None:
+class CommitConflict(RuntimeError):
+    """Another run has committed the generation that this one was about to."""
+
+
+def generations(spark: SparkSession, root: str) -> DataFrame:
+    """(number, tables, id) of every commit below ``root``, one row a number.
+
+    If two runs commit one number at the same moment, the row of the smaller id counts for every reader.
+    """
     try:
-        found = spark.read.schema("version string, at timestamp").parquet(f"{folder}/swaps")
-        newest = found.orderBy(F.desc("at"), F.desc("version")).first()
+        rows = spark.read.schema(_GENERATION).parquet(f"{root}/generations")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return None
-    return newest["version"] if newest else None
+        rows = spark.createDataFrame([], _GENERATION)
+    return rows.groupBy("number").agg(F.min_by("tables", "id").alias("tables"), F.min("id").alias("id"))
+
+
+def latest_generation(spark: SparkSession, root: str) -> tuple[int, dict[str, str]]:
+    """(number, version of each table) of the last commit; (0, {}) before the first."""
+    newest = generations(spark, root).orderBy(F.desc("number")).select("number", "tables").first()
+    return (newest["number"], newest["tables"]) if newest else (0, {})
 
 
-def read_version(spark: SparkSession, folder: str, version: str | None = None) -> DataFrame:
-    """A version of the table in ``folder``, the current one by default."""
-    version = version or current_version(spark, folder)
+def commit(spark: SparkSession, root: str, versions: dict[str, str], based_on: int | None = None) -> int:
+    """Make ``versions`` the current tables below ``root``: one row in one file, there as a whole or not at all.
+
+    Tables that ``versions`` does not name keep the version they have. With ``based_on`` the commit fails unless that is still the
+    latest generation, so a run that read old tables cannot replace newer ones. Of two runs that commit the same number one
+    gets ``CommitConflict``, and readers see the other's.
+    """
+    number, before = latest_generation(spark, root)
+    if based_on is not None and based_on != number:
+        raise CommitConflict(f"{root}: generation {number} follows {based_on}")
+    mine = uuid.uuid4().hex
+    row = spark.createDataFrame([(number + 1, mine, {**before, **versions})], _GENERATION)
+    row.coalesce(1).write.mode("append").parquet(f"{root}/generations")
+    if generations(spark, root).where(F.col("number") == number + 1).first()["id"] != mine:
+        raise CommitConflict(f"{root}: generation {number + 1} belongs to another run")
+    return number + 1
+
+
+def read_generation(spark: SparkSession, root: str, number: int | None = None) -> dict[str, DataFrame]:
+    """All tables of one generation below ``root``, the latest by default."""
+    if number is None:
+        found = latest_generation(spark, root)[1]
+    else:
+        row = generations(spark, root).where(F.col("number") == number).first()
+        found = row["tables"] if row else {}
+    if not found:
+        raise FileNotFoundError(f"{root} has no such finished generation")
+    return {name: read_version(spark, f"{root}/{name}", version) for name, version in found.items()}
+
+
+def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The current version of one table below ``root``."""
+    version = latest_generation(spark, root)[1].get(name)
     if version is None:
-        raise FileNotFoundError(f"{folder} has no finished version")
+        raise FileNotFoundError(f"{root} has no finished version of {name}")
+    return read_version(spark, f"{root}/{name}", version)
+
+
+def expire(spark: SparkSession, root: str, keep: int = 7) -> list[str]:
+    """Drop the versions that only generations before the last ``keep`` name; returns their folders.
+
+    A version that no generation names may belong to a run under way, so it stays. Call it when no reader holds a generation that
+    old. The driver handles one row a generation, never data.
+    """
+    if keep < 1:
+        raise ValueError("the latest generation always stays")
+    rows = generations(spark, root).orderBy(F.desc("number")).select("tables").collect()
+    named = [{f"{name}/{version}" for name, version in row["tables"].items()} for row in rows]
+    kept = set().union(*named[:keep])
+    old = sorted(set().union(*named[keep:]) - kept)
+    files = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    dropped = []
+    for folder in old:
+        path = files.Path(f"{root}/{folder}")
+        if path.getFileSystem(conf).delete(path, True):
+            dropped.append(folder)
+    return dropped
+
+
+def read_version(spark: SparkSession, folder: str, version: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{version}")
 
 
 def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The finished table in the versioned folder ``path``, built and written when there is none.
+    """The finished table below ``path``, built and written when there is none.
 
-    What a failed job left behind is never pointed to, so it is never read.
+    What a failed job left behind is never committed, so it is never read.
     """
-    if current_version(spark, path) is None:
-        point_to(spark, path, write_version(build(), path))
-    return read_version(spark, path)
+    if not latest_generation(spark, path)[0]:
+        commit(spark, path, {"table": write_version(build(), f"{path}/table")})
+    return read_table(spark, path, "table")

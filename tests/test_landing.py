@@ -198,7 +198,7 @@ def test_csv_and_json_round_trip(spark, tmp_path, feed):
 def test_export_turns_decimals_into_doubles(spark, tmp_path, feed):
     items = feed.items.withColumn("month", F.trunc("shipping_limit_at", "month"))
     sinks.export_parquet({"items": items}, str(tmp_path), {"items": "month"})
-    back = sinks.read_version(spark, f"{tmp_path}/items")
+    back = sinks.read_table(spark, str(tmp_path), "items")
     assert dict(back.dtypes)["price_brl"] == "double" and back.count() == 3
 
 
@@ -273,7 +273,7 @@ def test_full_refresh(spark, tmp_path, feed):
     assert tables["fct_orders"].count() == 3 and tables["mart_monthly_kpis"].count() == 1
     assert len(tables) == 11
     star.export(tables, f"{tmp_path}/export")
-    exported = sinks.read_version(spark, f"{tmp_path}/export/fct_orders")
+    exported = sinks.read_table(spark, f"{tmp_path}/export", "fct_orders")
     assert dict(exported.dtypes)["gmv_brl"] == "double" and exported.count() == 3
     plan = tables["fct_orders"].where("purchase_month = '2018-01'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(purchase_month" in plan
@@ -293,3 +293,68 @@ def test_star_scans_skip_months(spark, tmp_path, feed):
         scans = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x and "purchase_month" in x]
         assert scans and all("PartitionFilters: [isnotnull(purchase_month" in x for x in scans)
     assert star.months(orders, date(2018, 1, 1), date(2018, 1, 31)).count() == orders.where("purchase_date < '2018-02-01'").count()
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    return {name: spark.range(n).withColumnRenamed("id", name) for n, name in enumerate(("a", "b", "c", "d"), start=1)}
+
+
+def _commit_all(spark, root, tables, stop_after=None):
+    """Write table after table as a refresh does; stop before the commit, or after ``stop_after`` tables."""
+    versions = {}
+    for n, (name, df) in enumerate(tables.items()):
+        if n == stop_after:
+            raise RuntimeError("stopped")
+        versions[name] = sinks.write_version(df, f"{root}/{name}")
+    if stop_after == len(tables):
+        raise RuntimeError("stopped")
+    return sinks.commit(spark, root, versions)
+
+
+def _sizes(spark, root, number=None):
+    return {name: df.count() for name, df in sinks.read_generation(spark, root, number).items()}
+
+
+def test_stop_between_any_two_tables_reads_one_whole_generation(spark, tmp_path, small):
+    root = str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        sinks.read_generation(spark, root)
+    assert _commit_all(spark, root, small) == 1
+    first = {"a": 1, "b": 2, "c": 3, "d": 4}
+    doubled = {name: df.union(df) for name, df in small.items()}
+    for stop in range(len(small) + 1):
+        with pytest.raises(RuntimeError):
+            _commit_all(spark, root, doubled, stop)
+        assert _sizes(spark, root) == first
+    held = sinks.read_generation(spark, root)
+    assert _commit_all(spark, root, doubled) == 2
+    assert _sizes(spark, root) == {name: 2 * n for name, n in first.items()} and _sizes(spark, root, 1) == first
+    assert {name: df.count() for name, df in held.items()} == first  # a reader keeps the generation it began with
+
+
+def test_commits_in_conflict(spark, tmp_path, small):
+    root = str(tmp_path)
+    _commit_all(spark, root, small)
+    version = sinks.write_version(spark.range(9), f"{root}/a")
+    assert sinks.commit(spark, root, {"a": version}, based_on=1) == 2
+    assert _sizes(spark, root) == {"a": 9, "b": 2, "c": 3, "d": 4}  # the others keep their versions
+    with pytest.raises(sinks.CommitConflict):
+        sinks.commit(spark, root, {"a": version}, based_on=1)
+    # Two commits of one number: every reader sees the row of the smaller id.
+    rows = [(3, "b" * 32, {"a": version}), (3, "a" * 32, {"b": "v-x", "a": version})]
+    spark.createDataFrame(rows, "number long, id string, tables map<string,string>").write.mode("append").parquet(f"{root}/generations")
+    assert sinks.latest_generation(spark, root) == (3, {"b": "v-x", "a": version})
+
+
+def test_old_versions_expire(spark, tmp_path, small):
+    root = str(tmp_path)
+    _commit_all(spark, root, small)
+    loose = sinks.write_version(spark.range(1), f"{root}/a")  # of a run under way
+    for n in range(3):
+        sinks.commit(spark, root, {"a": sinks.write_version(spark.range(n), f"{root}/a")})
+    dropped = sinks.expire(spark, root, keep=2)
+    assert len(dropped) == 2 and all(f.startswith("a/") for f in dropped)
+    assert _sizes(spark, root) == {"a": 2, "b": 2, "c": 3, "d": 4} and _sizes(spark, root, 3)["a"] == 1
+    assert sinks.read_version(spark, f"{root}/a", loose).count() == 1
+    assert sinks.expire(spark, root, keep=2) == []
