@@ -581,6 +581,27 @@ add("snapshot_diff", f"""
         (select count(*) from f_reviews where review_answered_at <= {NOW}) as reviews_total,
         (select count(*) from f_reviews where review_answered_at <= {NOW} and review_answered_at > {THEN}) as new_reviews
     from ({shop_at(NOW)}) a left join ({shop_at(THEN)}) b using (order_id)""")
+SQL["fct_orders_stored"] = SQL["fct_orders"]
+SQL["stored_snapshot_diff"] = SQL["snapshot_diff"]
+
+
+def at_both(select: str) -> str:
+    """A text with {moment} for both moments."""
+    return " union all ".join(select.format(moment=moment) for moment in (THEN, NOW))
+
+
+add("as_of_orders", at_both(shop_at("{moment}")))
+add("as_of_items", at_both("""
+    select i.order_id, order_item_number, product_id, seller_id, shipping_limit_at, round(price_brl::double, 4) as price_brl,
+        round(freight_brl::double, 4) as freight_brl, {moment} as sim_as_of
+    from f_items i join f_orders o on o.order_id = i.order_id where purchased_at <= {moment}"""))
+add("as_of_payments", at_both("""
+    select p.order_id, payment_sequence, payment_type, installments, round(payment_brl::double, 4) as payment_brl, {moment} as sim_as_of
+    from f_payments p join f_orders o on o.order_id = p.order_id where purchased_at <= {moment}"""))
+add("as_of_reviews", at_both("select *, {moment} as sim_as_of from f_reviews where review_answered_at <= {moment}"))
+add("as_of_customers", at_both("""
+    select c.*, {moment} as sim_as_of from f_customers c
+    where exists (select 1 from f_orders o where o.customer_id = c.customer_id and purchased_at <= {moment})"""))
 VECTORS = {
     "real_normal": """select * from kpi_orders where is_delivered
         and strftime(purchase_date, '%Y-%m') not in ('1999-11', '1999-12', '2000-02', '2000-03')""",
@@ -716,6 +737,15 @@ add("landed_files", """
     from f_reviews join f_orders using (order_id) group by all""")
 add("seed_states", "select customer_state as state_code, count(*) as customers, false as is_seeded from f_customers group by all")
 
+add("star_generation", " union all ".join(
+    f"select '{name}' as \"table\", count(*) as \"rows\", {f'round(sum({value}), 1)' if value else 'null::double'} as value_eur from {rows}"
+    for name, rows, value in (
+        ("fct_orders", "fct_orders", "gmv_eur"), ("fct_order_items", "fct_order_items", "item_gmv_eur"), ("dim_date", "fx_daily", ""),
+        ("dim_sellers", "f_sellers", ""), ("dim_products", "f_products", ""), ("dim_states", "f_states", ""),
+        ("mart_monthly_kpis", "monthly", "gmv_eur"), ("mart_route_performance", "routes", "gmv_eur"),
+        ("mart_seller_performance", "sellers_scored", "gmv_eur"), ("mart_late_drivers", "drivers", ""),
+        ("mart_live_daily", "(select purchase_date, sum(gmv_eur) as gmv_eur from fct_orders where is_synthetic group by 1)", "gmv_eur"))))
+
 # ---- checks of the whole model and of landed records
 add("dq_fact_rowcount", """
     select a as left_rows, b as right_rows

@@ -53,6 +53,8 @@ class Params:
     hot_key_sample: int = 128
     salts: int = 64
     max_hot_keys: int = 100_000  # more hot keys than this are joined, not broadcast
+    bucket_bytes: int = 256 * 1024 * 1024  # of the largest table kept by order
+    max_buckets: int = 100_000
 
     @property
     def last_calendar_day(self) -> date:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from promiselens.functions import geo
 from promiselens.functions.text import blank_to_null, contains
+from promiselens.operators.joins import estimated_bytes
 from promiselens.params import Params
 from promiselens.sources import fixed_values, sinks
 from promiselens.sources.registry import load_raw
@@ -250,13 +251,38 @@ MODEL_TABLES = [
 ]
 
 
+# Joined with each other by order in nearly every query.
+BY_ORDER = {"orders": "customer_id", "items": "order_item_number", "payments": "payment_sequence", "reviews": "review_id"}
+
+
+def order_buckets(feed) -> int:
+    """Buckets of the tables that are kept by order: by the largest one's estimated size, never fewer than there are cores."""
+    largest = max(estimated_bytes(getattr(feed, name)) for name in BY_ORDER)
+    return min(max(-(-largest // feed.params.bucket_bytes), feed.spark.sparkContext.defaultParallelism), feed.params.max_buckets)
+
+
+def has_hot_order(df: DataFrame, spread_by: str, params: Params) -> bool:
+    """Whether some order, or the rows without one, hold about ``hot_key_rows`` rows or more, by a hash sample of the rows."""
+    sampled = df.where(F.pmod(F.xxhash64("order_id", spread_by), F.lit(params.hot_key_sample)) == 0)
+    counted = sampled.groupBy("order_id").agg(F.count(F.lit(1)).alias("rows"))
+    return not counted.where(F.col("rows") >= max(params.hot_key_rows // params.hot_key_sample, 1)).isEmpty()
+
+
 def store(feed, root: str) -> SimpleNamespace:
     """Writes the typed tables as Parquet once and returns a feed that reads them.
 
-    Text files are parsed once, not once per query; the copies are columnar, splittable and have true sizes.
+    Text files are parsed once, not once per query; the copies are columnar and have true sizes. Orders, items,
+    payments and reviews lie in equal buckets by order, so the facts group and join them without a shuffle. A table with a hot order is
+    written without buckets and stays splittable: its joins shuffle, and adaptive execution splits them.
     All tables are written, then committed together, so a failing write leaves the typed tables of the run before.
     """
-    versions = {name: sinks.write_version(getattr(feed, name), f"{root}/{name}") for name in MODEL_TABLES}
+    buckets, versions = order_buckets(feed), {}
+    for name in MODEL_TABLES:
+        table, folder = getattr(feed, name), f"{root}/{name}"
+        if name in BY_ORDER and not has_hot_order(table, BY_ORDER[name], feed.params):
+            versions[name] = sinks.write_bucketed(table, folder, "order_id", buckets)
+        else:
+            versions[name] = sinks.write_version(table, folder)
     sinks.commit(feed.spark, root, versions)
     return stored(feed.spark, root, feed.params)
 

@@ -7,6 +7,7 @@ tables of a run or none, wherever a run stops. Generations are ordered by their
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -75,6 +76,25 @@ def write_version(df: DataFrame, folder: str, partition_by: str | None = None) -
     return version
 
 
+_BUCKETS = re.compile(r"_b(\d+)_(\w+)$")
+
+
+def write_bucketed(df: DataFrame, folder: str, key: str, buckets: int) -> str:
+    """As ``write_version``, in buckets of a hash of ``key``: joins and groupings by ``key`` of tables with as many buckets need no shuffle.
+
+    The version's name tells the buckets, so any session can read them. A bucket is one file and one task, so a
+    table in which one key holds very many rows should not be written this way.
+    """
+    version = f"v-{uuid.uuid4().hex[:12]}_b{buckets}_{key}"
+    writer = df.repartition(buckets, key).write.mode("errorifexists").format("parquet").bucketBy(buckets, key).sortBy(key)
+    writer.option("path", f"{folder}/{version}").saveAsTable(_bucket_table(version))
+    return version
+
+
+def _bucket_table(version: str) -> str:
+    return f"promiselens_{version.replace('-', '_')}"
+
+
 _GENERATION = "number long, id string, tables map<string,string>"
 
 
@@ -163,7 +183,19 @@ def expire(spark: SparkSession, root: str, keep: int = 7) -> list[str]:
 
 
 def read_version(spark: SparkSession, folder: str, version: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{version}")
+    buckets = _BUCKETS.search(version)
+    if not buckets:
+        return spark.read.parquet(f"{folder}/{version}")
+    table = _bucket_table(version)
+    if not spark.catalog.tableExists(table):  # another session has written it
+        fields = spark.read.parquet(f"{folder}/{version}").schema.fields
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+        number, key = buckets.groups()
+        spark.sql(
+            f"create table {table} ({columns}) using parquet clustered by ({key}) sorted by ({key}) "
+            f"into {number} buckets location '{folder}/{version}'"
+        )
+    return spark.table(table)
 
 
 def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:

@@ -62,13 +62,26 @@ def test_percent_rank(spark):
     assert {r.id: r.p for r in got.collect()} == {2: 0.0, 1: pytest.approx(1 / 3), 3: pytest.approx(1 / 3), 4: 1.0}
 
 
-def test_bucket_is_monotone(spark):
-    values = [-1e9, -3.0, -2.0, -1e-8, 0.0, 1e-12, 0.1, 0.5, 0.999999999999, 1.0, 1.5, 2.0, 7.999999999999999, 8.0, 1e300]
-    buckets = [
-        r.b for r in spark.createDataFrame([(v,) for v in values], "v double")
-        .select(ranking.magnitude_bucket(F.col("v")).alias("b")).collect()
-    ]
-    assert buckets == sorted(buckets)
+def test_ranges_are_even_for_a_narrow_distribution(spark):
+    """200,000 distinct values inside one power of two, and one value that a third of the rows share."""
+    value = F.when(F.col("id") % 3 == 0, 1.5).otherwise(1 + F.pow(F.col("id") / 300_000, 9) / 1e6)
+    df = spark.range(300_000).select("id", value.alias("x"))
+    held = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranged = ranking.ranges(df.groupBy("x").count(), "x")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", held)
+    sizes = sorted(r["count"] for r in ranged.groupBy("_part").count().collect())
+    assert len(sizes) > 2 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    got = ranking.add_global_rank(df, "x", "r", ["id"], TINY).where("id % 997 = 0")
+    ordered = sorted(1.5 if i % 3 == 0 else 1 + (i / 300_000) ** 9 / 1e6 for i in range(300_000))
+    first = {}
+    for n, v in enumerate(ordered, start=1):
+        first.setdefault(v, n)
+    rows = got.collect()
+    assert len(rows) == 301 and all(abs(r.r - first.get(r.x, r.r)) == 0 for r in rows)
+    assert {r.r for r in rows if r.x == 1.5} == {200_001}
 
 
 def test_dense_id(spark):
