@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from oracle.model import compose, rounded
+from promiselens.plans.declarations import DECLARED, wrong_values
 
 SQL: dict[str, str] = {}
 
@@ -349,6 +350,88 @@ add("dq_mart_report", report(
     ("live.purchase_date unique", "(select 1 where false)"),
 ))
 
+# ---- declared checks: each declaration as a query of its own
+SYNTHETIC = "order_id in (select order_id from f_orders where is_synthetic)"
+CHECKED = {
+    "orders": "select * from f_orders", "items": "select * from f_items", "payments": "select * from f_payments",
+    "reviews": "select * from f_reviews", "customers": "select * from f_customers", "sellers": "select * from f_sellers",
+    "products": "select * from f_products", "categories": "select * from f_categories", "holidays": "select * from f_holidays",
+    "weather": "select * from f_rain", "fx_rates": "select * from f_fx", "inflation": "select * from f_inflation",
+    "sim_orders": "select * from f_orders where is_synthetic", "sim_items": f"select * from f_items where {SYNTHETIC}",
+    "sim_payments": f"select * from f_payments where {SYNTHETIC}",
+    "sim_reviews": "select r.*, o.sim_as_of from f_reviews r join f_orders o on o.order_id = r.order_id where o.is_synthetic",
+    "sim_customers": "select * from f_customers where customer_id in (select customer_id from f_orders where is_synthetic)",
+    "all_orders": "select * from f_orders", "all_customers": "select * from f_customers", "fx_daily": "select * from fx_daily",
+    "state_holidays": "select * from state_holidays", "zip_centroids": "select * from zips", "items_summary": "select * from items_summary",
+    "payments_summary": "select * from payments_summary", "reviews_latest": "select * from reviews_latest",
+    "timeline": "select * from timeline", "context": "select * from context", "fct_orders": "select * from fct_orders",
+    "fct_order_items": "select * from fct_order_items", "dim_date": "select rate_date as date_day, brl_per_eur from fx_daily",
+    "dim_sellers": "select * from f_sellers",
+    "dim_products": "select product_id, ifnull(category_name_en, 'unknown') as category_name_en from f_products left join f_categories using (category_name_pt)",
+    "dim_states": "select * from f_states", "mart_monthly_kpis": "select * from monthly", "mart_route_performance": "select * from routes",
+    "mart_seller_performance": "select * from sellers_scored", "mart_late_drivers": "select * from drivers",
+    "mart_live_daily": "select distinct purchase_date from fct_orders where is_synthetic",
+}
+ALSO_CHECKED = {"states": "select * from f_states"}
+DATES, NUMBERS = {"purchase_date"}, {"order_id", "seller_id", "product_id", "primary_seller_id"}
+
+
+def _violating(table: str, check) -> str:
+    """Rows of SQL, one a violation."""
+    columns = ", ".join(check.columns)
+    if check.kind == "not_null":
+        return f"d_{table} where {columns} is null"
+    if check.kind == "unique":
+        return f"(select {columns} from d_{table} where {columns} is not null group by {columns} having count(*) > 1)"
+    if check.kind == "unique_combination":
+        return f"(select {columns} from d_{table} group by {columns} having count(*) > 1)"
+    if check.kind == "relationship":
+        return orphan(f"d_{table}", columns, f"d_{check.parent[0]}", check.parent[1])
+    if check.kind == "accepted_range":
+        low = f"{columns} {'<' if check.inclusive else '<='} {check.low}"
+        return f"d_{table} where {low}" + (f" or {columns} > {check.high}" if check.high is not None else "")
+    if check.kind == "accepted_values":
+        return f"d_{table} where {columns} not in ({', '.join(repr(v) for v in check.values)})"
+    return f"d_{table} where ({check.where or 'true'}) and not ({check.expression})"
+
+
+def _checked(broken: bool) -> dict[str, str]:
+    steps = {}
+    for name, text in CHECKED.items():
+        values = wrong_values(DECLARED[name], {c: "date" if c in DATES else "bigint" if c in NUMBERS else "string" for x in DECLARED[name] for c in x.columns})
+        literals = {c: "null" if v is None else f"date '{v}'" if c in DATES else repr(v) for c, v in values.items()}
+        replaced = ", ".join(f"{v} as {c}" for c, v in literals.items())
+        bad = f"select * replace ({replaced}) from b_{name}" if replaced else f"select * from b_{name}"
+        steps[f"b_{name}"] = text
+        steps[f"d_{name}"] = f"select * from b_{name} union all select * from b_{name} union all {bad}" if broken else f"select * from b_{name}"
+    return steps | {f"d_{name}": text for name, text in ALSO_CHECKED.items()}
+
+
+def declared_sql(broken: bool) -> str:
+    lines = [(t, c.label(), _violating(t, c)) for t, checks in DECLARED.items() for c in checks]
+    lines += [
+        ("fct_orders", "value = source", """(select s.data_source from
+            (select data_source, sum(price_brl + freight_brl) as brl from f_items join f_orders using (order_id) group by 1) s
+            left join (select data_source, sum(gmv_brl) as brl from d_fct_orders group by 1) m using (data_source)
+            where m.brl is null or abs(s.brl - m.brl) > 0.01)"""),
+        ("mart_monthly_kpis", "months of the window", "(select count(*) from d_mart_monthly_kpis having count(*) <> 60)"),
+        ("mart_monthly_kpis", "monthly = orders", """(select 1 from (select sum(revenue_at_risk_eur) as a from d_mart_monthly_kpis),
+            (select sum(revenue_at_risk_eur) as b from d_fct_orders where is_in_kpi_window) where abs(a - b) > 0.01)"""),
+        ("fct_order_items", "items = order", """(select 1 from d_fct_orders o
+            join (select order_id, sum(item_gmv_eur) as v, sum(revenue_at_risk_eur) as r from d_fct_order_items group by 1) i on i.order_id = o.order_id
+            where abs(o.gmv_eur - i.v) > 0.001 or abs(o.revenue_at_risk_eur - i.r) > 0.001)"""),
+    ]
+    text = " union all ".join(
+        f"""select '{table}' as "table", '{label.replace("'", "''")}' as "check", count(*) as violations from {rows}""" for table, label, rows in lines
+    )
+    same = "abs((select count(*) from d_fct_orders) - (select count(*) from d_all_orders))"
+    text += f""" union all select 'fct_orders' as "table", 'equal_rowcount: all_orders' as "check", {same} as violations"""
+    return compose(text, _checked(broken))
+
+
+SQL["dq_declared"] = declared_sql(False)
+SQL["dq_declared_broken"] = declared_sql(True)
+
 # ---- profile
 add("profile_table_rows", " union all ".join(
     f"select '{t}{' (SYNTHETIC)' if t == 'events' else ''}' as \"table\", count(*) as \"rows\" from {t}"

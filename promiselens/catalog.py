@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from promiselens.functions import dates
 from promiselens.operators import calendars, checks, series
 from promiselens.plans import (
+    declarations,
     drift,
     facts,
     findings,
@@ -390,6 +391,20 @@ def dq_mart_report(feed: TableFeed) -> DataFrame:
     return quality.mart_report(feed, feed.params, orders, items)
 
 
+@query
+def dq_declared(feed: TableFeed) -> DataFrame:
+    """All declared checks and reconciliations, each with its violations."""
+    tables = declarations.checked_tables(feed, feed.params)
+    return declarations.declared_report(tables, feed.params, declarations.source_values(feed))
+
+
+@query
+def dq_declared_broken(feed: TableFeed) -> DataFrame:
+    """The same over tables that are broken on purpose: every check of every table has something to find."""
+    tables = declarations.broken(declarations.checked_tables(feed, feed.params))
+    return declarations.declared_report(tables, feed.params, declarations.source_values(feed))
+
+
 # ---- profile
 
 
