@@ -818,6 +818,26 @@ add("staged_labels", """
 add("landed_files", """
     select case when is_synthetic then 'sim_order_reviews (SYNTHETIC)' else 'order_reviews' end as "table", count(*) as "rows"
     from f_reviews join f_orders using (order_id) group by all""")
+LANDED_ROWS = {
+    "orders": "f_orders where not is_synthetic", "order_items": "f_items join f_orders using (order_id) where not is_synthetic",
+    "order_payments": "f_payments join f_orders using (order_id) where not is_synthetic",
+    "order_reviews": "f_reviews join f_orders using (order_id) where not is_synthetic",
+    "customers": "f_customers where customer_id % 10 <> 9", "sellers": "f_sellers", "products": "f_products", "geolocation": "f_points",
+    "category_translation": "f_categories", "weather_daily": "f_rain", "fx_rates": "(select * from f_fx union all select * from f_fx)",
+    "inflation_monthly": "f_inflation", "sim_orders": "f_orders where is_synthetic",
+    "sim_order_items": "f_items join f_orders using (order_id) where is_synthetic",
+    "sim_order_payments": "f_payments join f_orders using (order_id) where is_synthetic",
+    "sim_order_reviews": "f_reviews join f_orders using (order_id) where is_synthetic", "sim_customers": "f_customers where customer_id % 10 = 9",
+}
+add("landed_rejects", " union all ".join(
+    f"""select '{name}' as "table", 2 * count(*) as records, count(*) as loaded, count(*) as rejected, count(*) as kept_rejects from {rows}"""
+    for name, rows in LANDED_ROWS.items()))
+add("missing_tables", """select 'holidays' as "table" where exists (select 1 from orders)""")
+add("sketched_percentiles", " union all ".join(
+    f"select '{level}' as level, {cell} as cell, count(*) as orders, count(*) as exact_orders, true as p50_within, true as p90_within "
+    f"from fct_orders where actual_days is not null group by 2"
+    for level, cell in (
+        ("region", "customer_region"), ("route", "ifnull(route, 'none')"), ("month", "strftime(purchase_date, '%Y-%m')"), ("all", "'all'"))))
 add("seed_states", "select customer_state as state_code, count(*) as customers, false as is_seeded from f_customers group by all")
 
 add("star_generation", " union all ".join(

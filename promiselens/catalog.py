@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promiselens.functions import dates
-from promiselens.operators import calendars, checks, series
+from promiselens.operators import calendars, checks, series, sketches
 from promiselens.plans import (
     declarations,
     drift,
@@ -891,6 +891,65 @@ def landed_files(feed: TableFeed) -> DataFrame:
     return counted.select("table", "rows")
 
 
+def _landed(feed: TableFeed) -> str:
+    """All tables landed as text below one folder."""
+    root = _folder(feed)
+    for land in landing.LAND.values():
+        land(feed, root)
+    return root
+
+
+@query
+def landed_rejects(feed: TableFeed) -> DataFrame:
+    """Records, loaded and rejected ones of every landed table, with as many broken records landed beside the good ones."""
+    root = _landed(feed)
+    for name in landing.LANDED:
+        landing.spoil(feed.spark, root, name)
+    checked = {name: registry.load_checked(feed.spark, root, name) for name in landing.LANDED}
+    per_file = reduce(DataFrame.unionByName, [registry.landing_report(df, name) for name, df in checked.items()])
+    kept = reduce(DataFrame.unionByName, [registry.rejects(df, name) for name, df in checked.items()])
+    held = kept.groupBy("table").agg(F.count("record").alias("kept_rejects"))
+    sums = [F.sum(c).alias(c) for c in ("records", "loaded", "rejected")]
+    return per_file.groupBy("table").agg(*sums).join(held, "table", "left")
+
+
+@query
+def missing_tables(feed: TableFeed) -> DataFrame:
+    """Raw tables without a landed file."""
+    return registry.missing_tables(feed.spark, _landed(feed)).select("table")
+
+
+@query
+def sketched_percentiles(feed: TableFeed) -> DataFrame:
+    """Delivery days by region, route and month from sketches of (route, month) cells, and whether their rank error is kept.
+
+    The answer of a sketch is right within an error e if at most p + e of the rows lie below it, and p - e or more at it or below.
+    """
+    levels = {"region": ["customer_region"], "route": ["route"], "month": ["month"], "all": []}
+    needs = ["route", "customer_region", "purchase_date", "actual_days"]
+    orders = facts.order_facts(feed, feed.params, needs).withColumn("month", dates.year_month("purchase_date"))
+    known = materialise(orders.where(F.col("actual_days").isNotNull()).na.fill("none", ["route"]))
+    cells = materialise(sketches.sketched(known, ["customer_region", "route", "month"], "actual_days"))
+    error, lines = 2 * sketches.rank_error(), []
+    for level, by in levels.items():
+        rolled = sketches.rolled_up(cells, by)
+        answers = rolled.select(
+            *by, sketches.rows_of().alias("orders"),
+            *[sketches.percentile_of(p).alias(f"_q{n}") for n, p in enumerate((0.5, 0.9))],
+        )
+        # One row a cell of the level, so the answers are few beside the orders.
+        joined = known.join(answers, by) if by else known.withColumns({c: answers.select(c).scalar() for c in answers.columns})
+        inside = []
+        for n, p in enumerate((0.5, 0.9)):
+            below = F.avg((F.col("actual_days") < F.col(f"_q{n}")).cast("double"))
+            upto = F.avg((F.col("actual_days") <= F.col(f"_q{n}")).cast("double"))
+            inside.append(((below <= p + error) & (upto >= p - error)).alias(f"p{round(100 * p)}_within"))
+        name = F.col(by[0]) if by else F.lit("all")
+        grouped = joined.groupBy(name.alias("cell")).agg(F.max("orders").alias("orders"), F.count(F.lit(1)).alias("exact_orders"), *inside)
+        lines.append(grouped.select(F.lit(level).alias("level"), "cell", "orders", "exact_orders", "p50_within", "p90_within"))
+    return reduce(DataFrame.unionByName, lines)
+
+
 @query
 def seed_states(feed: TableFeed) -> DataFrame:
     """The customers of each state's region by the landed state code; the seed holds no state of these tables."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promiselens.sources import registry, sinks
@@ -141,3 +141,19 @@ LAND = {
     "customers": land_customers, "sellers": land_sellers, "products": land_products, "geolocation": land_geolocation,
     "categories": land_categories, "fx_rates": land_rates, "inflation": land_inflation, "weather": land_weather,
 }
+
+# The raw tables that LAND leaves files of.
+LANDED = [name for name in registry.RAW_TABLES if name != "holidays"]
+
+
+def spoil(spark: SparkSession, root: str, name: str) -> None:
+    """Beside the landed records of a raw table, as many that do not parse: a field too many, or JSON that breaks off."""
+    table = registry.RAW_TABLES[name]
+    path = f"{root}/" + table.pattern.replace("*/", "shop/").replace("/*_", "/x_").replace("*", "BR")
+    raw = table.read(spark, root)
+    first, *others = raw.columns
+    if table.file_format == "ndjson":
+        raw.select(F.concat(F.lit('{"'), F.lit(first), F.lit('": "'), F.coalesce(first, F.lit("")))).write.mode("append").text(path)
+        return
+    values = [F.lit(None).cast("string").alias(c) for c in others[:-1]] + [F.lit("one,too many").alias(c) for c in others[-1:]]
+    raw.select(F.col(first), *values).write.mode("append").option("header", True).option("quote", "").csv(path)

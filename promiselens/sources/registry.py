@@ -6,12 +6,16 @@ NDJSON tables have an explicit schema, so reading them needs no inference scan.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from promiselens.session import materialise
+from promiselens.sources.digests import digests
+
 LINEAGE = "_source_url string, _ingested_at string"
 LABELS = "data_source is_synthetic sim_as_of"
 
@@ -57,14 +61,17 @@ class RawTable:
     # Only free text can hold line breaks. Other files stay splittable.
     multi_line: bool = False
 
-    def read(self, spark: SparkSession, root: str) -> DataFrame:
+    def read(self, spark: SparkSession, root: str, rejected: str | None = None) -> DataFrame:
+        """The records as text. With ``rejected``, a column of that name holds the text of records that do not parse, else null."""
         path = f"{root}/{self.pattern}"
+        reader = spark.read.option("columnNameOfCorruptRecord", rejected) if rejected else spark.read
+        extra = f", `{rejected}` string" if rejected else ""
         try:
             if self.file_format == "ndjson":
-                return spark.read.schema(self.columns).json(path)
-            schema = ", ".join(f"`{c}` string" for c in self.columns.split())
+                return reader.schema(self.columns + extra).json(path)
+            schema = ", ".join(f"`{c}` string" for c in self.columns.split()) + extra
             return (
-                spark.read.schema(schema)
+                reader.schema(schema)
                 .option("header", True)
                 .option("enforceSchema", False)
                 .option("multiLine", self.multi_line)
@@ -135,22 +142,61 @@ def missing_files(spark: SparkSession, path: str, expected: list[str]) -> DataFr
     return wanted.join(files(spark, path).select("file"), "file", "left_anti")
 
 
-def manifest(spark: SparkSession, root: str, table: RawTable) -> DataFrame:
-    """(file, bytes, sha256, rows) per file. Rows are parsed records, not lines.
+def missing_tables(spark: SparkSession, root: str) -> DataFrame:
+    """(table, pattern) of the raw tables without any file below ``root``; files are listed once and not opened."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    # A landed file may be a folder of parts.
+    match = None
+    for name, table in RAW_TABLES.items():
+        shape = re.escape(table.pattern).replace(r"\*", "[^/]*")
+        here = F.col("path").rlike(f"/{shape}(/[^/]*)?$")
+        match = F.when(here, name) if match is None else match.when(here, name)
+    found = listed.select(match.alias("table")).distinct()
+    expected = spark.createDataFrame([(name, table.pattern) for name, table in RAW_TABLES.items()], "table string, pattern string")
+    return expected.join(found, "table", "left_anti")
+
+
+REJECTED, FILE, BLOCK = "_rejected", "_file", "_block"
 
-    A digest needs its file in one piece, so each file is one row of one task; landed files are far
-    below the 2 GB that a row may hold.
+
+def load_checked(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """All records of a raw table, parsed once and stored with their file, the block of it, and the text of those that do not parse.
+
+    Stored, because a record is known to be broken only when all its columns are parsed. ``accepted``, ``rejects`` and
+    ``landing_report`` read the copy.
     """
-    digests = spark.read.format("binaryFile").load(f"{root}/{table.pattern}").select(
-        F.element_at(F.split("path", "/"), -1).alias("file"),
-        F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
+    read = RAW_TABLES[name].read(spark, root, REJECTED)
+    place = {FILE: F.col("_metadata.file_path"), BLOCK: F.col("_metadata.file_block_start")}
+    return materialise(read.withColumns(place))
+
+
+def accepted(checked: DataFrame) -> DataFrame:
+    """The records that parse, in the shape of ``load_raw``."""
+    return checked.where(F.col(REJECTED).isNull()).drop(REJECTED, FILE, BLOCK)
+
+
+def rejects(checked: DataFrame, name: str) -> DataFrame:
+    """(table, file, block, record): where every record that does not parse lies, and its text."""
+    broken = checked.where(F.col(REJECTED).isNotNull())
+    return broken.select(F.lit(name).alias("table"), F.col(FILE).alias("file"), F.col(BLOCK).alias("block"), F.col(REJECTED).alias("record"))
+
+
+def landing_report(checked: DataFrame, name: str) -> DataFrame:
+    """(table, file, records, loaded, rejected) of each landed file of a table; records = loaded + rejected."""
+    bad = F.col(REJECTED).isNotNull()
+    counts = checked.groupBy(F.col(FILE).alias("file")).agg(
+        F.count(F.lit(1)).alias("records"), F.count_if(~bad).alias("loaded"), F.count_if(bad).alias("rejected")
     )
+    return counts.select(F.lit(name).alias("table"), "file", "records", "loaded", "rejected")
+
+
+def manifest(spark: SparkSession, root: str, table: RawTable) -> DataFrame:
+    """(file, bytes, sha256, rows) per file, of any size. Rows are parsed records, not lines."""
+    last = F.element_at(F.split("path", "/"), -1).alias("file")
+    found = digests(spark, f"{root}/{table.pattern}").select(last, "bytes", "sha256")
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     records = table.read(spark, root).groupBy(name.alias("file")).agg(F.count(F.lit(1)).alias("rows"))
-    return digests.join(records, "file", "left").select(
-        "file", "bytes", "sha256", F.coalesce("rows", F.lit(0)).alias("rows")
-    )
+    return found.join(records, "file", "left").select("file", "bytes", "sha256", F.coalesce("rows", F.lit(0)).alias("rows"))
 
 
 def reconcile_rows(source: DataFrame, loaded: DataFrame, table: str) -> int:
