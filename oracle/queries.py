@@ -829,6 +829,14 @@ LANDED_ROWS = {
     "sim_order_payments": "f_payments join f_orders using (order_id) where is_synthetic",
     "sim_order_reviews": "f_reviews join f_orders using (order_id) where is_synthetic", "sim_customers": "f_customers where customer_id % 10 = 9",
 }
+KNOWN = """(select ts - interval 24 year as known_at, max(event_id) as event_id, arg_max("value", event_id) as known_value
+    from events where ts is not null group by 1)"""
+add("value_at_purchase", f"""
+    select order_id, purchased_at, event_id, round(known_value, 6) as known_value
+    from f_orders asof left join {KNOWN} on purchased_at >= known_at""")
+add("filled_event_values", """
+    select ts, round(last_value(v ignore nulls) over (order by ts rows between unbounded preceding and current row), 6) as "value"
+    from (select ts, case when max(event_id) % 3 <> 0 then arg_max("value", event_id) end as v from events group by ts)""")
 add("landed_rejects", " union all ".join(
     f"""select '{name}' as "table", 2 * count(*) as records, count(*) as loaded, count(*) as rejected, count(*) as kept_rejects from {rows}"""
     for name, rows in LANDED_ROWS.items()))

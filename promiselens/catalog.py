@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promiselens.functions import dates
-from promiselens.operators import calendars, checks, series, sketches
+from promiselens.operators import asof, calendars, checks, series, sketches
 from promiselens.plans import (
     declarations,
     drift,
@@ -566,6 +566,22 @@ def price_factors(feed: TableFeed) -> DataFrame:
     return tidy(_price_factors(feed))
 
 
+@query
+def value_at_purchase(feed: TableFeed) -> DataFrame:
+    """The last event value known when an order was bought; events come many times a day and share no key with the orders."""
+    events = feed.table("events").select(F.expr("ts - interval 24 years").alias("known_at"), "event_id", F.col("value").alias("known_value"))
+    orders = feed.orders.select("order_id", "purchased_at")
+    return tidy(asof.as_of_join(orders, events, "purchased_at", "known_at", ["event_id", "known_value"], "event_id"))
+
+
+@query
+def filled_event_values(feed: TableFeed) -> DataFrame:
+    """Event values by time with the gaps filled: every third event has no value of its own."""
+    own = F.when(F.col("event_id") % 3 != 0, F.col("value"))
+    series = feed.table("events").groupBy("ts").agg(F.max_by(F.struct(own.alias("v")), "event_id").getField("v").alias("value"))
+    return tidy(asof.forward_filled(series, "ts", "value"))
+
+
 @query
 def payment_rescale(feed: TableFeed) -> DataFrame:
     totals = summaries.items_summary(feed.items).select("order_id", F.col("gmv_brl").alias("new_total"))
