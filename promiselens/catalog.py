@@ -908,11 +908,10 @@ def landed_files(feed: TableFeed) -> DataFrame:
 
 
 def _landed(feed: TableFeed) -> str:
-    """All tables landed as text below one folder."""
+    """All tables landed as text by a finished run; the folder of that run."""
     root = _folder(feed)
-    for land in landing.LAND.values():
-        land(feed, root)
-    return root
+    landing.land_all(feed, root)
+    return landing.current(feed.spark, root)
 
 
 @query

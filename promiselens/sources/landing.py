@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from promiselens.sources import registry, sinks
 # Fixed value: the file name of a historical table.
 HISTORICAL = "shop/x_{name}_dataset.csv"
 LABELS = ["data_source", "is_synthetic", "sim_as_of"]
+FOLDER = "landing"
 
 
 def _raw(df: DataFrame, columns: str, values: dict[str, str | Column]) -> DataFrame:
@@ -142,6 +145,28 @@ LAND = {
     "categories": land_categories, "fx_rates": land_rates, "inflation": land_inflation, "weather": land_weather,
 }
 
+
+def land_all(feed, root: str) -> str:
+    """Land every table of the feed below a new folder, then commit it: a rerun replaces the files of the run before as a whole.
+
+    Returns the folder. A run that stops leaves the last finished one current.
+    """
+    version = f"v-{uuid.uuid4().hex[:12]}"
+    folder = f"{root}/{FOLDER}/{version}"
+    for land in LAND.values():
+        land(feed, folder)
+    sinks.commit(feed.spark, root, {FOLDER: version})
+    return folder
+
+
+def current(spark: SparkSession, root: str) -> str:
+    """The folder of the last finished run below ``root``."""
+    version = sinks.latest_generation(spark, root)[1].get(FOLDER)
+    if version is None:
+        raise FileNotFoundError(f"{root} has no finished landing")
+    return f"{root}/{FOLDER}/{version}"
+
+
 # The raw tables that LAND leaves files of.
 LANDED = [name for name in registry.RAW_TABLES if name != "holidays"]
 

@@ -110,3 +110,31 @@ def test_rejected_records_are_kept_and_counted(spark, landed):
 def test_missing_tables(spark, landed):
     missing = {r["table"] for r in registry.missing_tables(spark, landed).collect()}
     assert missing == set(registry.RAW_TABLES) - {"sellers", "fx_rates"}
+
+
+def test_landing_again_replaces_as_a_whole(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    from promiselens.sources import landing, sinks
+
+    def months(n):
+        return SimpleNamespace(spark=spark, inflation=spark.range(n).selectExpr("date'2018-01-01' as month_start", "0.5D as pct_change"))
+
+    def rows():
+        return registry.load_raw(spark, landing.current(spark, str(tmp_path)), "inflation_monthly").count()
+
+    def stops(feed, root):
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(landing, "LAND", {"inflation": landing.land_inflation})
+    with pytest.raises(FileNotFoundError):
+        landing.current(spark, str(tmp_path))
+    landing.land_all(months(3), str(tmp_path))
+    assert rows() == 3
+    monkeypatch.setattr(landing, "LAND", {"inflation": landing.land_inflation, "weather": stops})
+    with pytest.raises(RuntimeError):
+        landing.land_all(months(5), str(tmp_path))
+    assert rows() == 3
+    monkeypatch.setattr(landing, "LAND", {"inflation": landing.land_inflation})
+    landing.land_all(months(4), str(tmp_path))
+    assert rows() == 4 and sinks.latest_generation(spark, str(tmp_path))[0] == 2
