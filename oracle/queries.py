@@ -490,7 +490,7 @@ add("profile_series", """
     union all select 'rates', count(*), min(rate_date)::varchar, max(rate_date)::varchar from f_fx""")
 
 # ---- second path
-add("recompute_headline", """
+HEADLINE = """
     with totals as (
         select unnest([
             {'m': 'Orders in KPI window', 'v': count(*)::double},
@@ -505,7 +505,9 @@ add("recompute_headline", """
             {'m': 'Late orders where the seller shipped late', 'v': count(*) filter (late_cause = 'Seller shipped late')::double}
         ]) as t from kpi_orders)
     select t.m as metric, case when t.m = 'Late rate' then round(t.v, 6) else round(t.v, 2) end as expected,
-        case when t.m = 'Late rate' then round(t.v, 6) else round(t.v, 2) end as actual, 0.0::double as difference, true as match from totals""")
+        case when t.m = 'Late rate' then round(t.v, 6) else round(t.v, 2) end as actual, 0.0::double as difference, true as match from totals"""
+add("recompute_headline", HEADLINE)
+add("recompute_from_text", HEADLINE)
 
 # ---- fitted distributions
 FIT = {

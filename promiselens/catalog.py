@@ -488,10 +488,9 @@ def profile_series(feed: TableFeed) -> DataFrame:
 # ---- second path
 
 
-@query
-def recompute_headline(feed: TableFeed) -> DataFrame:
+def _compared(feed: TableFeed, second_path: DataFrame) -> DataFrame:
     orders = facts.order_facts(feed, feed.params, verify.FACT_NEEDS)
-    compared = verify.compare_metrics(verify.recomputed(feed, feed.params), verify.from_facts(orders))
+    compared = verify.compare_metrics(second_path, verify.from_facts(orders))
     is_rate = F.col("metric") == verify.RATE_METRIC
 
     def shown(name: str) -> Column:
@@ -503,6 +502,20 @@ def recompute_headline(feed: TableFeed) -> DataFrame:
     )
 
 
+@query
+def recompute_headline(feed: TableFeed) -> DataFrame:
+    return _compared(feed, verify.recomputed(feed, feed.params))
+
+
+@query
+def recompute_from_text(feed: TableFeed) -> DataFrame:
+    """The headline numbers straight from landed text against those of the facts."""
+    root = _folder(feed)
+    for name in ("orders", "items", "reviews", "fx_rates"):
+        landing.LAND[name](feed, root)
+    return _compared(feed, verify.recomputed_from_text(feed.spark, root, feed.params))
+
+
 # ---- fitted distributions
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promiselens.functions import rules
 from promiselens.params import Params
+from promiselens.sources import registry
 
 # The metrics compared and the statuses of an order that is still open.
 RATE_METRIC = "Late rate"
@@ -22,13 +23,56 @@ def _long(row: DataFrame) -> DataFrame:
 
 
 def recomputed(feed, params: Params) -> DataFrame:
-    """From the typed tables with SQL text only: nothing of the timeline, summary or fact plans.
+    """From the typed tables with SQL text only: nothing of the timeline, summary or fact plans."""
+    views = {"orders": feed.orders, "items": feed.items, "reviews": feed.reviews, "rates": feed.fx_rates}
+    return _headline(feed.spark, views, params)
+
+
+# What the second path reads of the landed text, with casts of its own; a blank is unknown.
+FROM_TEXT = {
+    "orders": """
+        select order_id, nullif(trim(order_status), '') as order_status,
+            cast(nullif(trim(order_purchase_timestamp), '') as timestamp_ntz) as purchased_at,
+            cast(nullif(trim(order_approved_at), '') as timestamp_ntz) as approved_at,
+            cast(nullif(trim(order_delivered_carrier_date), '') as timestamp_ntz) as shipped_at,
+            cast(nullif(trim(order_delivered_customer_date), '') as timestamp_ntz) as delivered_at,
+            cast(cast(nullif(trim(order_estimated_delivery_date), '') as timestamp_ntz) as date) as promised_date
+        from {raw}""",
+    "order_items": """
+        select order_id, cast(nullif(trim(price), '') as decimal(28, 6)) as price_brl,
+            cast(nullif(trim(freight_value), '') as decimal(28, 6)) as freight_brl,
+            cast(nullif(trim(shipping_limit_date), '') as timestamp_ntz) as shipping_limit_at
+        from {raw}""",
+    "order_reviews": """
+        select review_id, order_id, cast(nullif(trim(review_score), '') as int) as review_score,
+            cast(cast(nullif(trim(review_creation_date), '') as timestamp_ntz) as date) as review_sent_date,
+            cast(nullif(trim(review_answer_timestamp), '') as timestamp_ntz) as review_answered_at
+        from {raw}""",
+    "fx_rates": """
+        select cast(date as date) as rate_date, rate as brl_per_eur from {raw} where base = 'EUR' and quote = 'BRL'""",
+}
+
+
+def recomputed_from_text(spark: SparkSession, root: str, params: Params) -> DataFrame:
+    """From the landed files: no staging, typed table or plan is shared with the facts, only the file names of the registry.
 
-    The daily rates are broadcast: there is one per calendar day.
+    The historical files alone are read, so no label is needed. A text that is no date or number is an error, not a null.
+    """
+    views = {}
+    for name, text in FROM_TEXT.items():
+        view = name.removeprefix("order_").removeprefix("fx_")
+        views[view] = spark.sql(text, raw=registry.load_raw(spark, root, name))
+    views["orders"] = views["orders"].withColumn("data_source", F.lit(params.historical_source))
+    return _headline(spark, views, params)
+
+
+def _headline(spark: SparkSession, views: dict[str, DataFrame], params: Params) -> DataFrame:
+    """The metrics of orders, items, reviews and rates.
+
+    Rates are brought down to one per day before they are put in order, so the un-keyed window and the broadcast hold calendar days.
     """
-    views = {"orders": feed.orders, "items": feed.items, "reviews": feed.reviews, "rates": feed.fx_rates}
     open_list = ", ".join(f"'{s}'" for s in OPEN_STATUSES)
-    per_order = feed.spark.sql(
+    per_order = spark.sql(
         f"""
         with value as (
             select order_id, sum(price_brl + freight_brl) as brl, max(shipping_limit_at) as ship_by
@@ -39,8 +83,9 @@ def recomputed(feed, params: Params) -> DataFrame:
                 review_sent_date is null, -unix_date(review_sent_date), review_id is null, review_id)) as score
             from {{reviews}} group by order_id),
         span as (select rate_date, brl_per_eur,
-                lead(rate_date) over (order by rate_date) as next_date from {{rates}}
-            where rate_date <= date '{params.last_calendar_day}'),
+                lead(rate_date) over (order by rate_date) as next_date from (
+                    select rate_date, max(brl_per_eur) as brl_per_eur from {{rates}}
+                    where rate_date <= date '{params.last_calendar_day}' group by rate_date)),
         daily as (select explode(sequence(rate_date, coalesce(date_sub(next_date, 1), date '{params.last_calendar_day}'))) as day,
                 brl_per_eur from span)
         select /*+ broadcast(d) */ o.order_status = 'delivered' and o.delivered_at is not null as delivered,

@@ -265,6 +265,26 @@ def test_reports_on_landed_files(feed):
     assert set(fact.values()) == {0}
 
 
+def test_second_path_from_text(spark, tmp_path, root, feed):
+    import shutil
+
+    from promiselens.plans import facts, verify
+
+    seen = verify.from_facts(facts.order_facts(feed, feed.params, verify.FACT_NEEDS))
+    same = verify.compare_metrics(verify.recomputed_from_text(spark, root, feed.params), seen).collect()
+    assert len(same) == 10 and all(r.match or r.expected is r.actual is None for r in same)
+    # A price that changes in the files only is noticed in every sum of money it is part of.
+    other = shutil.copytree(root, tmp_path / "other")
+    items = next(other.glob("*/*_order_items_dataset.csv"))
+    lines = items.read_text(encoding="utf-8").splitlines()
+    cells = lines[1].split(",")
+    cells[-2] = '"' + str(float(cells[-2].strip('"')) + 5) + '"'
+    items.write_text("\n".join([lines[0], ",".join(cells), *lines[2:]]) + "\n", encoding="utf-8")
+    found = verify.compare_metrics(verify.recomputed_from_text(spark, str(other), feed.params), seen).collect()
+    wrong = {r.metric for r in found if not r.match}
+    assert {"GMV (BRL)", "GMV (EUR)"} <= wrong and "Orders in KPI window" not in wrong
+
+
 def test_full_refresh(spark, tmp_path, feed):
     from promiselens.plans import star
 
