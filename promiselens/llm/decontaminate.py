@@ -42,6 +42,12 @@ def _hashes(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, n))))
 
 
+def _runs(words: Column, n: int) -> Column:
+    """Structs (n, print) of every run of ``n`` words; none if there are fewer words."""
+    none = F.array().cast("array<struct<n:int,print:bigint>>")
+    return F.coalesce(F.transform(_hashes(words, n), lambda h: F.struct(F.lit(n).alias("n"), h.alias("print"))), none)
+
+
 def _joined_hash(hashes: Column, shift: int) -> Column:
     return F.zip_with(hashes, F.slice(hashes, shift + 1, F.size(hashes)), lambda a, b: F.xxhash64(a, b))
 
@@ -94,15 +100,26 @@ def _windows(words: Column, lengths: Column) -> Column:
     return F.flatten(runs)
 
 
-def find_hits(docs: DataFrame, items: DataFrame, rule: SpanRule = SpanRule()) -> DataFrame:
-    """(doc_id, content, n_hit, n_items, item_ids) of the documents that hold a window of an item."""
-    worded = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words"))
-    worded = materialise(worded.filter(F.size("words") > 0))
+def _listed(worded: DataFrame, rule: SpanRule) -> tuple[DataFrame, DataFrame]:
+    """(len, window, list_id) of the items' windows, and (list_id, item_ids): windows held by the same items share their list.
+
+    So a hit names a list, and a window that many items hold meets a document once, not once for each of them.
+    """
     in_items = worded.select(
         "item_id",
         F.explode_outer(_windows(F.col("words"), F.array(F.least(F.lit(rule.span), F.size("words"))))).alias("w"),
     ).select("item_id", "w.len", "w.window")
-    windows = counted(in_items.distinct())
+    held = in_items.groupBy("len", "window").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+    held = materialise(held.withColumn("list_id", F.sha2(F.to_json("item_ids"), 256)))
+    lists = held.select("list_id", "item_ids").dropDuplicates(["list_id"])
+    return counted(held.select("len", "window", "list_id")), counted(lists, weight=F.size("item_ids"))
+
+
+def _spans(docs: DataFrame, items: DataFrame, rule: SpanRule) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, content, n_hit, list_ids) of the documents that hold a window of an item, and (list_id, item_ids)."""
+    worded = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words"))
+    worded = materialise(worded.filter(F.size("words") > 0))
+    windows, lists = _listed(worded, rule)
     long_items = with_fingerprints(worded, rule).select(F.explode_outer("prints").alias("print"))
     long_items = long_items.filter("print is not null").distinct()
     prints = counted(long_items)
@@ -113,10 +130,12 @@ def find_hits(docs: DataFrame, items: DataFrame, rule: SpanRule = SpanRule()) ->
     # Outer, as the filter that a plain explode adds would compute the fingerprints a second time below every step.
     found = with_fingerprints(split, rule, "doc_id", "content").select("doc_id", "content", F.explode_outer("prints").alias("print"))
     candidates = found.join(prints, "print", "left_semi").select("doc_id", "content")
-    for n in lengths:
-        wanted = counted(short.filter(F.col("n") == n).select(F.xxhash64(F.col("words")).alias("print")).distinct())
-        runs = split.select("doc_id", "content", F.explode_outer(_hashes(F.col("words"), n)).alias("print"))
-        candidates = candidates.union(runs.join(wanted, "print", "left_semi").select("doc_id", "content"))
+    if lengths:  # the runs of all these lengths in one more pass
+        wanted = counted(short.select("n", F.xxhash64("words").alias("print")).distinct())
+        of_length = [_runs(F.col("words"), n) for n in lengths]
+        runs = split.select("doc_id", "content", F.explode_outer(F.flatten(F.array(*of_length))).alias("run"))
+        runs = runs.select("doc_id", "content", "run.n", "run.print")
+        candidates = candidates.union(runs.join(wanted, ["n", "print"], "left_semi").select("doc_id", "content"))
     suspects = by_content(docs.select("doc_id", "text"), counted(candidates.distinct()), "left_semi")
 
     sizes = F.array(*[F.lit(n) for n in [*lengths, rule.span]])
@@ -124,7 +143,7 @@ def find_hits(docs: DataFrame, items: DataFrame, rule: SpanRule = SpanRule()) ->
     fitting = F.filter(sizes, lambda n: n <= F.size("words"))
     in_docs = suspects.select("doc_id", "content", F.explode_outer(_windows(F.col("words"), fitting)).alias("w"))
     in_docs = in_docs.select("doc_id", "content", "w.*")
-    matched = materialise(in_docs.join(windows, ["len", "window"]).select("doc_id", "content", "pos", "len", "item_id"))
+    matched = in_docs.join(windows, ["len", "window"]).select("doc_id", "content", "pos", "len", "list_id")
     start = F.struct(F.lit(1).alias("upto"), F.lit(0).alias("n"))
     covered = F.aggregate(
         F.sort_array("spans"),
@@ -136,18 +155,26 @@ def find_hits(docs: DataFrame, items: DataFrame, rule: SpanRule = SpanRule()) ->
         lambda a: a["n"],
     )
     spans = matched.groupBy("doc_id", "content").agg(
-        F.collect_set(F.struct("pos", "len")).alias("spans"), F.sort_array(F.collect_set("item_id")).alias("item_ids")
+        F.collect_set(F.struct("pos", "len")).alias("spans"), F.collect_set("list_id").alias("list_ids")
     )
-    n_items = F.size("item_ids").cast("long").alias("n_items")
-    return spans.select("doc_id", "content", covered.cast("long").alias("n_hit"), n_items, "item_ids")
+    return materialise(spans.select("doc_id", "content", covered.cast("long").alias("n_hit"), "list_ids")), lists
+
+
+def find_hits(docs: DataFrame, items: DataFrame, rule: SpanRule = SpanRule()) -> DataFrame:
+    """(doc_id, content, n_hit, n_items, item_ids) of the documents that hold a window of an item."""
+    spans, lists = _spans(docs, items, rule)
+    named = spans.select("doc_id", "content", "n_hit", F.explode("list_ids").alias("list_id")).join(lists, "list_id")
+    named = named.select("doc_id", "content", "n_hit", F.explode("item_ids").alias("item_id"))
+    hits = named.groupBy("doc_id", "content", "n_hit").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+    return hits.select("doc_id", "content", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids")
 
 
 def contamination(docs: DataFrame, items: DataFrame, rule: SpanRule = SpanRule()) -> DataFrame:
     """Per document: its words, hit words, items found and whether it is contaminated."""
-    hits = materialise(find_hits(docs, items, rule))
+    hits = counted(find_hits(docs, items, rule), weight=F.size("item_ids"))
     n_words = F.size(words_of(F.col("text"))).cast("long")
     sized = docs.select("doc_id", content_of(F.col("text")), n_words.alias("n_words"))
-    judged = null_safe(sized, counted(hits), ["doc_id", "content"], "left")
+    judged = null_safe(sized, hits, ["doc_id", "content"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     return judged.select(
         "doc_id",
@@ -167,7 +194,7 @@ def clean(docs: DataFrame, items: DataFrame, rule: SpanRule = SpanRule()) -> Dat
 
 def contamination_of_hits(docs: DataFrame, items: DataFrame, rule: SpanRule) -> DataFrame:
     """(doc_id, content) of the contaminated documents; the others are never counted."""
-    hits = counted(find_hits(docs, items, rule))
+    hits = counted(_spans(docs, items, rule)[0].select("doc_id", "content", "n_hit"))
     n_words = F.size(words_of(F.col("text")))
     keyed = docs.select("doc_id", content_of(F.col("text")), "text")
     judged = null_safe(keyed, hits, ["doc_id", "content"], "inner").select("doc_id", "content", "n_hit", n_words.alias("n"))

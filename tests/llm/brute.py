@@ -50,3 +50,76 @@ def packed_ids(texts, name="word_bpe_49k.json"):
 
     encoder = Tokenizer.from_file(public_tokenizers.path(name))
     return {doc: encoder.encode(text or "", add_special_tokens=False).ids + [1] for doc, text in texts.items()}
+
+
+def bench_words(text):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(LOWER))
+
+
+def hit_words(text, items, span=13):
+    """(hit words, ids of the items found) of a text; items: (id, text)."""
+    words = bench_words(text)
+    hit, found = set(), set()
+    for item, body in items:
+        own = bench_words(body)
+        n = min(span, len(own))
+        windows = {tuple(own[i : i + n]) for i in range(len(own) - n + 1)} if n else ()
+        for i in range(len(words) - n + 1):
+            if tuple(words[i : i + n]) in windows:
+                hit.update(range(i, i + n))
+                found.add(str(item))
+    return len(hit), sorted(found)
+
+
+def kept_lines(rows, limits):
+    """{doc: text} of what quality rules leave; rows: (doc, host, text)."""
+
+    def normal(line):
+        return re.sub(r"[ \t\x0b\f\r]+", " ", line.lower()).strip(" ")
+
+    holders, hosts = {}, {}
+    for _, host, text in rows:
+        hosts.setdefault(host, set()).add(text or "")
+        for line in (text or "").split("\n"):
+            holders.setdefault((host, normal(line)), set()).add(text or "")
+    out = {}
+    for doc, host, text in rows:
+        words = re.findall("[^\x20\x09-\x0d]+", text or "")
+        starts = {}
+        for i in range(len(words) - 7):
+            starts.setdefault(tuple(words[i : i + 8]), []).append(i)
+        repeated = {k for at in starts.values() if len(at) > 1 for i in at for k in range(i, i + 8)}
+        if len(words) < 20 or 100 * len(repeated) > 30 * len(words):
+            continue
+        lines, gone = [], 0
+        for line in (text or "").split("\n"):
+            plain, n = normal(line), len(holders[host, normal(line)])
+            size = len(plain.split(" ")) if plain else 0
+            if size >= limits.min_line_words and n > limits.max_documents and n * 100.0 > len(hosts[host]) * limits.max_share_percent:
+                gone += size
+            else:
+                lines.append(line)
+        if 100 * (len(words) - gone) >= limits.min_left_percent * len(words):
+            out[doc] = "\n".join(lines)
+    return out
+
+
+def optimal_bins(sizes, room):
+    """Fewest bins, by trying every bin for each piece."""
+    sizes, best = sorted(sizes, reverse=True), [len(sizes)]
+
+    def place(k, bins):
+        if len(bins) >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = len(bins)
+            return
+        for free in sorted(set(bins)):
+            if free >= sizes[k]:
+                rest = list(bins)
+                rest.remove(free)
+                place(k + 1, [*rest, free - sizes[k]])
+        place(k + 1, [*bins, room - sizes[k]])
+
+    place(0, [])
+    return best[0]
