@@ -22,10 +22,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promiselens.llm import bytewords as bw
+from promiselens.llm.common import counted
 from promiselens.session import materialise
 
 
@@ -34,6 +35,7 @@ class LanguageParams:
     bits: int = 12
     centroids: int = 3
     max_rows: int = 1_500  # per language
+    slices: int = 256  # of a language's rows, ranked apart before the smallest hashes are chosen
     rounds: int = 12
     reject: float = 0.08  # cosine below which a text is near to no centroid
 
@@ -178,25 +180,21 @@ def train(learn: DataFrame, params: LanguageParams = LanguageParams()) -> Model:
     frequency = np.zeros(1 << params.bits)
     for r in seen.collect():  # at most 2**bits rows
         frequency[r["slot"]] = r["n"]
-    hashed = usable.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(7)).alias("h"))
-    of = {r["lang"]: r["n"] for r in hashed.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
-    total = sum(of.values())
+    total = usable.count()
     idf = (np.log((1 + total) / (1 + frequency)) + 0.05).astype(np.float32)
-    parts = []
-    for lang in sorted(of):  # top-n of each language: every task passes on that many rows at most, however common it is
-        some = hashed.filter(F.col("lang") == lang).orderBy("h", "doc_id").limit(params.max_rows)
-        parts.append(some.select("doc_id", "lang"))
-    empty = np.zeros((0, 1 << params.bits), np.float32)
-    if not parts:
-        return Model([], np.zeros(0, int), empty, idf, params.bits, params.reject)
-    sample = parts[0]
-    for p in parts[1:]:
-        sample = sample.union(p)
-    chosen = usable.join(F.broadcast(materialise(sample.distinct())), ["doc_id", "lang"], "left_semi")
+    # The rows with the smallest hashes of each language: first of each of its slices, so that a language with most of
+    # the rows is ranked by many tasks, then of what the slices leave. One scan, however many values ``lang`` has.
+    some = usable.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(7)).alias("h"))
+    some = some.withColumn("slice", F.pmod("h", F.lit(params.slices)))
+    for by in (["lang", "slice"], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))
+        some = some.withColumn("place", place).filter(F.col("place") <= params.max_rows).drop("place")
+    chosen = usable.join(counted(some.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
     sparse = materialise(chosen.select("text", "lang").mapInArrow(_sparse(params.bits), "lang string, slot binary, times binary"))
     rows = sparse.groupBy("lang").applyInPandas(_cluster_task(idf, params), "lang string, centroid binary").collect()
     rows = sorted((r["lang"], bytes(r["centroid"])) for r in rows)
     languages = sorted({lang for lang, _ in rows})
+    empty = np.zeros((0, 1 << params.bits), np.float32)
     centroids = np.stack([np.frombuffer(c, np.float32) for _, c in rows]) if rows else empty
     return Model(languages, np.array([languages.index(lang) for lang, _ in rows], int), centroids, idf, params.bits, params.reject)
 
