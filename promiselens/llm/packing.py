@@ -48,6 +48,7 @@ class PackParams:
     group_pieces: int = 4000
     max_nodes: int = 20_000
     max_fillings: int = 400  # partial fillings looked at for one sequence
+    tasks_per_core: int = 16  # at most, for the search of the groups
 
 
 def tokenizer_file(name: str) -> str:
@@ -219,6 +220,22 @@ class _Stock:
             self.counts[s] += 1
 
 
+def least_bins(sizes: list[int], room: int) -> int:
+    """Lower bound of the bins: for every cut, pieces above half a bin need one each, and what pieces from the cut up to half a
+    bin do not find beside them needs more. Cut 0 is the volume."""
+    size = np.sort(np.asarray(sizes, dtype=np.int64))
+    if not len(size):
+        return 0
+    upto = np.concatenate(([0], np.cumsum(size)))
+    half = int(np.searchsorted(size, room // 2, side="right"))
+    cuts = np.unique(np.concatenate(([0], size[:half])))
+    first = np.searchsorted(size, cuts, side="left")
+    beside = np.searchsorted(size, room - cuts, side="right")  # pieces above room - cut share with none of these
+    free = (beside - half) * room - (upto[beside] - upto[half])
+    more = np.maximum(0, -(-(upto[half] - upto[first] - free) // room))
+    return int((len(size) - half + more).max())
+
+
 def pack(sizes: list[int], room: int, max_nodes: int, limit: int = 400) -> list[list[int]]:
     """Bins of places in ``sizes``. Sizes must be 1 .. room.
 
@@ -229,7 +246,7 @@ def pack(sizes: list[int], room: int, max_nodes: int, limit: int = 400) -> list[
     order = order[len(full) :]
     best = [[order[i] for i in b] for b in best_fit([sizes[i] for i in order], room)]
     total = sum(sizes[i] for i in order)
-    bound = -(-total // room)
+    bound = least_bins([sizes[i] for i in order], room)
     stock, waste, nodes = _Stock([sizes[i] for i in order]), 0, 0
     max_nodes = max(max_nodes, 5 * len(best))
     chosen: list[tuple[int, tuple[int, ...]]] = []  # (waste, sizes) of the bins closed so far
@@ -302,8 +319,13 @@ def best_fit_packing(docs: DataFrame, params: PackParams = PackParams()) -> Data
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece long, start long, length long, ids_crc32 long"
     encode = _pieces(params, tokenizer_file(params.tokenizer))
-    pieces = materialise(docs.select("doc_id", "text").mapInArrow(encode, schema))
+    pieces = docs.select("doc_id", "text").mapInArrow(encode, schema)
+    # Rows without an id are told apart by a number stored with them: many with equal texts are no single group.
+    number = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("number")
+    pieces = materialise(pieces.select("*", number))
     groups = max(1, round(pieces.count() / params.group_pieces))
     # Hashing by piece also spreads the pieces of one long document and repeated rows of small groups of ids.
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
-    return dealt.groupBy("group").applyInPandas(_pack_group(params), f"{schema}, sequence_id long, offset long")
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "number"), F.lit(groups))).drop("number")
+    # A group costs seconds of search and few bytes, so the number of tasks follows the groups and is not merged by size.
+    tasks = min(4 * groups, params.tasks_per_core * docs.sparkSession.sparkContext.defaultParallelism)
+    return dealt.repartition(tasks, "group").groupBy("group").applyInPandas(_pack_group(params), f"{schema}, sequence_id long, offset long")
