@@ -3,9 +3,12 @@
 1. Each text becomes the set of its word shingles (64-bit hashes) and ``bands * rows`` minima of universal hash
    functions. Texts with the same set form a class; only the class's smallest id goes on.
 2. Classes that agree on all minima of a band share a bucket. Small buckets compare signatures and pass on the pairs
-   that may reach the threshold; those are verified on the full sets. A large bucket is dealt in blocks, and each
-   pair of blocks is one row of work that carries the sets: it verifies on them, skips pairs it has already connected
-   and returns a forest, so no list of pairs grows with the square of a group and no link between parts is lost.
+   that may reach the threshold; those are verified on the full sets. In a large bucket every class is first verified against
+   the bucket's smallest id, and the components of all links so far are taken. The largest component of a bucket
+   needs no pair inside it: only the classes outside it are compared, with each other and with it. They are dealt in blocks, and
+   each pair of blocks is one row of work that carries the sets: it verifies on them, skips pairs already connected
+   and returns a forest. Copies of one page are one component after the first step, so their work is in proportion to
+   their number; no link between parts is lost.
 3. Components by alternating large-star and small-star on tables; each round is written to the shared folder.
 
 The minima miss a pair at the threshold with a chance of (1 - t**rows)**bands; ``miss`` bounds it and sets the bands.
@@ -39,6 +42,8 @@ class NearParams:
     rows: int = 5  # minima per band
     miss: float = 1e-6  # highest chance that no band holds a pair at the threshold
     small_bucket: int = 64
+    hot_class: int = 500  # equal sets beyond which a class is joined back apart from the others
+    salts: int = 16  # copies of a large bucket's smallest id, so that its comparisons are dealt over tasks
     block_rows: int = 512
     block_shingles: int = 250_000
     slack: float = 0.15  # signatures this far below the threshold are still verified: more than four deviations
@@ -183,12 +188,12 @@ def _verified(params: NearParams):
 
 
 def _forests(params: NearParams):
-    """One row per pair of blocks of a large bucket -> a spanning forest of its verified links."""
+    """One row per pair of blocks of a large bucket -> a spanning forest of its verified links between components."""
     least = params.percent / 100 - params.slack
 
     def links(unit, same: bool) -> Iterator[tuple[int, int]]:
         rows = unit.values
-        ids = rows.field("rep").to_numpy()
+        ids = rows.field("component").to_numpy()
         signs = np.frombuffer(b"".join(s.as_py() for s in rows.field("sign")), np.uint8).reshape(len(ids), -1)
         sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows.field("members")]
         block = rows.field("block").to_numpy()
@@ -198,7 +203,8 @@ def _forests(params: NearParams):
         if same:
             close = np.triu(close, 1)
         i, j = np.nonzero(close >= least)
-        parent = list(range(len(ids)))
+        _, first, known = np.unique(ids, return_index=True, return_inverse=True)
+        parent = first[known].tolist()
 
         def root(k: int) -> int:
             while parent[k] != k:
@@ -211,8 +217,7 @@ def _forests(params: NearParams):
             rp, rq = root(p), root(q)
             if rp != rq and _linked(sets[p], sets[q], params.percent):
                 parent[rp] = rq
-                if ids[p] != ids[q]:
-                    yield int(ids[p]), int(ids[q])
+                yield int(ids[p]), int(ids[q])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,17 +230,17 @@ def _forests(params: NearParams):
     return run
 
 
-def links(docs: DataFrame, reps: DataFrame, params: NearParams) -> DataFrame:
-    """Verified links between class representatives (rep, n, bands, sign) that keep every component connected."""
+def linked_components(docs: DataFrame, reps: DataFrame, params: NearParams) -> DataFrame:
+    """(node, component) over the links of class representatives (rep, n, bands, sign); a node without links has no row."""
     banded = reps.select("rep", "n", F.explode("bands").alias("band"))
     buckets = (
         banded.groupBy("band")
-        .agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("rep").alias("low"), F.max("rep").alias("high"))
+        .agg(F.count("*").alias("size"), F.min("rep").alias("low"), F.max("rep").alias("high"))
         .filter("low < high")
-        .select("band", "size", "shingles")
+        .select("band", "size", "low")
     )
     signed = reps.select("rep", "sign")
-    members = materialise(banded.select("rep", "band").join(buckets, "band"))
+    members = materialise(banded.join(buckets, "band"))
     small = (
         members.filter(F.col("size") <= params.small_bucket)
         .join(signed, "rep")
@@ -248,24 +253,59 @@ def links(docs: DataFrame, reps: DataFrame, params: NearParams) -> DataFrame:
     needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).union(large.select("rep")).distinct()
     texts = docs.select("doc_id", "text").join(counted(needed).withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
     sets = materialise(texts.mapInArrow(_sets(params.words), "rep long, members binary").dropDuplicates(["rep"]))
-    checked = (
-        pairs.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("set_a")), "a")
-        .join(sets.select(F.col("rep").alias("b"), F.col("members").alias("set_b")), "b")
-        .select("a", "b", "set_a", "set_b")
-        .mapInArrow(_verified(params), "a long, b long")
+    of_a = sets.select(F.col("rep").alias("a"), F.col("members").alias("set_a"))
+    of_b = sets.select(F.col("rep").alias("b"), F.col("members").alias("set_b"))
+    among_small = pairs.join(of_a, "a").join(of_b, "b")
+    # A bucket's smallest id meets all its members, so its set is there once for each salt.
+    star = large.filter("rep > low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
+    lows = of_a.join(large.select(F.col("low").alias("a")).distinct(), "a")
+    salted = lows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(params.salts - 1))))
+    with_low = star.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(params.salts)).cast("int")).join(salted, ["a", "salt"]).join(of_b, "b")
+    compared = among_small.unionByName(with_low.drop("salt")).select("a", "b", "set_a", "set_b")
+    found = components(compared.mapInArrow(_verified(params), "a long, b long"))
+    return _joined(found, _left_over(large, found, sets.join(signed, "rep"), params))
+
+
+def _left_over(large: DataFrame, found: DataFrame, full: DataFrame, params: NearParams) -> DataFrame:
+    """Links between components of ``found`` that meet in a large bucket; ``large``: rep, band, n; ``full``: rep, members, sign."""
+    placed = large.select("rep", "band", "n").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = materialise(placed.withColumn("component", F.coalesce("component", "rep")))
+    parts = placed.groupBy("band", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    largest = F.max_by(F.struct("component", "rows", "shingles"), F.struct("rows", F.negative("component")))
+    sizes = parts.groupBy("band").agg(largest.alias("main"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"))
+
+    def blocks(rows, shingles):
+        return F.greatest(F.ceil(rows / params.block_rows), F.ceil(shingles / params.block_shingles), F.lit(1)).cast("int")
+
+    apart = sizes.filter(F.col("rows") > F.col("main.rows")).select(
+        "band",
+        F.col("main.component").alias("main"),
+        blocks(F.col("rows") - F.col("main.rows"), F.col("shingles") - F.col("main.shingles")).alias("others"),
+        blocks(F.col("main.rows"), F.col("main.shingles")).alias("mains"),
     )
-    blocks = F.greatest(
-        F.ceil(F.col("size") / params.block_rows), F.ceil(F.col("shingles") / params.block_shingles), F.lit(1)
-    ).cast("int")
-    dealt = large.withColumn("of", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("of")).cast("int"))
+    hashed, inside = F.xxhash64("rep"), F.col("component") == F.col("main")
+    # Blocks 0 .. others - 1 hold what is outside the largest component and meet all blocks; those of the component meet only these.
+    dealt = placed.join(counted(apart), "band").select(
+        "rep", "band", "component",
+        F.when(inside, F.col("others") + F.pmod(hashed, F.col("mains"))).otherwise(F.pmod(hashed, F.col("others"))).cast("int").alias("block"),
+        F.sequence(F.lit(0), F.col("others") - 1 + F.when(inside, 0).otherwise(F.col("mains"))).alias("partners"),
+    )
     units = (
-        dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-        .join(sets.join(signed, "rep"), "rep")
+        dealt.withColumn("with", F.explode("partners"))
+        .join(full, "rep")
         .groupBy("band", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
-        .agg(F.collect_list(F.struct("rep", "block", "sign", "members")).alias("unit"))
+        .agg(F.collect_list(F.struct("component", "block", "sign", "members")).alias("unit"))
     )
-    forests = units.select("unit", "i", "j").mapInArrow(_forests(params), "a long, b long")
-    return materialise(checked.union(forests).distinct())
+    return materialise(units.select("unit", "i", "j").mapInArrow(_forests(params), "a long, b long").distinct())
+
+
+def _joined(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """``found`` with its components united along ``edges`` between them; a component goes by its smallest id."""
+    if edges.isEmpty():
+        return found
+    united = counted(components(edges))
+    moved = found.join(united.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
+    return moved.select("node", F.coalesce("top", "component").alias("component")).unionByName(united)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -304,17 +344,21 @@ def _judged(docs: DataFrame, params: NearParams) -> DataFrame:
     types = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
     schema = f"{types}, n long, key binary, bands array<long>, sign binary"
     signed = materialise(docs.mapInArrow(_signatures(params, keep), schema))
-    classes = materialise(signed.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep")))
+    classes = materialise(signed.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")))
     reps = materialise(
         signed.select(F.col("doc_id").alias("rep"), "n", "key", "bands", "sign")
         .join(classes.filter("rep is not null"), ["rep", "key"], "left_semi")
         .dropDuplicates(["rep"])
     )
-    found = components(links(docs, reps, params))
+    found = linked_components(docs, reps, params)
     of_class = null_safe(
         classes, found.withColumnRenamed("node", "rep"), ["rep"], "left"
-    ).select("key", F.coalesce("component", "rep").alias("component"))
-    joined = signed.select(*keep, "n", "key").join(of_class, "key", "left")
+    ).select("key", "size", F.coalesce("component", "rep").alias("component"))
+    # The rows of a large class would all meet in one task: few classes are large, so these are joined first.
+    hot = counted(of_class.filter(F.col("size") > params.hot_class).drop("size"))
+    cold = of_class.filter(F.col("size") <= params.hot_class).drop("size")
+    rows = signed.select(*keep, "n", "key")
+    joined = rows.join(hot, "key", "left_anti").join(cold, "key", "left").unionByName(rows.join(hot, "key"))
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return joined.select(*keep, F.col("n").alias("n_shingles"), "key", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))

@@ -219,6 +219,42 @@ def test_near_duplicates_in_families(spark, small_bucket):
     assert found == components_of({k: shingles(v, 3) for k, v in texts.items()}, 85)
 
 
+@pytest.mark.parametrize("hot_class", [500, 2])
+def test_near_duplicates_that_drift_and_meet_in_large_buckets(spark, hot_class):
+    """Texts that link with their neighbours only, among them some without a neighbour, and copies of one text."""
+    words = RANDOM.choices(WORDS, k=200)
+    texts, at = {}, 0
+    for i in range(90):
+        for _ in range(RANDOM.choice([1, 3, 25])):
+            words[at % len(words)] = RANDOM.choice(WORDS) + str(i)
+            at += 1
+        texts[1000 - i * 7 % 90] = " ".join(words)
+    texts |= {2000 + i: texts[950] for i in range(20)}
+    docs = spark.createDataFrame([*texts.items(), (None, texts[950])], "doc_id long, text string")
+    params = minhash.NearParams(words=3, percent=85, small_bucket=2, block_rows=5, hot_class=hot_class)
+    rows = minhash.near_duplicates(docs, params).collect()
+    expected = components_of({k: shingles(v, 3) for k, v in texts.items()}, 85)
+    assert 5 < len(set(expected.values())) < 60 and len(rows) == len(texts) + 1
+    assert {r["doc_id"]: r["component_id"] for r in rows} == expected | {None: expected[950]}
+
+
+def test_copies_of_one_page_make_no_pairs_of_blocks(spark, monkeypatch):
+    base = RANDOM.choices(WORDS, k=400)
+    texts = {i: " ".join([*base[:i], "x", *base[i + 1 :]]) for i in range(300)}
+    seen, plain = [], minhash._left_over
+
+    def counting(large, found, full, params):
+        out = plain(large, found, full, params)
+        seen.append((large.count(), found.select("component").distinct().count(), out.count()))
+        return out
+
+    monkeypatch.setattr(minhash, "_left_over", counting)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = minhash.near_duplicates(docs, minhash.NearParams(block_rows=10)).collect()
+    assert {r["component_id"] for r in found} == {0} and len(found) == 300
+    assert seen[0][0] > 1000 and seen[0][1:] == (1, 0)
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)]
     RANDOM.shuffle(edges)
