@@ -6,7 +6,7 @@ are the business of deduplication and not boilerplate. Lines above both limits a
 left with too small a share of its words is rejected as depleted.
 
 Defined cases: a null or empty text has no words and fails the base rules; a null host is a host of its own;
-lines with fewer words than ``min_line_words`` are never counted or removed; repeated rows are each judged and
+every line with a character is counted unless the caller raises ``min_line_words``; repeated rows are each judged and
 kept as rows; an empty table gives an empty result. Only the named columns are read, so extra columns of any
 name do no harm.
 """
@@ -27,7 +27,7 @@ NOT_WHITE = r"[^\x20\x09-\x0D]"
 
 @dataclass(frozen=True)
 class LineLimits:
-    min_line_words: int = 5
+    min_line_words: int = 1  # 1 counts every line; more spares shorter lines, such as closing brackets of code
     max_documents: int = 30  # a line is boilerplate above this many different documents of its host ...
     max_share_percent: float = 0.1  # ... and above this share of the host's different documents
     min_left_percent: int = 20  # a document is depleted when fewer of its words are left
