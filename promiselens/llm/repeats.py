@@ -14,7 +14,8 @@ A byte goes if a string of ``length`` bytes over it also starts earlier (smaller
 4. The spans of each document are merged and cut out.
 
 Groups of more than ``group_rows`` different contexts go another exact way: one row per string, whose earliest
-place is found by an aggregation that combines on the map side.
+place is found by an aggregation that combines on the map side. So are the first anchor of each context and the question
+whether contexts differ, in a gram of more than ``hot_gram`` anchors.
 
 Defined cases: null and empty texts have no bytes, nothing removed and the digest of nothing; texts below ``length`` bytes stay;
 rows without an id keep all their bytes; repeated rows (same id) count as one document and give equal rows, and if their
@@ -45,6 +46,7 @@ class RepeatParams:
     length: int = 100
     gram: int = 32
     group_rows: int = 50_000  # contexts that one transform holds at most
+    hot_gram: int = 1000  # anchors of one gram beyond which they are judged by aggregates instead of in one task
 
     @property
     def reach(self) -> int:
@@ -268,18 +270,36 @@ def _strings(p: RepeatParams):
     return run
 
 
-def repeated_spans(docs: DataFrame, p: RepeatParams) -> DataFrame:
-    """(doc, spans) with all spans to remove, unmerged; ``docs``: doc, text, one row per document and per text."""
-    found = docs.mapInArrow(_anchor_rows(p), "gram long, context long, doc long, at long, end long")
+def _settled(found: DataFrame, p: RepeatParams) -> DataFrame:
+    """(gram, doc, at, end, repeat): spans known before, anchors whose context came earlier, and the first of each context of a
+    gram that has several. Anchors alone in their gram, or first of its only context, have no row."""
+    anchors = found.filter("end < 0").drop("end")
+    hot = counted(anchors.groupBy("gram").count().filter(F.col("count") > p.hot_gram).select("gram"))
     # One exchange by gram serves both windows. Exact copies are gone, and so are repeats within a chunk.
-    dealt = found.repartition("gram")
+    dealt = anchors.join(hot, "gram", "left_anti").repartition("gram")
     same_context = W.partitionBy("gram", "context").orderBy("doc", "at")
     same_gram = W.partitionBy("gram")
-    ranked = dealt.withColumn("place", F.row_number().over(same_context)).withColumn(
+    judged = dealt.withColumn("repeat", F.row_number().over(same_context) > 1).withColumn(
         "contested", F.min("context").over(same_gram) != F.max("context").over(same_gram)
     )
-    repeat = ((F.col("place") > 1) | (F.col("end") >= 0)).alias("repeat")
-    settled = materialise(ranked.filter("place > 1 or contested or end >= 0").select("gram", "doc", "at", "end", repeat))
+    if not hot.isEmpty():
+        # The same of grams with many anchors: firsts and extremes combine on the map side and are joined back.
+        many, keys = anchors.join(hot, "gram"), ["gram", "context"]
+        firsts = materialise(many.groupBy(*keys).agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")))
+        of_gram = counted(firsts.groupBy("gram").agg((F.min("context") != F.max("context")).alias("contested")))
+        frequent = counted(firsts.filter(F.col("n") > p.hot_gram).drop("n"))
+        rare = firsts.filter(F.col("n") <= p.hot_gram).drop("n")
+        joined = many.join(frequent, keys).unionByName(many.join(frequent, keys, "left_anti").join(rare, keys))
+        later = (F.struct("doc", "at") != F.col("first")).alias("repeat")
+        judged = judged.unionByName(joined.select("gram", "context", "doc", "at", later).join(of_gram, "gram"))
+    known = found.filter("end >= 0").select("gram", "doc", "at", "end", F.lit(True).alias("repeat"))
+    return known.unionByName(judged.filter("repeat or contested").select("gram", "doc", "at", F.lit(-1).cast("long").alias("end"), "repeat"))
+
+
+def repeated_spans(docs: DataFrame, p: RepeatParams) -> DataFrame:
+    """(doc, spans) with all spans to remove, unmerged; ``docs``: doc, text, one row per document and per text."""
+    found = materialise(docs.mapInArrow(_anchor_rows(p), "gram long, context long, doc long, at long, end long"))
+    settled = materialise(_settled(found, p))
     known = F.col("end") >= 0
     whole = settled.filter("repeat").select(
         "doc",

@@ -106,8 +106,8 @@ def test_repeats(spark, docs, empty):
     assert repeats.remove_repeats(empty).collect() == []
 
 
-@pytest.mark.parametrize("group_rows", [50_000, 1])
-def test_repeats_in_families_of_copies(spark, group_rows):
+@pytest.mark.parametrize(("group_rows", "hot_gram"), [(50_000, 1000), (1, 1), (50_000, 1), (50_000, 20)])
+def test_repeats_in_families_of_copies(spark, group_rows, hot_gram):
     base = RANDOM.choices(WORDS, k=120)
     texts = []
     for i in range(60):
@@ -116,7 +116,7 @@ def test_repeats_in_families_of_copies(spark, group_rows):
             words[RANDOM.randrange(len(words))] = RANDOM.choice(WORDS)
         texts.append((i, " ".join(words[RANDOM.randint(0, 20) :])))
     texts.append((60, "ab" * 200))
-    found = one_each(repeats.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string"), repeats.RepeatParams(group_rows=group_rows)).collect())
+    found = one_each(repeats.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string"), repeats.RepeatParams(group_rows=group_rows, hot_gram=hot_gram)).collect())
     for doc, runs in removed_runs(texts, 100).items():
         assert [tuple(x) for x in found[doc]["removed"]] == runs
 

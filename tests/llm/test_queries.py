@@ -36,6 +36,13 @@ def test_query_matches_sql(spark, duck, name):
     assert differences(df, duck, ORACLE[name]) == []
 
 
+def test_quality_rules_match_sql_where_lines_exceed_the_limits(spark):
+    folder = "/root/testdata/sf0.1"
+    df = QUERIES["op1_quality_rules"](spark, folder)
+    assert differences(df, connect(folder), ORACLE["op1_quality_rules"]) == []
+    assert df.filter("n_lines_removed > 0").count() > 1000
+
+
 def test_repeats_match_brute_force(spark, texts):
     found = {r["doc_id"]: r for r in QUERIES["op2_repeats"](spark, FOLDER).collect()}
     expected = removed_runs(sorted(texts.items()), 100)
