@@ -42,6 +42,27 @@ def test_small_lookup_is_broadcast(spark, fact):
     assert "BroadcastHashJoin" in plan
 
 
+def test_lookup_that_is_small_in_its_file_only_is_not_broadcast(spark, tmp_path):
+    """Ten bytes a row in the file, eighty in a broadcast: the rows decide, not the file."""
+    spark.range(0, 200_000, 1, 1).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v")).write.parquet(f"{tmp_path}/t")
+    lookup = spark.read.schema("k long, v long").parquet(f"{tmp_path}/t")
+    limits = replace(Params(), broadcast_limit_bytes=8 * 1024 * 1024)
+    fact = spark.range(0, 400_000, 997).select("id", F.col("id").alias("k"))
+    assert joins.estimated_bytes(lookup) < limits.broadcast_limit_bytes < joins.held_bytes(lookup)
+    for how, rows in (("left", 402), ("inner", 201)):
+        joined = joins.lookup_join(fact, lookup, ["k"], limits, how, fact, ["id"])
+        plan = joined._jdf.queryExecution().toString()
+        assert "ResolvedHint" not in plan and "broadcast" not in plan.split("== Physical Plan ==")[0] and "_salt" not in plan
+        assert joined.count() == rows and joined.where("v <> k % 7").count() == 0
+
+
+def test_held_bytes_counts_rows_and_texts(spark):
+    df = spark.createDataFrame([(1, "abc", ["x"]), (2, None, None), (None, "\u00e9", ["y", "zz"])], "k long, s string, a array<string>")
+    texts = 3 + 2 + len("[x]") + len("[y, zz]")
+    assert joins.held_bytes(df) == 3 * (joins.ROW_BYTES + 3 * 8) + texts
+    assert joins.held_bytes(df.where("k > 5")) == 0
+
+
 @pytest.mark.parametrize("descending", [True, False])
 def test_global_rank_equals_window_rank(spark, descending):
     value = F.when(F.col("id") % 11 == 0, F.lit(None)).when(F.col("id") % 3 == 0, 0.0).otherwise(
