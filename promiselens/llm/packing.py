@@ -22,7 +22,7 @@ import re
 import zlib
 from array import array
 from bisect import bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -59,6 +59,18 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Words(dict):
+    """Ids of words; one that is not there yet is encoded when it is asked for."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__({"": b""})
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.encode(word)
+        return ids
+
+
 class WordEncoder:
     """Ids of whole texts as bytes, for tokenizers that drop white space: one encoding per different word.
 
@@ -75,23 +87,21 @@ class WordEncoder:
         # What the tokenizer makes of each letter before the model sees it.
         before = tokenizer.pre_tokenizer.pre_tokenize_str
         self.spelled = {ord(c): "".join(part for part, _ in before(c)) for c in LETTERS.lower()}
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
+        self.young, self.old = _Words(self.word), {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn(set().union(*parts))
-        young = self.young
-        return [b"".join([young[w] for w in p]) for p in parts]
-
-    def learn(self, words: set[str]) -> None:
         if len(self.young) > CACHE_WORDS:
-            self.old, self.young = self.young, {"": b""}
-        for w in words:
-            if w not in self.young:
-                m = PLAIN_WORD.fullmatch(w)
-                # Letters and the signs after them are tokenized apart, and case makes no difference.
-                self.young[w] = self.known(m[1].lower(), True) + self.known(m[2], False) if m else self.known(w, False)
+            self.old, self.young = self.young, _Words(self.word)
+        ids = self.young.__getitem__
+        return [b"".join(map(ids, t.replace("\n", " ").split(" "))) for t in texts]
+
+    def word(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            m = PLAIN_WORD.fullmatch(word)
+            # Letters and the signs after them are tokenized apart, and case makes no difference.
+            ids = self.known(m[1].lower(), True) + self.known(m[2], False) if m else self.known(word, False)
+        return ids
 
     def known(self, part: str, letters: bool) -> bytes:
         ids = self.young.get(part)

@@ -346,6 +346,23 @@ def test_word_encoder_equals_whole_texts():
     assert [list(np.frombuffer(b, "<u4")) for b in encode(texts)] == [whole[i][:-1] for i in range(len(texts))]
 
 
+def test_word_encoder_takes_over_what_the_older_generation_holds(monkeypatch):
+    """A word is taken apart once, also after its generation became the older one."""
+    apart = []
+
+    class Spy:
+        def fullmatch(self, word, found=packing.PLAIN_WORD.fullmatch):
+            apart.append(word)
+            return found(word)
+
+    monkeypatch.setattr(packing, "PLAIN_WORD", Spy())
+    monkeypatch.setattr(packing, "CACHE_WORDS", 3)
+    encode = packing.WordEncoder(packing.tokenizer_file("word_bpe_49k.json"))
+    first = encode(["Some, words. here Some, words."])
+    assert encode(["Some, words. here Some, words."]) == first
+    assert sorted(apart) == ["Some,", "here", "words."]
+
+
 def test_bin_completion_beats_best_fit():
     random = np.random.default_rng(0)
     better = 0
