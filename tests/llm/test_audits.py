@@ -202,6 +202,22 @@ def test_audit_cases(docs):
     assert audit_rows(docs.limit(0)) == []
 
 
+def test_audit_joins_counts_with_terms_once(spark, monkeypatch):
+    """Totals and prices read the same stored entries; the join by term is in one stored plan only."""
+    stored, write = [], divergence.materialise
+
+    def spy(df):
+        stored.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(divergence, "materialise", spy)
+    rows = [(f"common w{k // 3}", "en", f"s{k % 5}") for k in range(30)]
+    cells = divergence.matrix(spark.createDataFrame(rows, "text string, lang string, source string"))[2]
+    plans = [*stored, cells._jdf.queryExecution().optimizedPlan().toString()]
+    by_term = [re.search(r"Join Inner, .*term#\d+ = term#\d+", plan) is not None for plan in plans]
+    assert sum(by_term) == 1
+
+
 def test_audit_of_many_sources_walks_several_levels(spark):
     """More rows and columns than a leaf, most of the matrix empty."""
     rows = [(f"common w{k // 3} v{(k // 3) % 7}", "en", f"s{k % 45}") for k in range(400)]
