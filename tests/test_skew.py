@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from promiselens.operators import joins, ranking
 from promiselens.params import Params
+from promiselens.session import ADAPTIVE_BROADCAST_THRESHOLD, BROADCAST_THRESHOLD, apply_runtime_settings
 
 TINY = replace(Params(), broadcast_limit_bytes=0, hot_key_rows=4, hot_key_sample=2, salts=5)
 
@@ -56,6 +57,42 @@ def test_lookup_that_is_small_in_its_file_only_is_not_broadcast(spark, tmp_path)
         assert joined.count() == rows and joined.where("v <> k % 7").count() == 0
 
 
+def test_spark_does_not_broadcast_a_lookup_judged_too_large(spark, tmp_path):
+    """Its file is far below Spark's default threshold of 10 MB, its rows are above the limit."""
+    keys = [BROADCAST_THRESHOLD, ADAPTIVE_BROADCAST_THRESHOLD]
+    before = {key: spark.conf.get(key, None) for key in keys}
+    lookup = spark.range(0, 600_000, 1, 1).select(F.col("id").alias("k"), F.hash("id").alias("v"))
+    lookup.write.parquet(f"{tmp_path}/t")
+    lookup = spark.read.schema("k long, v int").parquet(f"{tmp_path}/t")
+    limits = replace(Params(), broadcast_limit_bytes=16 * 1024 * 1024)
+    fact = spark.range(0, 1_200_000, 2).select("id", F.col("id").alias("k"))
+    try:
+        for key in keys:
+            spark.conf.set(key, "10MB")
+        apply_runtime_settings(spark)
+        assert joins.estimated_bytes(lookup) < 10 * 1024 * 1024 and limits.broadcast_limit_bytes < joins.held_bytes(lookup)
+        joined = joins.lookup_join(fact, lookup, ["k"], limits, "left", fact, ["id"])
+        rows = joined.agg(F.count("*"), F.count("v"))
+        assert tuple(rows.first()) == (600_000, 300_000)
+        assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+@pytest.mark.parametrize("given, kept", [("-1", "-1"), ("256k", "256k"), ("10MB", "1048576"), ("1m", "1m")])
+def test_smaller_broadcast_thresholds_stay(spark, given, kept):
+    before = spark.conf.get(BROADCAST_THRESHOLD)
+    try:
+        spark.conf.set(BROADCAST_THRESHOLD, given)
+        apply_runtime_settings(spark)
+        assert spark.conf.get(BROADCAST_THRESHOLD) == kept
+        assert spark.conf.get(ADAPTIVE_BROADCAST_THRESHOLD, None) is None
+    finally:
+        spark.conf.set(BROADCAST_THRESHOLD, before)
+
+
 def test_held_bytes_counts_rows_and_texts(spark):
     df = spark.createDataFrame([(1, "abc", ["x"]), (2, None, None), (None, "\u00e9", ["y", "zz"])], "k long, s string, a array<string>")
     texts = 3 + 2 + len("[x]") + len("[y, zz]")
