@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from promiselens.functions import geo
 from promiselens.functions.text import blank_to_null, contains
-from promiselens.operators.joins import estimated_bytes
 from promiselens.params import Params
 from promiselens.sources import fixed_values, sinks
 from promiselens.sources.registry import load_raw
@@ -255,17 +254,22 @@ MODEL_TABLES = [
 BY_ORDER = {"orders": "customer_id", "items": "order_item_number", "payments": "payment_sequence", "reviews": "review_id"}
 
 
-def order_buckets(feed) -> int:
-    """Buckets of the tables that are kept by order: by the largest one's estimated size, never fewer than there are cores."""
-    largest = max(estimated_bytes(getattr(feed, name)) for name in BY_ORDER)
-    return min(max(-(-largest // feed.params.bucket_bytes), feed.spark.sparkContext.defaultParallelism), feed.params.max_buckets)
+def order_rows(df: DataFrame, spread_by: str, params: Params) -> tuple[int, int]:
+    """(rows of the table, rows of its largest order or of those without one), both by a hash sample of the rows."""
+    one_in = params.hot_key_sample
+    sampled = df.where(F.pmod(F.xxhash64("order_id", spread_by), F.lit(one_in)) == 0)
+    counted = sampled.groupBy("order_id").agg(F.count(F.lit(1)).alias("rows"))
+    rows, most = counted.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.max("rows"), F.lit(0))).first()
+    return rows * one_in, most * one_in
 
 
-def has_hot_order(df: DataFrame, spread_by: str, params: Params) -> bool:
-    """Whether some order, or the rows without one, hold about ``hot_key_rows`` rows or more, by a hash sample of the rows."""
-    sampled = df.where(F.pmod(F.xxhash64("order_id", spread_by), F.lit(params.hot_key_sample)) == 0)
-    counted = sampled.groupBy("order_id").agg(F.count(F.lit(1)).alias("rows"))
-    return not counted.where(F.col("rows") >= max(params.hot_key_rows // params.hot_key_sample, 1)).isEmpty()
+def order_buckets(feed, rows: dict[str, int]) -> int:
+    """Buckets of the tables that are kept by order: by the largest one's rows and types, never fewer than there are cores.
+
+    Catalyst's size estimate does not serve here: it multiplies the sides of a join, and items look their order up.
+    """
+    largest = max(n * getattr(feed, name)._jdf.schema().defaultSize() for name, n in rows.items())
+    return min(max(-(-largest // feed.params.bucket_bytes), feed.spark.sparkContext.defaultParallelism), feed.params.max_buckets)
 
 
 def store(feed, root: str) -> SimpleNamespace:
@@ -276,10 +280,13 @@ def store(feed, root: str) -> SimpleNamespace:
     written without buckets and stays splittable: its joins shuffle, and adaptive execution splits them.
     All tables are written, then committed together, so a failing write leaves the typed tables of the run before.
     """
-    buckets, versions = order_buckets(feed), {}
+    found = {name: order_rows(getattr(feed, name), spread_by, feed.params) for name, spread_by in BY_ORDER.items()}
+    one_in = feed.params.hot_key_sample
+    hot_from = max(feed.params.hot_key_rows // one_in, 1) * one_in
+    buckets, versions = order_buckets(feed, {name: rows for name, (rows, _) in found.items()}), {}
     for name in MODEL_TABLES:
         table, folder = getattr(feed, name), f"{root}/{name}"
-        if name in BY_ORDER and not has_hot_order(table, BY_ORDER[name], feed.params):
+        if name in BY_ORDER and found[name][1] < hot_from:
             versions[name] = sinks.write_bucketed(table, folder, "order_id", buckets)
         else:
             versions[name] = sinks.write_version(table, folder)

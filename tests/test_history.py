@@ -153,3 +153,23 @@ def test_tables_with_a_hot_order_stay_splittable(spark, tmp_path):
     versions = sinks.latest_generation(spark, f"{tmp_path}/typed")[1]
     assert "_b" not in versions["items"] and "_b" in versions["orders"]
     assert stored.items.count() == feed.items.count()
+
+
+def test_buckets_follow_the_rows_of_items_that_look_their_order_up(spark, tmp_path):
+    """Catalyst multiplies the sizes of both sides of the join below; a machine's cores are buckets enough for 20,000 rows."""
+    feed = TableFeed(spark, FOLDER)
+    dated = spark.range(20_000).select(F.col("id").alias("order_id"), F.expr("timestamp_ntz'2020-01-10 12:00:00'").alias("shipping_limit_at"))
+    lines = spark.range(20_000).select(F.col("id").alias("order_id"), F.lit(1).alias("order_item_number"))
+    feed.items = lines.join(dated, "order_id")
+    stored = staging.store(feed, f"{tmp_path}/typed")
+    versions = sinks.latest_generation(spark, f"{tmp_path}/typed")[1]
+    assert {v.split("_b")[1].split("_")[0] for n, v in versions.items() if n in staging.BY_ORDER} == {str(spark.sparkContext.defaultParallelism)}
+    assert stored.items.count() == 20_000
+
+
+def test_more_rows_get_more_buckets(spark, tmp_path):
+    feed = TableFeed(spark, FOLDER, replace(TABLE_PARAMS, bucket_bytes=1024))
+    rows = {name: staging.order_rows(getattr(feed, name), spread_by, feed.params)[0] for name, spread_by in staging.BY_ORDER.items()}
+    true = feed.items.count()
+    assert 0.3 * true < rows["items"] < 3 * true
+    assert staging.order_buckets(feed, rows) > spark.sparkContext.defaultParallelism
